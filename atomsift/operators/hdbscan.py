@@ -17,8 +17,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.hashing import hash_key
+from ..functions.vectors import squared_distance
 from ..session import materialize
 from .birch import cluster_means
 from .nearest import assign_centres, nearest_rows
@@ -86,13 +88,14 @@ def _core_distances(placed: DataFrame, stats: pd.DataFrame, gaps: np.ndarray, k:
         for j in np.nonzero(gaps[i] - radius[i] - radius <= bound)[0]:
             pairs.append((cells[i], cells[j]))
     table = F.broadcast(_pair_table(placed.sparkSession, pairs))
-    left = placed.select("pid", "x", F.col("cell").alias("a")).join(table, "a")
-    right = placed.select("mult", "x", F.col("cell").alias("b")).join(table, "b")
+    left = placed.select("pid", F.col("x").alias("px"), F.col("cell").alias("a")).join(table, "a")
+    right = placed.select("mult", F.col("x").alias("qx"), F.col("cell").alias("b2"))
+    right = right.join(table.select(F.col("a").alias("a2"), F.col("b").alias("b2")), "b2")
 
     def nearest(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if p.empty or q.empty:
             return pd.DataFrame({"pid": [], "near": []})
-        dist = _distances(np.array(p["x"].tolist()), np.array(q["x"].tolist()))
+        dist = _distances(np.array(p["px"].tolist()), np.array(q["qx"].tolist()))
         weight = q["mult"].to_numpy()
         take = np.argsort(dist, axis=1, kind="stable")[:, : k + 1]
         near = [
@@ -102,7 +105,7 @@ def _core_distances(placed: DataFrame, stats: pd.DataFrame, gaps: np.ndarray, k:
 
     partial = (
         left.groupBy("a", "b")
-        .cogroup(right.groupBy("a", "b"))
+        .cogroup(right.groupBy("a2", "b2"))
         .applyInPandas(nearest, "pid bigint, near array<struct<d:double,m:bigint>>")
     )
     merged = partial.groupBy("pid").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
@@ -176,9 +179,7 @@ def _tree_edges(placed: DataFrame, stats: pd.DataFrame, gaps: np.ndarray) -> Dat
                 pairs.append((cells[i], cells[j]))
     table = F.broadcast(_pair_table(placed.sparkSession, pairs))
     sides = placed.select("pid", "x", "core", "cell")
-    both = sides.join(table, sides["cell"] == table["a"]).unionByName(
-        sides.join(table, sides["cell"] == table["b"])
-    )
+    both = sides.join(table, F.col("cell") == F.col("a")).unionByName(sides.join(table, F.col("cell") == F.col("b")))
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pid")
@@ -295,14 +296,10 @@ def medoids_of_labels(labelled: DataFrame, per_cluster: int = 1, seed: int = 0)
     d = width(labelled)
     members = labelled.filter(F.col("label") >= 0)
     means = cluster_means(members, d)
-    from ..functions.vectors import squared_distance
-
     scored = members.join(means, "label").select("label", "row_id", squared_distance("x", "centre").alias("d2"))
     medoids = scored.groupBy("label").agg(F.min_by("row_id", F.struct("d2", "row_id")).alias("row_id"))
     chosen = medoids
     if per_cluster > 1:
-        from pyspark.sql import Window as W
-
         others = members.select("label", "row_id").join(medoids.select("row_id"), "row_id", "left_anti")
         order = W.partitionBy("label").orderBy(hash_key(seed, "row_id"), "row_id")
         extra = others.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") < per_cluster)
