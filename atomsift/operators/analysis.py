@@ -13,6 +13,12 @@ from .ranking import assign_row_ids
 from .stats import exact_quantiles, null_nan
 
 
+def _full(full: Column | None) -> Column:
+    """The full set is every row unless a caller stacks it with the sample."""
+    return F.lit(True) if full is None else full
+
+
+
 def summary_stats(df: DataFrame, value: str, by: Sequence[str] = (), rows_limit: int | None = None) -> DataFrame:
     """(..by) n, min, max, mean, std, q05, q50, q95; nulls and NaN left out."""
     data = df.select(*by, null_nan(value).alias("_v")).filter("_v IS NOT NULL")
@@ -37,27 +43,29 @@ def summary_stats(df: DataFrame, value: str, by: Sequence[str] = (), rows_limit:
     return basic.join(named, on, "left").drop(*[f"_{b}" for b in by])
 
 
-def range_coverage(df: DataFrame, value: str, sampled: str, by: Sequence[str] = ()) -> DataFrame:
+def range_coverage(
+    df: DataFrame, value: str, sampled: str, by: Sequence[str] = (), full: Column | None = None
+) -> DataFrame:
     """Overlap of the sampled with the full value range, as a share of the full one.
 
-    ``sampled`` flags the rows of the sample; null where a side is empty or the
-    full range has no extent.
+    ``sampled`` flags the rows of the sample and ``full`` those of the full set;
+    null where a side is empty or the full range has no extent.
     """
     v, s = null_nan(value), F.col(sampled)
-    full = df.groupBy(*by).agg(
-        F.min(v).alias("fmin"),
-        F.max(v).alias("fmax"),
+    ranges = df.groupBy(*by).agg(
+        F.min(F.when(_full(full), v)).alias("fmin"),
+        F.max(F.when(_full(full), v)).alias("fmax"),
         F.min(F.when(s, v)).alias("smin"),
         F.max(F.when(s, v)).alias("smax"),
     )
     overlap = F.greatest(F.lit(0.0), F.least("smax", "fmax") - F.greatest("smin", "fmin"))
     usable = F.col("smin").isNotNull() & (F.col("fmax") > F.col("fmin"))
-    return full.withColumn("coverage", F.when(usable, overlap / (F.col("fmax") - F.col("fmin"))))
+    return ranges.withColumn("coverage", F.when(usable, overlap / (F.col("fmax") - F.col("fmin"))))
 
 
-def size_fraction(df: DataFrame, sampled: str) -> DataFrame:
+def size_fraction(df: DataFrame, sampled: str, full: Column | None = None) -> DataFrame:
     """n_full, n_sampled, pct; 0 percent for no rows."""
-    counts = df.agg(F.count("*").alias("n_full"), F.count_if(F.col(sampled)).alias("n_sampled"))
+    counts = df.agg(F.count_if(_full(full)).alias("n_full"), F.count_if(F.col(sampled)).alias("n_sampled"))
     pct = F.when(F.col("n_full") > 0, 100.0 * F.col("n_sampled") / F.col("n_full")).otherwise(0.0)
     return counts.withColumn("pct", pct)
 
@@ -77,12 +85,8 @@ def rms_force_per_frame(
     return atoms.groupBy(*frame).agg(F.sqrt(F.avg(f2)).alias("rms"))
 
 
-def histogram_bins(lo: float, hi: float, bin_width: float) -> int:
-    return max(1, -int(-(hi - lo) // bin_width)) if hi > lo else 1
-
-
 def density_histogram(
-    df: DataFrame, value: str, sampled: str, bin_width: float, by: Sequence[str] = ()
+    df: DataFrame, value: str, sampled: str, bin_width: float, by: Sequence[str] = (), full: Column | None = None
 ) -> DataFrame:
     """Shared fixed-width histogram of full and sampled values, as densities.
 
@@ -90,13 +94,13 @@ def density_histogram(
     every bin that holds a value.
     """
     v = null_nan(value)
-    data = df.select(*by, v.alias("_v"), F.col(sampled).alias("_s")).filter("_v IS NOT NULL")
+    data = df.select(*by, v.alias("_v"), F.col(sampled).alias("_s"), _full(full).alias("_f")).filter("_v IS NOT NULL")
     keys = list(by) or ["_all"]
     data = data if by else data.withColumn("_all", F.lit(0))
     span = data.groupBy(*keys).agg(
         F.min("_v").alias("lo"),
         F.max("_v").alias("hi"),
-        F.count("*").alias("total"),
+        F.count_if("_f").alias("total"),
         F.count_if("_s").alias("total_s"),
     )
     nb = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo")) / F.lit(bin_width)).cast("int"))
@@ -109,7 +113,7 @@ def density_histogram(
     span = span.drop("lo").withColumnRenamed("_lo", "lo")
     placed = data.join(span, keys).withColumn("bin", bin_index_closed("_v", "lo", "hi", F.col("nb")))
     counted = placed.groupBy(*keys, "bin", "lo", "hi", "nb", "total", "total_s").agg(
-        F.count("*").alias("n_full"), F.count_if("_s").alias("n_sampled")
+        F.count_if("_f").alias("n_full"), F.count_if("_s").alias("n_sampled")
     )
     width = (F.col("hi") - F.col("lo")) / F.col("nb")
     return counted.select(
@@ -118,7 +122,7 @@ def density_histogram(
         bin_centre("bin", "lo", "hi", F.col("nb")).alias("centre"),
         "n_full",
         "n_sampled",
-        (F.col("n_full") / (F.col("total") * width)).alias("full_density"),
+        F.when(F.col("total") > 0, F.col("n_full") / (F.col("total") * width)).alias("full_density"),
         F.when(F.col("total_s") > 0, F.col("n_sampled") / (F.col("total_s") * width)).alias("sampled_density"),
     )
 
