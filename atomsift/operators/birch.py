@@ -217,7 +217,7 @@ def birch_fit(
         mapping = (
             hop
             if mapping is None
-            else mapping.join(hop.withColumnRenamed("label", "up").withColumnRenamed("up", "next"), "up").select(
+            else mapping.join(hop.select(F.col("label").alias("up"), F.col("up").alias("next")), "up").select(
                 "label", F.col("next").alias("up")
             )
         )

@@ -4,57 +4,71 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .blocks import as_matrix
 
-def _cross(u: Column, v: Column) -> list[Column]:
-    return [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
 
+_VECTORS = [f"p{i}" for i in range(3)]
+_CELL = [f"a{i}{j}" for i in range(3) for j in range(3)]
+_BINS = [f"{k}{i}" for k in "bnm" for i in range(3)]
 
-def _dot3(u: Sequence[Column], v: Column) -> Column:
-    return u[0] * v[0] + u[1] * v[1] + u[2] * v[2]
 
-
-def _with_cells(atoms: DataFrame, cutoff: float) -> DataFrame:
-    """Adds wrapped position ``_p``, bins ``_c0.._c2``, bins per axis ``_n*`` and reach ``_m*``.
+def place_in_bins(pos: np.ndarray, cell: np.ndarray, pbc: np.ndarray, cutoff: float):
+    """(wrapped positions, cells, bins, bins per axis, reach) of atoms.
 
     Bins are at least one cutoff wide along each lattice direction where the
     lattice allows it; otherwise the reach counts the periodic images needed.
-    A frame without a cell gets a cubic one of the cutoff's size.
+    An atom without a cell gets an open cubic one of the cutoff's size. The
+    number of bins is 0 along an open direction.
     """
-    axes = [F.col("cell")[i] for i in range(3)]
-    volume = F.abs(_dot3(_cross(axes[1], axes[2]), axes[0]))
-    boxed = F.coalesce(volume > 1e-12, F.lit(False))
-    unit = F.array(
-        *[F.array(*[F.lit(cutoff if i == j else 0.0) for j in range(3)]) for i in range(3)]
-    )
-    df = atoms.withColumn("_cell", F.when(boxed, F.col("cell")).otherwise(unit)).withColumn(
-        "_pbc", F.when(boxed, F.col("pbc")).otherwise(F.array(*[F.lit(False)] * 3))
+    boxed = np.abs(np.linalg.det(cell)) > 1e-12
+    cell = np.where(boxed[:, None, None], cell, np.eye(3) * cutoff)
+    pbc = pbc & boxed[:, None]
+    inverse = np.linalg.inv(cell)
+    heights = 1.0 / np.linalg.norm(inverse, axis=1)
+    bins = np.maximum(1, np.floor(heights / cutoff)).astype(np.int64)
+    reach = np.ceil(cutoff / (heights / bins)).astype(np.int64)
+    scaled = np.einsum("ni,nij->nj", pos, inverse)
+    whole = np.where(pbc, np.floor(scaled), 0.0)
+    wrapped = pos - np.einsum("ni,nij->nj", whole, cell)
+    at = np.floor((scaled - whole) * bins).astype(np.int64)
+    # Rounding can lift a wrapped fraction to 1; it stays in the last bin.
+    at = np.where(pbc, np.minimum(at, bins - 1), at)
+    return wrapped, cell, at, np.where(pbc, bins, 0), reach
+
+
+def _place(atoms: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
+    zero = F.array(*[F.array(*[F.lit(0.0)] * 3)] * 3)
+    flat = atoms.select(
+        *keys,
+        F.col("pos").cast("array<double>").alias("pos"),
+        F.flatten(F.coalesce("cell", zero)).cast("array<double>").alias("cell"),
+        F.coalesce("pbc", F.array(*[F.lit(False)] * 3)).cast("array<int>").alias("pbc"),
     )
-    a = [F.col("_cell")[i] for i in range(3)]
-    for i in range(3):
-        normal = _cross(a[(i + 1) % 3], a[(i + 2) % 3])
-        span = _dot3(normal, a[i])
-        frac = _dot3(normal, F.col("pos")) / span
-        height = F.abs(span) / F.sqrt(normal[0] * normal[0] + normal[1] * normal[1] + normal[2] * normal[2])
-        n = F.greatest(F.lit(1), F.floor(height / cutoff).cast("int"))
-        df = df.withColumn(f"_n{i}", n).withColumn(f"_m{i}", F.ceil(F.lit(cutoff) / (height / F.col(f"_n{i}"))).cast("int"))
-        df = df.withColumn(f"_f{i}", frac).withColumn(
-            f"_w{i}", F.when(F.col("_pbc")[i], F.floor(F.col(f"_f{i}"))).otherwise(0)
-        )
-    shifted = [
-        F.col("pos")[j] - sum((F.col(f"_w{i}") * a[i][j] for i in range(1, 3)), F.col("_w0") * a[0][j])
-        for j in range(3)
-    ]
-    df = df.withColumn("_p", F.array(*shifted))
-    for i in range(3):
-        inside = F.floor((F.col(f"_f{i}") - F.col(f"_w{i}")) * F.col(f"_n{i}")).cast("int")
-        # Rounding can lift a wrapped fraction to 1; it stays in the last bin.
-        df = df.withColumn(
-            f"_c{i}", F.when(F.col("_pbc")[i], F.least(inside, F.col(f"_n{i}") - 1)).otherwise(inside)
-        )
-    return df
+    fields = [flat.schema[k] for k in keys]
+    fields += [T.StructField(n, T.DoubleType()) for n in _VECTORS + _CELL]
+    fields += [T.StructField(n, T.LongType()) for n in _BINS]
+    schema = T.StructType(fields)
+    names = schema.names
+
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            cell = as_matrix(batch.column("cell")).reshape(-1, 3, 3)
+            pbc = as_matrix(batch.column("pbc")).astype(bool)
+            wrapped, cell, at, bins, reach = place_in_bins(as_matrix(batch.column("pos")), cell, pbc, cutoff)
+            columns = [batch.column(k) for k in keys]
+            for block in (wrapped, cell.reshape(-1, 9), at, bins, reach):
+                columns += [pa.array(np.ascontiguousarray(block[:, j])) for j in range(block.shape[1])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return flat.mapInArrow(place, schema)
 
 
 def neighbor_pairs(atoms: DataFrame, frame: Sequence[str], cutoff: float, keep: Sequence[str] = ()) -> DataFrame:
@@ -65,43 +79,32 @@ def neighbor_pairs(atoms: DataFrame, frame: Sequence[str], cutoff: float, keep:
     the density of atoms and no frame is expanded to all pairs. The pair of an
     atom with itself in the home cell is left out.
     """
-    placed = _with_cells(atoms, cutoff)
+    placed = _place(atoms, [*frame, "atom_id", *keep], cutoff)
     right = placed.select(
         *[F.col(c).alias(f"_r_{c}") for c in frame],
-        *[F.col(f"_c{i}").alias(f"_b{i}") for i in range(3)],
         F.col("atom_id").alias("j"),
-        F.col("_p").alias("_q"),
         *[F.col(c).alias(f"{c}_j") for c in keep],
+        *[F.col(f"p{i}").alias(f"_q{i}") for i in range(3)],
+        *[F.col(f"b{i}").alias(f"_at{i}") for i in range(3)],
+        *_CELL,
     )
-    left = placed.select(
-        *frame,
-        F.col("atom_id").alias("i"),
-        "_p",
-        "_cell",
-        "_pbc",
-        *[f"_{k}{i}" for k in "cnm" for i in range(3)],
-        *[F.col(c).alias(f"{c}_i") for c in keep],
-    )
+    # The side that is repeated per visited bin stays narrow; the cell comes with the other.
+    left = placed.drop(*_CELL).withColumnRenamed("atom_id", "i").withColumnsRenamed({c: f"{c}_i" for c in keep})
+    for i in range(3):
+        left = left.withColumn(f"_t{i}", F.explode(F.sequence(F.col(f"b{i}") - F.col(f"m{i}"), F.col(f"b{i}") + F.col(f"m{i}"))))
     for i in range(3):
-        left = left.withColumn(f"_t{i}", F.explode(F.sequence(-F.col(f"_m{i}"), F.col(f"_m{i}"))))
-        target = F.col(f"_c{i}") + F.col(f"_t{i}")
-        left = left.withColumn(
-            f"_b{i}", F.when(F.col("_pbc")[i], F.pmod(target, F.col(f"_n{i}"))).otherwise(target)
-        ).withColumn(
-            f"_s{i}", F.when(F.col("_pbc")[i], F.floor(target / F.col(f"_n{i}"))).otherwise(0)
-        )
-    on = [F.col(c) == F.col(f"_r_{c}") for c in frame]
-    right = right.withColumnsRenamed({f"_b{i}": f"_d{i}" for i in range(3)})
-    on += [F.col(f"_b{i}") == F.col(f"_d{i}") for i in range(3)]
-    cell = F.col("_cell")
-    joined = left.join(right, on)
+        target, bins = F.col(f"_t{i}"), F.col(f"n{i}")
+        left = left.withColumn(f"_to{i}", F.when(bins > 0, F.pmod(target, bins)).otherwise(target))
+        left = left.withColumn(f"_s{i}", F.when(bins > 0, F.floor(target / bins)).otherwise(0).cast("double"))
+    on = [F.col(c) == F.col(f"_r_{c}") for c in frame] + [F.col(f"_to{i}") == F.col(f"_at{i}") for i in range(3)]
+    near = left.join(right, on)
     for j, name in enumerate("xyz"):
-        move = F.col("_s0") * cell[0][j] + F.col("_s1") * cell[1][j] + F.col("_s2") * cell[2][j]
-        joined = joined.withColumn(f"r{name}", F.col("_q")[j] + move - F.col("_p")[j])
+        move = sum((F.col(f"_s{i}") * F.col(f"a{i}{j}") for i in (1, 2)), F.col("_s0") * F.col(f"a0{j}"))
+        near = near.withColumn(f"r{name}", F.col(f"_q{j}") + move - F.col(f"p{j}"))
     d2 = F.col("rx") * F.col("rx") + F.col("ry") * F.col("ry") + F.col("rz") * F.col("rz")
     home = (F.col("_s0") == 0) & (F.col("_s1") == 0) & (F.col("_s2") == 0) & (F.col("i") == F.col("j"))
     return (
-        joined.withColumn("d2", d2)
+        near.withColumn("d2", d2)
         .filter((F.col("d2") < cutoff * cutoff) & ~home)
         .select(*frame, "i", "j", *[f"{c}_i" for c in keep], *[f"{c}_j" for c in keep], "rx", "ry", "rz", "d2")
     )
