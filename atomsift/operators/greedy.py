@@ -35,6 +35,8 @@ CANDIDATE_BYTES = 32 << 20
 CANDIDATE_ROWS = 8192
 # After this many picks the row states are written out and the pick list restarts.
 PICKS_PER_STATE = 512
+# Ids of rows outside the pool that are sent with the tasks (8 bytes each).
+TAKEN_INLINE = 250_000
 
 _STATE = [("weight", T.DoubleType()), ("fuse", T.DoubleType())]
 
@@ -157,19 +159,19 @@ class GreedySampler:
         self.sweeps = 0
 
     def _first(self, seed: int, taken: set[int], start_row: int | None) -> tuple[int, np.ndarray] | None:
-        rows = self.table
+        rows = self.without(taken)
         if start_row is not None:
             rows = rows.filter(F.col("row_id") == start_row)
-        # Among len(taken)+1 leading rows at least one is free.
-        lead = rows.select("row_id", hash_key(seed, "row_id").alias("h"))
-        if taken:
-            ids = self.spark.createDataFrame([(int(i),) for i in taken], "row_id bigint")
-            lead = lead.join(ids, "row_id", "left_anti")
-        head = lead.orderBy("h", "row_id").limit(1).collect()
-        if not head:
-            return None
-        chosen = self.table.filter(F.col("row_id") == head[0]["row_id"]).first()
-        return chosen["row_id"], np.array(chosen["x"])
+        order = F.struct(hash_key(seed, "row_id").alias("h"), "row_id")
+        lead = rows.agg(F.min_by(F.struct("row_id", "x"), order).alias("r")).first()["r"]
+        return None if lead is None else (lead["row_id"], np.array(lead["x"]))
+
+    def without(self, taken: set[int]) -> DataFrame:
+        """Rows that are not taken yet."""
+        if not taken:
+            return self.table
+        ids = self.spark.createDataFrame([(int(i),) for i in taken], "row_id bigint")
+        return self.table.join(ids, "row_id", "left_anti")
 
     def begin(
         self, seed: int = 0, clocked: bool = False, taken: set[int] | None = None, start_row: int | None = None
@@ -184,11 +186,14 @@ class GreedyRun:
         self.sampler = sampler
         self.clocked = clocked
         self.picks = Picks()
-        self.taken = np.array(sorted(taken), dtype=np.int64)
+        # A short list of taken ids travels with the sweep; a long one is joined away.
+        inline = len(taken) <= TAKEN_INLINE
+        self.taken = np.array(sorted(taken) if inline else [], dtype=np.int64)
         fuse = -F.log(hash_uniform(f"{seed}:clock", "row_id")) if clocked else F.lit(0.0)
-        self.state = sampler.table.select(
+        state = (sampler.table if inline else sampler.without(taken)).select(
             "row_id", "x", F.lit(float("inf")).alias("weight"), fuse.alias("fuse")
         )
+        self.state = state if inline else materialize(state, "rest")
         self.base = 0  # picks already inside self.state
         self.gaps: list[float] = []
         self.exhausted = first is None

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .blocks import as_lists, as_matrix
 from .greedy import GreedySampler
-from .nearest import closest_centre, nearest_rows
+from .nearest import CENTRE_BYTES, assign_centres, closest_centre, nearest_rows
 from .ranking import hash_smallest
 from .stats import moments, sanitize, whiten
 
@@ -54,9 +54,15 @@ def _partial_sums(centres: np.ndarray):
 
 def _lloyd_step(matrix: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, float]:
     """New centres and the inertia of the old ones. An empty cluster keeps its centre."""
-    parts = matrix.select("x").mapInArrow(
-        _partial_sums(centres), "label bigint, n double, inertia double, sums array<double>"
-    )
+    if centres.nbytes <= CENTRE_BYTES:
+        parts = matrix.select("x").mapInArrow(
+            _partial_sums(centres), "label bigint, n double, inertia double, sums array<double>"
+        )
+    else:
+        # Too many centres for one task: label in passes, then sum with a groupBy.
+        parts = assign_centres(matrix.select("x"), centres).select(
+            "label", F.lit(1.0).alias("n"), F.col("d2").alias("inertia"), F.col("x").alias("sums")
+        )
     rows = (
         parts.select("label", "n", "inertia", F.posexplode("sums").alias("j", "s"))
         .groupBy("label", "j")

@@ -71,16 +71,26 @@ def _place(atoms: DataFrame, keys: list[str], cutoff: float) -> DataFrame:
     return flat.mapInArrow(place, schema)
 
 
-def neighbor_pairs(atoms: DataFrame, frame: Sequence[str], cutoff: float, keep: Sequence[str] = ()) -> DataFrame:
+def neighbor_pairs(
+    atoms: DataFrame,
+    frame: Sequence[str],
+    cutoff: float,
+    keep: Sequence[str] = (),
+    species: tuple[str, str] | None = None,
+) -> DataFrame:
     """(..frame, i, j, ..keep_i, ..keep_j, rx, ry, rz, d2) of ordered pairs, images included.
 
     ``atoms`` has ..frame, atom_id, pos, cell (3x3) and pbc. Each atom visits the
     bins around its own, and the join key is (frame, bin), so the work follows
     the density of atoms and no frame is expanded to all pairs. The pair of an
-    atom with itself in the home cell is left out.
+    atom with itself in the home cell is left out. ``species`` limits i and j to
+    one symbol each before anything is repeated.
     """
     placed = _place(atoms, [*frame, "atom_id", *keep], cutoff)
-    right = placed.select(
+    first = second = placed
+    if species:
+        first, second = (placed.filter(F.col("symbol") == s) for s in species)
+    right = second.select(
         *[F.col(c).alias(f"_r_{c}") for c in frame],
         F.col("atom_id").alias("j"),
         *[F.col(c).alias(f"{c}_j") for c in keep],
@@ -89,7 +99,7 @@ def neighbor_pairs(atoms: DataFrame, frame: Sequence[str], cutoff: float, keep:
         *_CELL,
     )
     # The side that is repeated per visited bin stays narrow; the cell comes with the other.
-    left = placed.drop(*_CELL).withColumnRenamed("atom_id", "i").withColumnsRenamed({c: f"{c}_i" for c in keep})
+    left = first.drop(*_CELL).withColumnRenamed("atom_id", "i").withColumnsRenamed({c: f"{c}_i" for c in keep})
     for i in range(3):
         left = left.withColumn(f"_t{i}", F.explode(F.sequence(F.col(f"b{i}") - F.col(f"m{i}"), F.col(f"b{i}") + F.col(f"m{i}"))))
     for i in range(3):
@@ -115,8 +125,8 @@ def pair_rdf(
 ) -> DataFrame:
     """bin, centre, count, weight: pair distances (minimum image) of species A-B over all frames."""
     a, b = pair
-    near = neighbor_pairs(atoms.filter(F.col("symbol").isin([a, b])), frame, r_max, keep=["symbol"])
-    near = near.filter((F.col("symbol_i") == a) & (F.col("symbol_j") == b) & (F.col("i") != F.col("j")))
+    near = neighbor_pairs(atoms.filter(F.col("symbol").isin([a, b])), frame, r_max, ["symbol"], pair)
+    near = near.filter(F.col("i") != F.col("j"))
     closest = near.groupBy(*frame, "i", "j").agg(F.sqrt(F.min("d2")).alias("d")).filter(F.col("d") < r_max)
     slot = F.least(F.floor(F.col("d") / F.lit(r_max / bins)), F.lit(bins - 1)).cast("int")
     counted = closest.groupBy(slot.alias("bin")).agg(F.count("*").alias("count"))

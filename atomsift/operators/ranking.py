@@ -18,8 +18,10 @@ DIRECT_TOP_K = 1000
 _POSITION_BITS = 33  # monotonically_increasing_id(): partition above, position below
 
 
-def assign_row_ids(df: DataFrame, order_by: Sequence[str | Column], name: str = "row_id") -> DataFrame:
-    """0-based global position in ``order_by`` order.
+def assign_row_ids(
+    df: DataFrame, order_by: Sequence[str | Column], name: str = "row_id", keep: Sequence[str] | None = None
+) -> DataFrame:
+    """0-based global position in ``order_by`` order; only ``keep`` columns are written.
 
     Range partitioning on the whole composite key splits also a hot leading
     key. The sorted table is written once, so that the partition sizes and
@@ -27,10 +29,11 @@ def assign_row_ids(df: DataFrame, order_by: Sequence[str | Column], name: str =
     broadcast.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    kept = df.columns if keep is None else list(keep)
     placed = materialize(
         df.repartitionByRange(*cols)
         .sortWithinPartitions(*cols)
-        .withColumn("_pos", F.monotonically_increasing_id()),
+        .select(*kept, F.monotonically_increasing_id().alias("_pos")),
         "ranked",
     )
     part = F.shiftright("_pos", _POSITION_BITS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .provenance import attach_paths, frame_key
 from .ranking import hash_smallest
 
@@ -68,9 +69,10 @@ def test_set(
     rest = frame_universe(provenance, filemap)
     if manifests:
         rest = unused_frames(rest, used_frames(*manifests))
+    rest = materialize(rest, "remaining")
     if rest.isEmpty():
         raise ValueError("No remaining structures available to build a test set.")
-    chosen = pick_test_set(rest, n_test, seed)
+    chosen = materialize(pick_test_set(rest, n_test, seed), "test-set")
     if chosen.isEmpty():
         raise ValueError("Test set is empty after dropping missing file paths.")
     return chosen

@@ -23,8 +23,7 @@ from ..operators.stats import standardize, whiten, width
 from ..session import materialize
 from ..sources import artefacts as R
 from ..sources import writers as X
-from ..sources.files import plain_path
-from ..sources.frames import atoms_of, read_frames
+from ..sources.frames import atoms_of, read_frames, with_sizes
 
 # The settings of the default workflow; the library defaults are coarser.
 DEFAULT_SAMPLING = dict(
@@ -166,14 +165,9 @@ def select_atoms(
 
 def frames_of(structures: DataFrame) -> DataFrame:
     """Reload exactly the chosen frames; every file range is opened once."""
-    spark = structures.sparkSession
-    files = structures.select("file_id", "file_path").distinct()
-    paths = [r["file_path"] for r in files.select("file_path").distinct().toLocalIterator()]
-    listing = spark.read.format("binaryFile").load(paths).select(
-        plain_path("path").alias("file_path"), "length"
-    )
+    files = with_sizes(structures.select("file_id", "file_path").distinct())
     wanted = structures.select("file_id", F.col("struct_id").alias("source_struct_id"))
-    return read_frames(files.join(listing, "file_path"), frames=wanted)
+    return read_frames(files, frames=wanted)
 
 
 def export_structures(

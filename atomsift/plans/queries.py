@@ -768,7 +768,7 @@ def curve_sql(ks) -> str:
 def coverage_prefix_curve(spark, d):
     matrix = materialize(T.line_matrix(spark, d), "matrix")
     grid = coverage.auto_grid(matrix, "width", 0.73, 20, 10_000)
-    values = auto.random_curve(matrix, grid, CURVE_KS, 11)
+    values = auto.random_curve(auto.random_order(matrix, 11), grid, CURVE_KS)
     out = spark.createDataFrame(list(zip(CURVE_KS, map(float, values))), "k bigint, mean_cov double")
     return rounded(out, 9, "mean_cov")
 

@@ -37,8 +37,7 @@ def embedding_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Line items with row_id, the position in LINE_ORDER, and the wanted columns."""
-    ranked = assign_row_ids(table(spark, sf_dir, "lineitem"), LINE_ORDER)
-    return ranked.select("row_id", *columns)
+    return assign_row_ids(table(spark, sf_dir, "lineitem"), LINE_ORDER, keep=columns)
 
 
 def line_features() -> Column:

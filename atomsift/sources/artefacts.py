@@ -16,7 +16,7 @@ from ..operators.stats import width
 from ..schemas import FILEMAP, PROVENANCE
 from .files import clear_outputs, newest, only_one, open_binary, plain_path, read_text, write_text
 
-RUN_OUTPUTS = ("*_matrix", "*_provenance", "*_filemap.json", "*_params.txt", "*_config.json")
+RUN_OUTPUTS = ("*_matrix", "*_provenance", "*_filemap", "*_params.txt", "*_config.json")
 NPY_ROWS = 100_000
 
 
@@ -38,13 +38,13 @@ def save_descriptor_run(
     paths = {
         "matrix": f"{prefix}_matrix",
         "provenance": f"{prefix}_provenance",
-        "filemap": f"{prefix}_filemap.json",
+        "filemap": f"{prefix}_filemap",
         "log": f"{prefix}_params.txt",
         "config": f"{prefix}_config.json",
     }
     matrix.write.parquet(paths["matrix"])
     provenance.write.parquet(paths["provenance"])
-    write_text(paths["filemap"], json.dumps({str(r["file_id"]): r["file_path"] for r in filemap.toLocalIterator()}, indent=2))
+    filemap.select("file_id", "file_path").write.json(paths["filemap"])
     body = json.dumps(config, indent=2, sort_keys=True)
     written = matrix.sparkSession.read.parquet(paths["matrix"])
     log = [f"Run: {base_name}", f"Timestamp: {timestamp}", f"Descriptor rows: {written.count()}"]
@@ -99,16 +99,15 @@ def read_provenance(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def read_filemap(spark: SparkSession, directory: str) -> DataFrame:
-    """file_id, file_path from the newest JSON object with text keys."""
-    text = spark.read.text(newest(directory, "*_filemap*.json"), wholetext=True)
+    """file_id, file_path from the newest table, or from a JSON object with text keys."""
+    try:
+        return spark.read.json(newest(directory, "*_filemap"), schema=FILEMAP)
+    except FileNotFoundError:
+        text = spark.read.text(newest(directory, "*_filemap*.json"), wholetext=True)
     pairs = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "v"))
     return pairs.select(F.col("k").cast("int").alias("file_id"), F.col("v").alias("file_path"))
 
 
-def empty_filemap(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], FILEMAP)
-
-
 def read_run_config(directory: str) -> dict:
     """Newest run config with defaults for what older runs lack; optional."""
     config = {"soap_dim": None, "force_dim": 0, "include_forces": False}

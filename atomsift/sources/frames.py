@@ -106,6 +106,21 @@ def read_frames(
     return parsed.withColumn("struct_id", F.floor(F.col("source_struct_id") / frame_stride).cast("int"))
 
 
+def with_sizes(files: DataFrame) -> DataFrame:
+    """Adds ``length`` to (file_id, file_path); tasks ask for the sizes."""
+    schema = T.StructType([*files.schema.fields, T.StructField("length", T.LongType())])
+
+    def measure(batches):
+        for batch in batches:
+            sizes = []
+            for path in batch.column("file_path").to_pylist():
+                with open_binary(path) as f:
+                    sizes.append(f.seek(0, 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], names=schema.names)
+
+    return files.mapInArrow(measure, schema)
+
+
 def load_structures(
     spark: SparkSession,
     roots: Sequence[str],

@@ -186,7 +186,8 @@ def _write_ulm(path: str, frames: list[dict]) -> None:
         out.write(bytes(body))
 
 
-TRAJ_PART_FRAMES = 10_000
+# A part file is built in memory, so it is closed after this many atoms.
+TRAJ_PART_ATOMS = 500_000
 
 
 def write_traj(frames: DataFrame, path: str, order_by: Sequence[str] = ("file_path", "source_struct_id")) -> str:
@@ -200,19 +201,20 @@ def write_traj(frames: DataFrame, path: str, order_by: Sequence[str] = ("file_pa
     def save(batches):
         from pyspark import TaskContext
 
-        task, part, pending = TaskContext.get().partitionId(), 0, []
+        task, part, pending, atoms = TaskContext.get().partitionId(), 0, [], 0
 
         def flush():
-            nonlocal part, pending
+            nonlocal part, pending, atoms
             _write_ulm(f"{path}/part-{task:05d}-{part:04d}.traj", pending)
             done = len(pending)
-            part, pending = part + 1, []
+            part, pending, atoms = part + 1, [], 0
             return pa.RecordBatch.from_pydict({"n": pa.array([done], pa.int64())})
 
         for batch in batches:
             for frame in batch.to_pylist():
                 pending.append(frame)
-                if len(pending) >= TRAJ_PART_FRAMES:
+                atoms += len(frame["atoms"])
+                if atoms >= TRAJ_PART_ATOMS:
                     yield flush()
         if pending:
             yield flush()

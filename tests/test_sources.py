@@ -182,6 +182,10 @@ def test_artefacts(spark, workdir, matrix_of):
     assert artefacts.read_matrix(spark, workdir, unique=True).count() == 2
     assert artefacts.read_provenance(spark, workdir).count() == 1
     assert sorted(map(tuple, artefacts.read_filemap(spark, workdir).collect())) == [(0, "/x/a.xyz"), (1, "/x/b.xyz")]
+    legacy = Path(workdir) / "old"
+    legacy.mkdir()
+    (legacy / "r_filemap.json").write_text(json.dumps({"0": "/x/a.xyz"}))
+    assert [tuple(r) for r in artefacts.read_filemap(spark, str(legacy)).collect()] == [(0, "/x/a.xyz")]
     assert artefacts.read_run_config(workdir) == {"soap_dim": 2, "force_dim": 0, "include_forces": False}
     assert "Descriptor cols: 2" in Path(paths["log"]).read_text()
     assert json.loads(Path(paths["config"]).read_text()) == {"soap_dim": 2}
