@@ -9,7 +9,6 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.bins import bin_index
 from .stats import exact_quantiles, long_form, moments
@@ -131,27 +130,26 @@ def mean_coverage(report: DataFrame) -> DataFrame:
     return report.agg(F.coalesce(F.avg("coverage"), F.lit(0.0)).alias("mean_cov"))
 
 
-def coverage_curve(flagged: DataFrame, grid: Grid, steps: int, step: str = "step") -> DataFrame:
-    """(step, mean_cov) for a nested selection, all steps from one pass.
+def coverage_curve(flagged: DataFrame, grid: Grid, steps: int, step: str = "step") -> list[float]:
+    """Mean coverage after each step of a nested selection, from one pass.
 
     ``step`` is the 0-based step at which a row joins (null: never). A bin is
-    covered from its smallest step on, so a running sum gives the curve.
+    covered from its smallest step on, so the bins gained per component and
+    step, components x (steps + 1) numbers, say it all.
     """
-    occupied = bin_occupancy(flagged, grid, F.col(step)).withColumn("nb", _bins_column(grid))
-    real = occupied.filter(F.col("bin") < F.col("nb"))
-    support = real.groupBy("pc").agg(F.count("*").alias("n_support"))
-    gained = real.filter(F.col("first").isNotNull()).groupBy("pc", "first").agg(F.count("*").alias("gain"))
-    slots = support.select("pc", "n_support", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
-    per_pc = (
-        slots.join(gained.withColumnRenamed("first", "step"), ["pc", "step"], "left")
-        .withColumn(
-            "covered",
-            F.sum(F.coalesce("gain", F.lit(0))).over(W.partitionBy("pc").orderBy("step")),
-        )
-        .withColumn("coverage", F.col("covered") / F.col("n_support"))
+    gained = (
+        bin_occupancy(flagged, grid, F.col(step))
+        .groupBy("pc", "first")
+        .agg(F.count_if(F.col("bin") < _bins_column(grid)).alias("n"))
+        .collect()
     )
+    support, curve = np.zeros(len(grid.nb)), np.zeros((len(grid.nb), steps))
+    for r in gained:
+        support[r["pc"]] += r["n"]
+        if r["first"] is not None:
+            curve[r["pc"], r["first"] :] += r["n"]
     # A component without any regular bin contributes 0 to the mean.
-    return per_pc.groupBy("step").agg((F.sum("coverage") / F.lit(len(grid.nb))).alias("mean_cov"))
+    return (curve / np.maximum(support, 1)[:, None]).mean(axis=0).tolist() if len(support) else [0.0] * steps
 
 
 @dataclass
