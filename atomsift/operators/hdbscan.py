@@ -19,96 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import cells
 from ..functions.hashing import hash_key
 from ..functions.vectors import squared_distance
 from ..session import materialize
 from .birch import cluster_means
-from .nearest import assign_centres, nearest_rows
 from .ranking import hash_smallest
 from .stats import width
 
-CELL_POINTS = 1000
-MAX_CELLS = 1024
 # The hierarchy keeps two integers and a weight per distinct point on the driver.
 HIERARCHY_POINTS = 4_000_000
 _FLOOR = 1e-12
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        total += (a[:, j, None] - b[None, :, j]) ** 2
-    return np.sqrt(total)
-
-
-def _cells(points: DataFrame, total: int, seed: int) -> tuple[DataFrame, pd.DataFrame]:
-    """points with their cell, and per cell pivot, radius, rows and weight."""
-    pivots = hash_smallest(points.withColumnRenamed("pid", "row_id"), f"{seed}:pivot", min(MAX_CELLS, -(-total // CELL_POINTS)))
-    block = [(r["row_id"], r["x"]) for r in pivots.select("row_id", "x").collect()]
-    while True:
-        centres = np.array([x for _, x in block])
-        placed = materialize(
-            assign_centres(points, centres, "cell", "d2").withColumn("to_pivot", F.sqrt("d2")).drop("d2"), "cells"
-        )
-        stats = (
-            placed.groupBy("cell")
-            .agg(F.count("*").alias("n"), F.sum("mult").alias("mult"), F.max("to_pivot").alias("radius"))
-            .orderBy("cell")
-            .toPandas()
-        )
-        crowded = stats[stats["n"] > 4 * CELL_POINTS]
-        if crowded.empty or len(block) + len(crowded) > MAX_CELLS:
-            break
-        have = {i for i, _ in block}
-        head = placed.filter(F.col("cell").isin(crowded["cell"].tolist())).groupBy("cell").agg(
-            F.max_by(F.struct("pid", "x"), hash_key(f"{seed}:split{len(block)}", "pid")).alias("p")
-        )
-        added = [(r["p"]["pid"], r["p"]["x"]) for r in head.collect() if r["p"]["pid"] not in have]
-        if not added:
-            break
-        block += added
-    stats["pivot"] = [block[c][0] for c in stats["cell"]]
-    stats["centre"] = [np.array(block[c][1]) for c in stats["cell"]]
-    return placed, stats
-
-
-def _pair_table(spark, pairs: list[tuple[int, int]]) -> DataFrame:
-    return spark.createDataFrame([(int(a), int(b)) for a, b in pairs], "a bigint, b bigint")
-
-
-def _core_distances(placed: DataFrame, stats: pd.DataFrame, gaps: np.ndarray, k: int) -> DataFrame:
-    """pid, core: distance at which k other rows are reached."""
-    cells, radius, mult = stats["cell"].to_numpy(), stats["radius"].to_numpy(), stats["mult"].to_numpy()
-    pairs = []
-    for i in range(len(cells)):
-        reach = gaps[i] + radius[i] + radius
-        order = np.argsort(reach)
-        enough = np.searchsorted(np.cumsum(mult[order]), k + 1)
-        bound = reach[order[min(enough, len(order) - 1)]]
-        for j in np.nonzero(gaps[i] - radius[i] - radius <= bound)[0]:
-            pairs.append((cells[i], cells[j]))
-    table = F.broadcast(_pair_table(placed.sparkSession, pairs))
-    left = placed.select("pid", F.col("x").alias("px"), F.col("cell").alias("a")).join(table, "a")
-    right = placed.select("mult", F.col("x").alias("qx"), F.col("cell").alias("b2"))
-    right = right.join(table.select(F.col("a").alias("a2"), F.col("b").alias("b2")), "b2")
-
-    def nearest(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if p.empty or q.empty:
-            return pd.DataFrame({"pid": [], "near": []})
-        dist = _distances(np.array(p["px"].tolist()), np.array(q["qx"].tolist()))
-        weight = q["mult"].to_numpy()
-        take = np.argsort(dist, axis=1, kind="stable")[:, : k + 1]
-        near = [
-            [{"d": float(dist[i, j]), "m": int(weight[j])} for j in row] for i, row in enumerate(take)
-        ]
-        return pd.DataFrame({"pid": p["pid"].to_numpy(), "near": near})
-
-    partial = (
-        left.groupBy("a", "b")
-        .cogroup(right.groupBy("a2", "b2"))
-        .applyInPandas(nearest, "pid bigint, near array<struct<d:double,m:bigint>>")
-    )
-    merged = partial.groupBy("pid").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+def core_distances(placed: DataFrame, stats: pd.DataFrame, gaps: np.ndarray, k: int) -> DataFrame:
+    """pid, core: distance at which k other rows are reached, copies counted."""
     start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("core"))
     walked = F.aggregate(
         "near",
@@ -118,7 +43,7 @@ def _core_distances(placed: DataFrame, stats: pd.DataFrame, gaps: np.ndarray, k:
             F.when(s["core"].isNull() & (s["seen"] + e["m"] >= k + 1), e["d"]).otherwise(s["core"]).alias("core"),
         ),
     )
-    return merged.select("pid", walked["core"].alias("core"))
+    return cells.nearest_lists(placed, stats, gaps, k).select("pid", walked["core"].alias("core"))
 
 
 def _prim(x: np.ndarray, core: np.ndarray) -> list[tuple[int, int, float]]:
@@ -160,7 +85,7 @@ def _tree_edges(placed: DataFrame, stats: pd.DataFrame, gaps: np.ndarray) -> Dat
         r["pid"]: r["core"]
         for r in placed.filter(F.col("pid").isin([int(p) for p in stats["pivot"]])).select("pid", "core").collect()
     }
-    cells, radius = stats["cell"].to_numpy(), stats["radius"].to_numpy()
+    names, radius = stats["cell"].to_numpy(), stats["radius"].to_numpy()
     core = np.array([pivot_core[p] for p in stats["pivot"]])
     # Largest edge on the pivot tree's path between two cells.
     path = np.zeros_like(gaps)
@@ -169,15 +94,15 @@ def _tree_edges(placed: DataFrame, stats: pd.DataFrame, gaps: np.ndarray) -> Dat
         path[j, reached] = np.maximum(path[i, reached], w)
         path[reached, j] = path[j, reached]
         reached.append(j)
-    widest = np.array([longest.get(c, 0.0) for c in cells])
-    low = cores.loc[cells].to_numpy()
+    widest = np.array([longest.get(c, 0.0) for c in names])
+    low = cores.loc[names].to_numpy()
     pairs = []
-    for i in range(len(cells)):
-        for j in range(i + 1, len(cells)):
+    for i in range(len(names)):
+        for j in range(i + 1, len(names)):
             least = max(gaps[i, j] - radius[i] - radius[j], low[i], low[j])
             if least <= max(widest[i], widest[j], path[i, j]):
-                pairs.append((cells[i], cells[j]))
-    table = F.broadcast(_pair_table(placed.sparkSession, pairs))
+                pairs.append((names[i], names[j]))
+    table = F.broadcast(cells.pair_table(placed.sparkSession, pairs))
     sides = placed.select("pid", "x", "core", "cell")
     both = sides.join(table, F.col("cell") == F.col("a")).unionByName(sides.join(table, F.col("cell") == F.col("b")))
 
@@ -273,10 +198,10 @@ def hdbscan_labels(matrix: DataFrame, min_cluster_size: int = 50, seed: int = 0)
     if size < 2:
         return rows.withColumn("label", F.lit(-1).cast("bigint"))
     k = max(1, min(size - 1, min_cluster_size))
-    placed, stats = _cells(points, total, seed)
+    placed, stats = cells.place(points, total, seed)
     centres = np.array(stats["centre"].tolist())
-    gaps = _distances(centres, centres)
-    cores = _core_distances(placed, stats, gaps, k)
+    gaps = cells.distances(centres, centres)
+    cores = core_distances(placed, stats, gaps, k)
     placed = materialize(placed.join(cores, "pid"), "cores")
     edges = _tree_edges(placed, stats, gaps).toArrow()
     nodes = placed.select("pid", "mult").orderBy("pid").toArrow()

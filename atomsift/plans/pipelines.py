@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import WorkflowConfig, serialize_config
+from ..functions.bins import bin_index_closed
 from ..operators import analysis as A
 from ..operators import provenance as P
 from ..operators import splits as S
 from ..operators.auto import AutoResult, resample_to_coverage, seeded_batches_to_coverage
 from ..operators.coverage import coverage_auto
+from ..operators.embedding import tsne_embedding, umap_embedding
 from ..operators.lift import atoms_to_structures, in_report_order
 from ..operators.ranking import assign_row_ids
 from ..operators.reduction import PCAModel, fit_pca
@@ -23,6 +25,7 @@ from ..operators.stats import standardize, whiten, width
 from ..session import materialize
 from ..sources import artefacts as R
 from ..sources import writers as X
+from ..sources.files import write_text
 from ..sources.frames import atoms_of, read_frames, with_sizes
 
 # The settings of the default workflow; the library defaults are coarser.
@@ -100,17 +103,38 @@ def describe(
 
 
 def reduce_descriptors(
-    spark: SparkSession, desc_dir: str, embedding_dir: str, n_components: float | int = 0.95, use_forces: bool = False
-) -> tuple[DataFrame, PCAModel]:
-    """Standardise and project the newest descriptor matrix; model and scores are saved."""
+    spark: SparkSession,
+    desc_dir: str,
+    embedding_dir: str,
+    n_components: float | int | None = None,
+    use_forces: bool = False,
+    method: str = "pca",
+    prereduce: int | None = None,
+    **options,
+) -> tuple[DataFrame, PCAModel | None]:
+    """Standardise and reduce the newest descriptor matrix; scores (and a PCA model) are saved.
+
+    ``method`` is pca (0.95 of the variance by default), umap or tsne (10
+    components); ``prereduce`` runs the latter two on that many PCA scores.
+    """
+    if method not in ("pca", "umap", "tsne"):
+        raise ValueError("method must be 'pca', 'umap', or 'tsne'")
     matrix, config = R.read_matrix(spark, desc_dir), R.read_run_config(desc_dir)
     if config["include_forces"] and config["soap_dim"] and config["force_dim"] and not use_forces:
         matrix = matrix.withColumn("x", F.slice("x", 1, int(config["soap_dim"])))
     standard = materialize(standardize(matrix), "standard")
-    model = fit_pca(standard, n_components)
-    model.save(f"{embedding_dir}/pca_model.json")
-    path = f"{embedding_dir}/pca_matrix"
-    model.transform(standard).select("row_id", "x").write.mode("overwrite").parquet(path)
+    if method == "pca":
+        model = fit_pca(standard, 0.95 if n_components is None else n_components)
+        write_text(f"{embedding_dir}/pca_model.json", model.to_json())
+        reduced = model.transform(standard)
+    else:
+        model = None
+        if prereduce:
+            standard = materialize(fit_pca(standard, prereduce).transform(standard), "prereduced")
+        embed = umap_embedding if method == "umap" else tsne_embedding
+        reduced = embed(standard, 10 if n_components is None else int(n_components), **options)
+    path = f"{embedding_dir}/{method}_matrix"
+    reduced.select("row_id", "x").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path), model
 
 
@@ -262,3 +286,32 @@ def build_test_set(
         out["traj"] = X.write_traj(frames, f"{outdir}/TEST_selected.traj")
         out["xyz"] = X.write_extxyz(frames, f"{outdir}/TEST_selected.xyz")
     return chosen, out
+
+
+def sampling_plot_data(
+    matrix: DataFrame, selection: DataFrame, coverage: DataFrame, name: str = "pca", max_bar: int = 4, grid: int = 500
+) -> dict[str, DataFrame]:
+    """Tables behind the sampling plots: coverage bars, density of all rows, sampled points.
+
+    Rows are binned on a grid, so that a plot stays small whatever their number.
+    """
+    if width(matrix) < 2 or "pca" not in name.lower():
+        raise RuntimeError("Plotting requires a 2D+ PCA embedding.")
+    points = matrix.join(selection.select("row_id").distinct(), "row_id", "left_semi")
+    return {
+        "bars": coverage.filter(F.col("pc") < max_bar).select((F.col("pc") + 1).alias("component"), "coverage"),
+        "density": A.histogram_2d(matrix, F.col("x")[0], F.col("x")[1], grid),
+        "sampled": points.select("row_id", F.col("x")[0].alias("pc1"), F.col("x")[1].alias("pc2")),
+    }
+
+
+def embedding_plot_data(matrix: DataFrame, provenance: DataFrame, grid: int = 500) -> DataFrame:
+    """symbol, bu, bv, count: density of the first two components per species."""
+    if "symbol" not in provenance.columns:
+        raise KeyError("Provenance must contain a 'symbol' column.")
+    u, v = F.col("x")[0], F.col("x")[1]
+    u0, u1, v0, v1 = matrix.agg(F.min(u), F.max(u), F.min(v), F.max(v)).first()
+    placed = matrix.join(provenance.select("row_id", "symbol"), "row_id").select(
+        "symbol", bin_index_closed(u, u0, u1, grid).alias("bu"), bin_index_closed(v, v0, v1, grid).alias("bv")
+    )
+    return placed.groupBy("symbol", "bu", "bv").agg(F.count("*").alias("count"))

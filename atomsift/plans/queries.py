@@ -11,7 +11,7 @@ from ..functions.hashing import HASH_BITS, hash_key
 from ..functions.text import hill_formula, symbol_counts
 from ..functions.vectors import append_vector, multiply
 from ..operators import analysis as A
-from ..operators import auto, birch, coverage, greedy, hdbscan, kmeans, lift, neighbors, reduction, sampling, soap
+from ..operators import auto, birch, coverage, embedding, hdbscan, kmeans, lift, neighbors, reduction, sampling, soap
 from ..operators import provenance as P
 from ..operators import splits as S
 from ..operators import stats as ST
@@ -504,6 +504,18 @@ def pca_explained_variance(spark, d):
     return rounded(model.as_dataframe(spark), 6, "explained_variance", "explained_variance_ratio")
 
 
+@query("umap_embedding")
+def umap_embedding(spark, d):
+    out = embedding.umap_embedding(ST.standardize(T.embedding_matrix(spark, d)), 4, epochs=3)
+    return spread(out, "row_id")
+
+
+@query("tsne_embedding")
+def tsne_embedding(spark, d):
+    out = embedding.tsne_embedding(ST.standardize(T.embedding_matrix(spark, d)), 2, perplexity=10, epochs=3)
+    return spread(out, "row_id")
+
+
 @query("pca_scores")
 def pca_scores(spark, d):
     matrix = ST.standardize(T.embedding_matrix(spark, d))

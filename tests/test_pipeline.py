@@ -1,6 +1,7 @@
 from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from atomsift.config import InputConfig, SOAPConfig, WorkflowConfig, WorkflowPaths
@@ -48,6 +49,12 @@ def test_whole_run(spark, workdir):
     full = load_structures(spark, [data])
     part = load_structures(spark, [out["traj"]])
     assert part.count() == len(hits)
+    plots = pipelines.sampling_plot_data(scores, chosen.result.selection, chosen.coverage, grid=20)
+    assert plots["density"].agg(F.sum("count")).first()[0] == 36 and plots["sampled"].count() == chosen.result.k
+    by_symbol = pipelines.embedding_plot_data(scores, artefacts.read_provenance(spark, desc), 10)
+    assert {r["symbol"]: r["n"] for r in by_symbol.groupBy("symbol").agg(F.sum("count").alias("n")).collect()} == {"H": 24, "O": 12}
+    with pytest.raises(RuntimeError):
+        pipelines.sampling_plot_data(scores, chosen.result.selection, chosen.coverage, "umap")
     report = pipelines.compare_distributions(full, part)
     size = report["size"].first()
     assert (size["n_full"], size["n_sampled"]) == (24, len(hits))
@@ -80,6 +87,12 @@ def test_fixed_k_and_single_species(spark, workdir):
     assert run["include_forces"] is False and run["force_dim"] == 0
     assert {r["symbol"] for r in spark.read.parquet(paths["provenance"]).collect()} == {"C"}
     assert np.isfinite(np.array([r["x"] for r in spark.read.parquet(paths["matrix"]).collect()])).all()
+    umap, _ = pipelines.reduce_descriptors(
+        spark, f"{workdir}/d", f"{workdir}/u", 2, method="umap", prereduce=3, epochs=2, n_neighbors=4
+    )
+    assert umap.count() == 12 and len(umap.first()["x"]) == 2
+    with pytest.raises(ValueError):
+        pipelines.reduce_descriptors(spark, f"{workdir}/d", f"{workdir}/u", method="lda")
     pipelines.reduce_descriptors(spark, f"{workdir}/d", f"{workdir}/e", 2)
     chosen = pipelines.select_atoms(spark, f"{workdir}/e", f"{workdir}/d", f"{workdir}/s", strategy=None, fixed_k=5, method="kpp")
     assert chosen.result.k == 5

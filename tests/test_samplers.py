@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atomsift.functions.hashing import hash_key, hash_uniform
-from atomsift.operators import birch, greedy, hdbscan, kmeans, nearest
+from atomsift.operators import birch, cells, embedding, greedy, hdbscan, kmeans, nearest
 from atomsift.operators import sampling as SA
 
 
@@ -251,15 +251,15 @@ def tree_model(x, k):
 
 @pytest.mark.parametrize("cell", [10, 1000])
 def test_hdbscan_stages(spark, matrix_of, monkeypatch, cell):
-    monkeypatch.setattr(hdbscan, "CELL_POINTS", cell)
+    monkeypatch.setattr(cells, "CELL_POINTS", cell)
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.normal(0, 1, (60, 2)), rng.normal(8, 0.5, (50, 2)), rng.uniform(-20, 20, (15, 2))])
     pts = hdbscan.materialize(matrix_of(x).select(F.col("row_id").alias("pid"), "x", F.lit(1).cast("bigint").alias("mult")))
-    placed, stats = hdbscan._cells(pts, len(x), 0)
+    placed, stats = cells.place(pts, len(x), 0)
     c = np.array(stats["centre"].tolist())
-    gaps = hdbscan._distances(c, c)
+    gaps = cells.distances(c, c)
     core, weights = tree_model(x, 5)
-    cores = hdbscan._core_distances(placed, stats, gaps, 5)
+    cores = hdbscan.core_distances(placed, stats, gaps, 5)
     np.testing.assert_allclose([r["core"] for r in cores.orderBy("pid").collect()], core)
     edges = hdbscan._tree_edges(hdbscan.materialize(placed.join(cores, "pid")), stats, gaps).collect()
     root, tree = list(range(len(x))), []
@@ -292,3 +292,48 @@ def test_hdbscan_with_copies(spark, matrix_of):
     x = np.concatenate([np.zeros((40, 2)), np.ones((40, 2)) * 5, np.random.default_rng(0).normal(20, 3, (10, 2))])
     labels = [r["label"] for r in hdbscan.hdbscan_labels(matrix_of(x), 10).orderBy("row_id").collect()]
     assert len(set(labels[:40])) == 1 and len(set(labels[40:80])) == 1 and labels[0] != labels[40] and labels[0] >= 0
+
+
+# ---------------------------------------------------------------- neighbour embeddings
+
+
+def test_neighbour_graph_and_weights(spark, matrix_of, monkeypatch):
+    monkeypatch.setattr(cells, "CELL_POINTS", 15)
+    x = np.random.default_rng(2).normal(size=(80, 3))
+    pts = cells.materialize(matrix_of(x).withColumnRenamed("row_id", "pid"))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    order = np.argsort(d, axis=1)[:, 1:7]
+    w = embedding.umap_weights(np.take_along_axis(d, order, axis=1))
+    np.testing.assert_allclose(w.sum(1), np.log2(6), rtol=1e-6)
+    assert (w[:, 0] == 1.0).all()
+    want = np.zeros((80, 80))
+    np.put_along_axis(want, order, w, axis=1)
+    got, mirror = np.zeros((80, 80)), np.zeros((80, 80))
+    for r in embedding.neighbour_graph(pts, 80, 6, embedding.umap_weights, 0).collect():
+        got[r["i"], r["j"]], mirror[r["i"], r["j"]] = r["w"], r["w2"]
+    np.testing.assert_allclose(got, want, atol=1e-9)
+    np.testing.assert_allclose(mirror, want.T, atol=1e-9)
+    p = embedding.tsne_weights(np.take_along_axis(d, np.argsort(d, axis=1)[:, 1:31], axis=1), 10.0)
+    np.testing.assert_allclose(np.exp(-(p * np.log(np.maximum(p, 1e-300))).sum(1)), 10.0, rtol=1e-4)
+
+
+def test_low_dim_curve():
+    a, b = embedding.low_dim_curve(0.1)
+    assert a == pytest.approx(1.577, abs=0.01) and b == pytest.approx(0.895, abs=0.01)
+
+
+@pytest.mark.parametrize("method", ["umap", "tsne"])
+def test_embedding_separates_blobs(spark, matrix_of, method):
+    x = blobs(20, 3, centres=((0, 0, 0), (20, 0, 0), (0, 20, 5)))
+    x = np.concatenate([x, x[:5]])  # copies land on their originals
+    if method == "umap":
+        out = embedding.umap_embedding(matrix_of(x), 2, n_neighbors=8, epochs=8)
+    else:
+        out = embedding.tsne_embedding(matrix_of(x), 2, perplexity=5, epochs=8)
+    y = np.array([r["x"] for r in out.orderBy("row_id").collect()])
+    assert y.shape == (65, 2) and np.isfinite(y).all()
+    np.testing.assert_array_equal(y[60:], y[:5])
+    means = np.array([y[a : a + 20].mean(0) for a in (0, 20, 40)])
+    own = max(np.linalg.norm(y[a : a + 20] - m, axis=1).mean() for a, m in zip((0, 20, 40), means))
+    gaps = [np.linalg.norm(means[i] - means[j]) for i in range(3) for j in range(i)]
+    assert min(gaps) > 1.5 * own
