@@ -34,7 +34,7 @@ def weight_by_variance(matrix: DataFrame, explained_variance: Sequence[float]) -
     return matrix.withColumn("x", V.multiply("x", [float(np.sqrt(v + 1e-12)) for v in explained_variance]))
 
 
-def _features(matrix: DataFrame, side: float, d: int) -> DataFrame:
+def cell_features(matrix: DataFrame, side: float, d: int) -> DataFrame:
     """cell, n, ls, ss per occupied grid cell."""
     cell = F.array(*[F.floor(F.col("x")[j] / side) for j in range(d)])
     return (
@@ -179,7 +179,7 @@ def birch_fit(
     if d == 0:
         raise ValueError("BIRCH needs at least one row")
     side = threshold / d**0.5
-    features = materialize(_features(points, side, d), "features")
+    features = materialize(cell_features(points, side, d), "features")
     members, subs = _subclusters(features, threshold, d)
     centres = subs.select("label", F.transform("ls", lambda s: s / F.col("n")).alias("centre"))
     count = subs.count()

@@ -29,6 +29,7 @@ from .stats import width
 
 # The hierarchy keeps two integers and a weight per distinct point on the driver.
 HIERARCHY_POINTS = 4_000_000
+FOREST_EDGES = 2_000_000
 _FLOOR = 1e-12
 
 
@@ -66,7 +67,7 @@ def _prim(x: np.ndarray, core: np.ndarray) -> list[tuple[int, int, float]]:
 _EDGE = "u bigint, v bigint, w double"
 
 
-def _tree_edges(placed: DataFrame, stats: pd.DataFrame, gaps: np.ndarray) -> DataFrame:
+def tree_edges(placed: DataFrame, stats: pd.DataFrame, gaps: np.ndarray) -> DataFrame:
     """Edges that include the global spanning tree."""
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,6 +118,44 @@ def _tree_edges(placed: DataFrame, stats: pd.DataFrame, gaps: np.ndarray) -> Dat
     return local.select("u", "v", "w").unionByName(both.groupBy("a", "b").applyInPandas(across, _EDGE))
 
 
+def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Kruskal on a bounded list of edges; an edge that closes a cycle is dropped."""
+    pdf = pdf.sort_values(["w", "u", "v"])
+    root: dict[int, int] = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    keep = []
+    for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+        a, b = find(u), find(v)
+        keep.append(a != b)
+        root[a] = b
+    return pdf[keep]
+
+
+def spanning_tree(edges: DataFrame, points: int) -> DataFrame:
+    """The minimum spanning tree of edges between at most HIERARCHY_POINTS points.
+
+    The longest edge of a cycle is never needed, also when only a part of the
+    edges is known. So random parts of twice as many edges as points are thinned
+    to forests, which halves the edges each time, until one part is left.
+    """
+    level = 0
+    while True:
+        parts = -(-edges.count() // max(2 * points, FOREST_EDGES))
+        if parts <= 1:
+            break
+        split = edges.withColumn("part", F.pmod(F.xxhash64("u", "v", F.lit(level)), F.lit(parts)))
+        thin = lambda pdf: _forest(pdf.drop(columns="part"))
+        edges, level = materialize(split.groupBy("part").applyInPandas(thin, _EDGE), "forest"), level + 1
+    tree = _forest(edges.toPandas())
+    return edges.sparkSession.createDataFrame(tree, _EDGE)
+
+
 def cluster_hierarchy(u, v, w, mult: np.ndarray, min_size: int) -> np.ndarray:
     """Labels (-1 noise) by excess of mass, from edges that contain a spanning tree."""
     n = len(mult)
@@ -203,7 +242,7 @@ def hdbscan_labels(matrix: DataFrame, min_cluster_size: int = 50, seed: int = 0)
     gaps = cells.distances(centres, centres)
     cores = core_distances(placed, stats, gaps, k)
     placed = materialize(placed.join(cores, "pid"), "cores")
-    edges = _tree_edges(placed, stats, gaps).toArrow()
+    edges = spanning_tree(materialize(tree_edges(placed, stats, gaps), "edges"), total).toArrow()
     nodes = placed.select("pid", "mult").orderBy("pid").toArrow()
     ids = nodes.column("pid").to_numpy()
     u = np.searchsorted(ids, edges.column("u").to_numpy())

@@ -1,8 +1,7 @@
 """Lloyd iterations from exact k-means++ seeds, and the medoids built on them.
 
-Seeding with :func:`kmeans_plus_plus` keeps the reference semantics (k-means++
-initialisation, several starts, best inertia) and makes a run reproducible on
-any partitioning.
+Several starts from k-means++ seeds, the best inertia wins; a run is
+reproducible on any partitioning.
 """
 
 from __future__ import annotations

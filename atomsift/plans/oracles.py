@@ -76,23 +76,53 @@ f(it, row_id, x, d2, pick) AS (
 picks AS (SELECT DISTINCT CAST(it - 1 AS INTEGER) AS pick_order, pick AS row_id FROM f)"""
 
 
-def kmeans_plus_plus(source: str, k: int, seed: int, dist=distance2) -> str:
-    """CTEs ending in picks(pick_order, row_id)."""
+def kmeans_plus_plus(source: str, k: int, seed: int, dist=distance2, tag: str = "") -> str:
+    """CTEs ending in picks<tag>(pick_order, row_id)."""
     wait = "(CASE WHEN w > 0 THEN greatest(fuse, 0.0) / w ELSE 'infinity'::DOUBLE END)"
     return f"""
-start AS (SELECT row_id, x FROM {source} ORDER BY {hash_key(seed, 'row_id')}, row_id LIMIT 1),
-g(it, row_id, x, w, fuse, pick, gap) AS (
+start{tag} AS (SELECT row_id, x FROM {source} ORDER BY {hash_key(seed, 'row_id')}, row_id LIMIT 1),
+g{tag}(it, row_id, x, w, fuse, pick, gap) AS (
   SELECT 1, row_id, x, w, fuse, arg_min(row_id, ({wait}, row_id)) OVER (), min({wait}) OVER ()
   FROM (SELECT e.row_id, e.x, CASE WHEN e.row_id = s.row_id THEN -1.0 ELSE {dist('e.x', 's.x')} END AS w,
-               -ln({hash_uniform(f'{seed}:clock', 'e.row_id')}) AS fuse FROM {source} e, start s)
+               -ln({hash_uniform(f'{seed}:clock', 'e.row_id')}) AS fuse FROM {source} e, start{tag} s)
   UNION ALL
   SELECT it + 1, row_id, x, w, fuse, arg_min(row_id, ({wait}, row_id)) OVER (), min({wait}) OVER ()
   FROM (SELECT g.it, g.row_id, g.x, g.fuse - g.w * g.gap AS fuse,
                CASE WHEN g.row_id = p.row_id OR g.w < 0 THEN -1.0 ELSE least(g.w, {dist('g.x', 'p.x')}) END AS w
-        FROM g JOIN {source} p ON p.row_id = g.pick WHERE g.it < {k - 1})
+        FROM g{tag} g JOIN {source} p ON p.row_id = g.pick WHERE g.it < {k - 1})
 ),
-picks AS (SELECT 0 AS pick_order, row_id FROM start
-          UNION ALL SELECT DISTINCT CAST(it AS INTEGER), pick FROM g)"""
+picks{tag} AS (SELECT 0 AS pick_order, row_id FROM start{tag}
+          UNION ALL SELECT DISTINCT CAST(it AS INTEGER), pick FROM g{tag})"""
+
+
+def lloyd(source: str, k: int, seed: int, iterations: int, width: int, tag: str = "") -> str:
+    """CTEs of seeds and unrolled Lloyd steps over a materialised source(row_id, x).
+
+    The centres end in c<iterations><tag>(label, x).
+    """
+    ctes = [
+        kmeans_plus_plus(source, k, seed, tag=tag).strip(),
+        f"c0{tag} AS MATERIALIZED (SELECT pick_order AS label, x FROM picks{tag} JOIN {source} USING (row_id))",
+    ]
+    d = distance2("e.x", "c.x")
+    for i in range(iterations):
+        ctes.append(
+            f"a{i}{tag} AS MATERIALIZED (SELECT e.row_id, any_value(e.x) AS x, arg_min(c.label, ({d}, c.label)) AS label "
+            f"FROM {source} e, c{i}{tag} c GROUP BY e.row_id)"
+        )
+        ctes.append(
+            f"m{i}{tag} AS (SELECT label, u.j AS j, avg(x[u.j]) AS v FROM a{i}{tag}, unnest(range(1, {width + 1})) AS u(j) GROUP BY 1, 2)"
+        )
+        ctes.append(
+            f"c{i + 1}{tag} AS MATERIALIZED (SELECT label, coalesce(n.x, o.x) AS x FROM c{i}{tag} o LEFT JOIN "
+            f"(SELECT label, list(v ORDER BY j) AS x FROM m{i}{tag} GROUP BY 1) n USING (label))"
+        )
+    return ", ".join(ctes)
+
+
+def medoids(source: str, centres: str) -> str:
+    d = distance2("e.x", "c.x")
+    return f"SELECT arg_min(e.row_id, ({d}, e.row_id)) AS row_id FROM {source} e, {centres} c GROUP BY c.label"
 
 
 def grid_counts(matrix: str, width: float, min_bins: int, max_bins: int, rule: str = "width") -> str:

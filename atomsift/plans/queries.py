@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..functions.hashing import HASH_BITS, hash_key
 from ..functions.text import hill_formula, symbol_counts
 from ..functions.vectors import append_vector, multiply
 from ..operators import analysis as A
-from ..operators import auto, birch, coverage, embedding, hdbscan, kmeans, lift, neighbors, reduction, sampling, soap
+from ..operators import auto, birch, cells, coverage, embedding, hdbscan, kmeans, lift, neighbors, reduction, sampling, soap
 from ..operators import provenance as P
 from ..operators import splits as S
 from ..operators import stats as ST
@@ -697,11 +699,44 @@ def pair_rdf(spark, d):
     return rounded(rounded(out, 6, "centre"), 9, "weight")
 
 
-@query("soap_descriptor")
+SOAP = soap.SoapBasis(r_cut=3.0, n_max=2, l_max=2, sigma=0.5)
+
+
+def soap_sql(basis: soap.SoapBasis) -> str:
+    """Power spectrum written out for l <= 2, with the radial numbers as constants."""
+    eta, pi = 0.5 / basis.sigma**2, math.pi
+    y = [
+        [f"{math.sqrt(1 / (4 * pi))!r}::DOUBLE"],
+        [f"{math.sqrt(3 / (4 * pi))!r}::DOUBLE * r{c}" for c in "yzx"],
+        [f"{math.sqrt(15 / (4 * pi))!r}::DOUBLE * rx * ry", f"{math.sqrt(15 / (4 * pi))!r}::DOUBLE * ry * rz",
+         f"{math.sqrt(5 / (16 * pi))!r}::DOUBLE * (3 * rz * rz - d2)", f"{math.sqrt(15 / (4 * pi))!r}::DOUBLE * rx * rz",
+         f"{math.sqrt(15 / (16 * pi))!r}::DOUBLE * (rx * rx - ry * ry)"],
+    ]
+    sums, out = [], []
+    for l in range(3):
+        alpha, mix = basis.exponents(l), basis.mixing(l)
+        for n in range(basis.n_max):
+            radial = " + ".join(
+                f"{float(mix[n, q] * (pi / (a + eta)) ** 1.5 * (eta / (a + eta)) ** l)!r}::DOUBLE * exp({float(-a * eta / (a + eta))!r}::DOUBLE * d2)"
+                for q, a in enumerate(alpha)
+            )
+            sums += [f"sum(({radial}) * {h}) AS c{l}{n}{m}" for m, h in enumerate(y[l])]
+        for n in range(basis.n_max):
+            for n2 in range(n, basis.n_max):
+                dot = " + ".join(f"c{l}{n}{m} * c{l}{n2}{m}" for m in range(2 * l + 1))
+                out.append(f"{math.pi * math.sqrt(8 / (2 * l + 1))!r}::DOUBLE * ({dot})")
+    return f"""WITH {O.LINES}, p AS (SELECT l_orderkey AS f, row_id, l_quantity AS x, round(l_discount * 100) AS y, round(l_tax * 100) AS z FROM lines),
+o AS (SELECT a.i::DOUBLE AS i, b.i::DOUBLE AS j, c.i::DOUBLE AS k FROM range(-1, 2) a(i), range(-1, 2) b(i), range(-1, 2) c(i)),
+d AS (SELECT a.f, a.row_id, b.x + 52 * i - a.x AS rx, b.y + 12 * j - a.y AS ry, b.z + 10 * k - a.z AS rz FROM p a JOIN p b ON a.f = b.f, o),
+e AS (SELECT *, rx * rx + ry * ry + rz * rz AS d2 FROM d),
+c AS (SELECT f, row_id, {", ".join(sums)} FROM e WHERE d2 < {basis.reach**2!r} GROUP BY 1, 2),
+s AS (SELECT f, row_id, [{", ".join(out)}] AS x FROM c)
+SELECT f AS struct_id, row_id AS atom_id, CAST(u.j - 1 AS INTEGER) AS pc, round(x[u.j], 6) AS v FROM s, unnest(range(1, {len(out) + 1})) AS u(j)"""
+
+
+@query("soap_descriptor", soap_sql(SOAP))
 def soap_descriptor(spark, d):
-    atoms = T.lattice_atoms(spark, d)
-    out = soap.soap_descriptors(atoms, ["struct_id"], basis=soap.SoapBasis(r_cut=3.0, n_max=2, l_max=2, sigma=0.5))
-    return spread(out, "struct_id", "atom_id")
+    return spread(soap.soap_descriptors(T.lattice_atoms(spark, d), ["struct_id"], basis=SOAP), "struct_id", "atom_id")
 
 
 # ---------------------------------------------------------------- coverage
@@ -925,39 +960,28 @@ def seeded_fps_to_coverage(spark, d):
     return rounded(result.history_frame(), 9, "mean_cov")
 
 
-def lloyd_sql(k: int, seed: int, iterations: int) -> str:
-    """k-means++ seeds and unrolled Lloyd steps, ending in the nearest row per centre."""
-    ctes = [O.EMB.replace("emb AS", "emb AS MATERIALIZED"), O.kmeans_plus_plus("emb", k, seed).strip()]
-    ctes.append("c0 AS MATERIALIZED (SELECT pick_order AS label, x FROM picks JOIN emb USING (row_id))")
-    for i in range(iterations):
-        d = O.distance2("e.x", "c.x")
-        ctes.append(
-            f"a{i} AS MATERIALIZED (SELECT e.row_id, any_value(e.x) AS x, arg_min(c.label, ({d}, c.label)) AS label "
-            f"FROM emb e, c{i} c GROUP BY e.row_id)"
-        )
-        ctes.append(
-            f"m{i} AS (SELECT label, u.j AS j, avg(x[u.j]) AS v FROM a{i}, unnest(range(1, 65)) AS u(j) GROUP BY 1, 2)"
-        )
-        ctes.append(
-            f"c{i + 1} AS MATERIALIZED (SELECT label, coalesce(n.x, c{i}.x) AS x FROM c{i} LEFT JOIN "
-            f"(SELECT label, list(v ORDER BY j) AS x FROM m{i} GROUP BY 1) n USING (label))"
-        )
-    d = O.distance2("e.x", "c.x")
-    return (
-        "WITH RECURSIVE " + ", ".join(ctes) + f" SELECT arg_min(e.row_id, ({d}, e.row_id)) AS row_id "
-        f"FROM emb e, c{iterations} c GROUP BY c.label"
-    )
+EMB_TABLE = O.EMB.replace("emb AS", "emb AS MATERIALIZED")
 
 
-@query("kmeans_medoids", lloyd_sql(12, 0, 6))
+@query("kmeans_medoids", f"WITH RECURSIVE {EMB_TABLE}, {O.lloyd('emb', 12, 0, 6, 64)} {O.medoids('emb', 'c6')}")
 def kmeans_medoids(spark, d):
     return sampling.sample(T.embedding_matrix(spark, d), "kmedoids", 12, n_init=1, max_iter=6, tol=0.0)
 
 
-@query("adaptive_kmedoids")
+# The second size tried reaches the target; both fits are spelled out.
+ADAPTIVE = f"""WITH RECURSIVE {EMB_STATS}, w AS MATERIALIZED (SELECT row_id, list((v - mean) / (sd + 1e-12) ORDER BY pc) AS x
+  FROM lf JOIN st USING (pc) GROUP BY 1),
+{O.lloyd('w', 16, 0, 8, 64, 'a')}, {O.lloyd('w', 24, 0, 8, 64, 'b')},
+fit AS (SELECT 1 - sum(m) / (SELECT sum(s * s) * max(n) FROM (SELECT j, stddev_pop(x[j]) AS s, count(*) AS n FROM w,
+  unnest(range(1, 65)) AS u(j) GROUP BY j)) AS explained FROM (SELECT min({O.distance2('e.x', 'c.x')}) AS m FROM w e, c8a c GROUP BY e.row_id))
+SELECT row_id FROM ({O.medoids('w', 'c8a')}) WHERE (SELECT explained FROM fit) >= 0.12
+UNION ALL SELECT row_id FROM ({O.medoids('w', 'c8b')}) WHERE (SELECT explained FROM fit) < 0.12"""
+
+
+@query("adaptive_kmedoids", ADAPTIVE)
 def adaptive_kmedoids(spark, d):
     medoids, _ = kmeans.adaptive_kmeans_medoids(
-        T.embedding_matrix(spark, d), target_explained=0.3, k_start=16, n_init=1, max_iter=10
+        T.embedding_matrix(spark, d), target_explained=0.12, k_start=16, k_max=24, n_init=1, max_iter=8, tol=0.0
     )
     return medoids
 
@@ -1021,6 +1045,62 @@ def cluster_medoids(spark, d):
     return hdbscan.medoids_of_labels(labelled, per_cluster=3, seed=6)
 
 
+PAIRS = f"{EMB_TABLE}, pr AS MATERIALIZED (SELECT a.row_id AS i, b.row_id AS j, sqrt({O.distance2('a.x', 'b.x')}) AS d FROM emb a, emb b)"
+NEAR = "nr AS (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rn FROM pr)"
+
+
+def _points(spark, d):
+    """Distinct points in cells, and the distances between cell pivots."""
+    matrix = T.embedding_matrix(spark, d).select(F.col("row_id").alias("pid"), "x", F.lit(1).cast("bigint").alias("mult"))
+    points = materialize(matrix, "points")
+    placed, stats = cells.place(points, points.count(), 0)
+    centres = np.array(stats["centre"].tolist())
+    return placed, stats, cells.distances(centres, centres)
+
+
+@query("nearest_neighbours", f"WITH {PAIRS}, {NEAR} SELECT i AS pid, j AS q, round(d, 9) AS d FROM nr WHERE rn <= 16")
+def nearest_neighbours(spark, d):
+    near = cells.nearest_lists(*_points(spark, d), 15)
+    return rounded(near.select("pid", F.explode("near").alias("e")).select("pid", "e.q", "e.d"), 9, "d")
+
+
+@query("hdbscan_core_distance", f"WITH {PAIRS}, {NEAR} SELECT i AS pid, round(d, 9) AS core FROM nr WHERE rn = 6")
+def hdbscan_core_distance(spark, d):
+    return rounded(hdbscan.core_distances(*_points(spark, d), 5), 9, "core")
+
+
+@query(
+    "hdbscan_spanning_tree",
+    f"""WITH RECURSIVE {PAIRS}, {NEAR}, co AS MATERIALIZED (SELECT i, d AS core FROM nr WHERE rn = 6),
+mr AS MATERIALIZED (SELECT pr.i, pr.j, greatest(d, a.core, b.core) AS w FROM pr JOIN co a ON a.i = pr.i JOIN co b ON b.i = pr.j),
+t(it, row_id, best, pick, w) AS (
+  SELECT 1, j, w, arg_min(j, (w, j)) OVER (), min(w) OVER () FROM mr WHERE i = (SELECT min(row_id) FROM emb) AND j <> i
+  UNION ALL
+  SELECT it + 1, row_id, b, arg_min(row_id, (b, row_id)) OVER (), min(b) OVER ()
+  FROM (SELECT t.it, t.row_id, least(t.best, mr.w) AS b FROM t JOIN mr ON mr.i = t.pick AND mr.j = t.row_id WHERE t.row_id <> t.pick))
+SELECT round(w, 9) AS w, count(*) AS n FROM (SELECT DISTINCT it, w FROM t) GROUP BY 1""",
+)
+def hdbscan_spanning_tree(spark, d):
+    placed, stats, gaps = _points(spark, d)
+    placed = materialize(placed.join(hdbscan.core_distances(placed, stats, gaps, 5), "pid"), "cores")
+    edges = materialize(hdbscan.tree_edges(placed, stats, gaps), "edges")
+    tree = hdbscan.spanning_tree(edges, placed.count())
+    return rounded(tree, 9, "w").groupBy("w").agg(F.count("*").alias("n"))
+
+
+@query(
+    "birch_features",
+    "SELECT CAST(floor(l_quantity / 5.0::DOUBLE) AS BIGINT) AS b0, CAST(floor(l_extendedprice / 1024.0::DOUBLE / 5.0::DOUBLE) AS BIGINT) AS b1, "
+    "count(*)::DOUBLE AS n, round(sum(l_quantity), 6) AS s0, round(sum(l_extendedprice / 1024.0::DOUBLE), 6) AS s1, "
+    "round(sum(l_quantity * l_quantity + (l_extendedprice / 1024.0::DOUBLE) * (l_extendedprice / 1024.0::DOUBLE)), 4) AS ss FROM lineitem GROUP BY 1, 2",
+)
+def birch_features(spark, d):
+    rows = T.table(spark, d, "lineitem").select(F.array(F.col("l_quantity"), F.col("l_extendedprice") / 1024.0).alias("x"))
+    f = birch.cell_features(rows, 5.0, 2)
+    out = f.select(F.col("cell")[0].alias("b0"), F.col("cell")[1].alias("b1"), "n", F.col("ls")[0].alias("s0"), F.col("ls")[1].alias("s1"), "ss")
+    return rounded(rounded(out, 6, "s0", "s1"), 4, "ss")
+
+
 @query("hdbscan")
 def hdbscan_sample(spark, d):
     return sampling.sample(T.embedding_matrix(spark, d), "hdbscan", 0, min_cluster_size=5)

@@ -175,7 +175,7 @@ def test_birch_radius_holds(spark, matrix_of, monkeypatch):
     x = np.random.default_rng(1).normal(size=(200, 2))
     monkeypatch.setattr(birch, "REGION_FEATURES", 20)  # regions are split
     m = birch.materialize(matrix_of(x))
-    members, subs = birch._subclusters(birch._features(m, 0.5 / 2**0.5, 2), 0.5, 2)
+    members, subs = birch._subclusters(birch.cell_features(m, 0.5 / 2**0.5, 2), 0.5, 2)
     for r in subs.collect():
         centre = np.array(r["ls"]) / r["n"]
         assert r["ss"] / r["n"] - centre @ centre <= 0.25 + 1e-9
@@ -261,7 +261,10 @@ def test_hdbscan_stages(spark, matrix_of, monkeypatch, cell):
     core, weights = tree_model(x, 5)
     cores = hdbscan.core_distances(placed, stats, gaps, 5)
     np.testing.assert_allclose([r["core"] for r in cores.orderBy("pid").collect()], core)
-    edges = hdbscan._tree_edges(hdbscan.materialize(placed.join(cores, "pid")), stats, gaps).collect()
+    found = hdbscan.materialize(hdbscan.tree_edges(hdbscan.materialize(placed.join(cores, "pid")), stats, gaps))
+    monkeypatch.setattr(hdbscan, "FOREST_EDGES", 40)
+    np.testing.assert_allclose(sorted(r["w"] for r in hdbscan.spanning_tree(found, 30).collect()), weights)
+    edges = found.collect()
     root, tree = list(range(len(x))), []
 
     def find(i):
