@@ -144,14 +144,15 @@ def spanning_tree(edges: DataFrame, points: int) -> DataFrame:
     edges is known. So random parts of twice as many edges as points are thinned
     to forests, which halves the edges each time, until one part is left.
     """
-    level = 0
-    while True:
-        parts = -(-edges.count() // max(2 * points, FOREST_EDGES))
+    level, left, before = 0, edges.count(), None
+    while left != before:
+        parts = -(-left // max(2 * points, FOREST_EDGES))
         if parts <= 1:
             break
         split = edges.withColumn("part", F.pmod(F.xxhash64("u", "v", F.lit(level)), F.lit(parts)))
         thin = lambda pdf: _forest(pdf.drop(columns="part"))
         edges, level = materialize(split.groupBy("part").applyInPandas(thin, _EDGE), "forest"), level + 1
+        left, before = edges.count(), left
     tree = _forest(edges.toPandas())
     return edges.sparkSession.createDataFrame(tree, _EDGE)
 
