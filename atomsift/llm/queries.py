@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, pii, urls
+from . import chat, ctw, packing, pii, urls
+from .scratch import Scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -63,6 +64,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    train = "crc32(cast(doc_id AS string)) % 10 <> 0"
+    return ctw.score_texts(docs, train, Scratch(spark, "context-tree"))
+
+
 def _escaped(column: str) -> str:
     out = f"replace(coalesce({column}, ''), '\\', '\\\\')"
     for mark in chat.CONTROL:
