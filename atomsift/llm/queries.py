@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, packing, pii, urls
+from . import chat, ctw, ngram_join, packing, pii, urls
 from .scratch import Scratch
 
 QUERIES: dict = {}
@@ -31,6 +31,13 @@ URL_RULES = [
 ]
 
 
+@query
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = ngram_join.similar_components(docs, Scratch(spark, "ngram-join"), words=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
