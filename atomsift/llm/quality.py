@@ -5,8 +5,8 @@ grades: P(grade >= k) = sigmoid(w . x - threshold_k). That gives an expected gra
 and tail probabilities, by which texts are selected.
 
 Features are hashed words, word shapes (runs of upper case, lower case and digits
-shortened, other signs kept) and pairs of neighbouring shapes; counts are damped
-and each of the three families has unit length.
+shortened, other signs kept) and pairs of neighbouring shapes, those of repeated
+words apart; counts are damped and each of the three families has unit length.
 """
 
 from __future__ import annotations
@@ -45,8 +45,9 @@ def features(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc, n = texts.doc, len(texts)
     shape = _shape_hash(texts)
     same = doc[1:] == doc[:-1]
-    pair = mix(shape[:-1] * np.uint64(3) + shape[1:])[same]
-    families = [(texts.word_hash(), doc), (shape, doc), (pair, doc[1:][same])]
+    word = texts.word_hash()
+    pair = mix(shape[:-1] * np.uint64(3) + shape[1:] + (word[1:] == word[:-1]) * np.uint64(7))[same]
+    families = [(word, doc), (shape, doc), (pair, doc[1:][same])]
     rows, columns, values = [], [], []
     for salt, ((h, d), weight) in enumerate(zip(families, FAMILY_WEIGHT, strict=True)):
         column = (mix(h + np.uint64(salt)) >> np.uint64(32)).astype(np.int64) % WIDTH
@@ -81,7 +82,7 @@ def _sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit(row, column, value, y, grades, steps: int = 250, rate: float = 0.1, decay: float = 1e-3) -> CumulativeLink:
+def fit(row, column, value, y, grades, steps: int = 250, rate: float = 0.1, decay: float = 1e-4) -> CumulativeLink:
     """Maximum likelihood with a quadratic penalty, by Adam on all rows; ``y`` numbers the grades from 0.
 
     The thresholds are the first one and positive gaps, so they stay in order.

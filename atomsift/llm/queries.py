@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, decontaminate, ngram_join, packing, pii, quality, urls
+from . import chat, ctw, decontaminate, neardup, ngram_join, packing, pii, quality, toxicity, urls
 from .scratch import Scratch
 
 QUERIES: dict = {}
@@ -50,11 +50,25 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "near-duplicates"), least=0.9)
+
+
 @query
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = "crc32(cast(doc_id AS string)) % 5 = 0"
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), f"NOT {held_out}")
+    scores = toxicity.score(docs, model)
+    return scores.select("doc_id", F.expr(held_out).alias("held_out"), "score", "predicted")
+
+
 @query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
