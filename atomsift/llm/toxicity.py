@@ -27,7 +27,7 @@ BEGINNINGS = (4, 5, 6, 7)
 TOP = 4
 WINDOW, STRIDE = 24, 16
 #: Labelled texts to fit on at most, half of them toxic if there are enough.
-SAMPLE_ROWS = 3072
+SAMPLE_ROWS = 2048
 BATCH = 4096
 
 
@@ -328,12 +328,29 @@ def train(docs: DataFrame, labels: DataFrame, learn: str, sample_rows: int = SAM
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     rows = docs.select(F.col("doc_id").cast("long"), text).join(F.broadcast(chosen), "doc_id")
     rows = rows.where(F.length("text") <= FIT_CHARS)
-    table = rows.select("doc_id", "text", "toxic").toArrow().sort_by("doc_id")
-    return fit(table["text"].combine_chunks(), (table["toxic"].to_numpy() > 0).astype(np.int64))
+    # the sample is bounded, so one task can hold it; an executor has the memory for the fit, the driver need not
+    parts = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(_fit_task, "name string, data binary, shape string")
+    weights = {r["name"]: np.frombuffer(r["data"], np.float32).reshape(_shape(r["shape"])) for r in parts.collect()}
+    return weights or fit(pa.array([], pa.string()), np.zeros(0, np.int64))
+
+
+def _shape(text: str) -> tuple[int, ...]:
+    return tuple(map(int, text.split(",")))
+
+
+def _fit_task(batches):
+    parts = [b for b in batches if b.num_rows]
+    if parts:
+        table = pa.Table.from_batches(parts).sort_by("doc_id")
+        weights = fit(table["text"].combine_chunks(), (table["toxic"].to_numpy() > 0).astype(np.int64))
+        for name, w in weights.items():
+            yield pa.RecordBatch.from_pydict(
+                {"name": [name], "data": [w.astype(np.float32).tobytes()], "shape": [",".join(map(str, w.shape))]}
+            )
 
 
 #: Longer labelled texts are left out of the fit; scores are of texts of any length.
-FIT_CHARS = 1 << 16
+FIT_CHARS = 1 << 14
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
