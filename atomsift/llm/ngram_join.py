@@ -6,6 +6,9 @@ Tokens (word n-grams) are hashed into groups. Two uses of the groups:
   groups, some group has the same tokens in both. The content of a group is
   therefore a key that similar texts share, and one that takes several equal
   tokens, so a passage or line that many texts have in common does not make one.
+  Below ``GROUPS_FROM`` percent a group would hold too few tokens for that; there
+  the keys of a text are its first tokens in an order that has the frequent tokens
+  of the corpus last, as many as two similar texts cannot both avoid.
   Texts are joined into clusters over equal keys (star edges from a range sort, so
   a key of any size is split over tasks).
 * Search. Inside a cluster, group counts are points of a tree of bounding boxes.
@@ -32,6 +35,10 @@ TOKEN_BITS = 52  # 12 bits number the text within a chunk
 BLOCK, BLOCK_TOKENS = 1024, 1 << 20
 FANOUT = 16
 BROADCAST_ROWS = 1 << 20  # 16 bytes each
+GROUPS_FROM = 86
+HOLD = 1 << 22  # tokens that a task counts at a time
+OFTEN = 4  # a token is reported if it comes so often among those
+MOST_FREQUENT = 1 << 22  # at most so many tokens can make up one part in MOST_FREQUENT of the corpus
 
 
 def token_sets(texts, words: int):
@@ -126,8 +133,61 @@ def _keys(token, doc, n_docs, sizes, plan: Plan):
     return doc[order], key[order]
 
 
-def _fingerprints(words: int, plan: Plan):
+def _often(words: int):
+    """Tokens that come ``OFTEN`` times among ``HOLD`` or more tokens of a task, and how often."""
+
+    def count(parts):
+        token, n = np.unique(np.concatenate(parts), return_counts=True)
+        some = n >= OFTEN
+        return pa.RecordBatch.from_arrays([pa.array(token[some].view(np.int64)), pa.array(n[some])], ["token", "n"])
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for _, texts in chunks(batch.column("text")):
+                parts.append(token_sets(texts, words)[0])
+                held += len(parts[-1])
+                if held >= HOLD:
+                    yield count(parts)
+                    parts, held = [], 0
+        if parts:
+            yield count(parts)
+
+    return run
+
+
+def frequent_tokens(rows: DataFrame, words: int) -> np.ndarray:
+    """Frequent tokens, rarest first. What is in the table changes the work to do, never the result.
+
+    Tokens with fewer occurrences than one part in ``MOST_FREQUENT`` of all that
+    were reported stay out, so the table has no more than that many entries.
+    """
+    counts = rows.mapInArrow(_often(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    table = counts.where(F.col("n") >= max(4 * OFTEN, total / MOST_FREQUENT)).toArrow()
+    token, n = table["token"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    return token[np.lexsort((token, n))]
+
+
+def _first_tokens(token, doc, n_docs, sizes, plan: Plan, by_value, rank):
+    """The tokens that come first in the common order, as many as rule out that similar sets share none."""
+    place = mix(token) >> np.uint64(1)
+    if len(by_value):
+        at = np.minimum(np.searchsorted(by_value, token), len(by_value) - 1)
+        known = by_value[at] == token
+        place[known] = (np.uint64(1) << np.uint64(63)) | rank[at[known]]
+    order = np.lexsort((place, doc))
+    first = np.where(sizes >= plan.least, sizes - -(-plan.percent * sizes // 100) + 1, 0)
+    position = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    taken = position < first[doc]
+    return doc[taken], token[order][taken]
+
+
+def _fingerprints(words: int, plan: Plan, frequent=None):
     def run(batches):
+        if frequent is not None:
+            by_value = np.sort(frequent.value)
+            rank = np.argsort(frequent.value).astype(np.uint64)
         for batch in batches:
             for first, texts in chunks(batch.column("text")):
                 n = len(texts)
@@ -138,7 +198,10 @@ def _fingerprints(words: int, plan: Plan):
                 for salt in (0x1F3D, 0x2E5B):
                     run_ = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(token + np.uint64(salt)))])
                     sums.append(mix(run_[starts[1:]] - run_[starts[:-1]]).view(np.int64))
-                kd, key = _keys(token, doc, n, sizes, plan)
+                if frequent is None:
+                    kd, key = _keys(token, doc, n, sizes, plan)
+                else:
+                    kd, key = _first_tokens(token, doc, n, sizes, plan, by_value, rank)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(first, n),
@@ -311,8 +374,11 @@ def similar_components(docs: DataFrame, scratch: Scratch, words: int = 3, percen
     """
     plan = Plan(percent)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    frequent = None
+    if percent < GROUPS_FROM:
+        frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(rows, words))
     prints = rows.mapInArrow(
-        _fingerprints(words, plan), "doc_id long, n long, sum_a long, sum_b long, keys array<long>"
+        _fingerprints(words, plan, frequent), "doc_id long, n long, sum_a long, sum_b long, keys array<long>"
     )
     prints = scratch.keep(prints, "prints")
     usable = prints.where("n > 0 AND doc_id IS NOT NULL")
@@ -333,6 +399,27 @@ def similar_components(docs: DataFrame, scratch: Scratch, words: int = 3, percen
     return joined.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
+def drop_similar(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without those that a smaller id is connected with, all columns kept.
+
+    Rows with null ids stay; of rows with the same id and text one stays.
+    """
+    found = similar_components(docs, scratch, words, percent).select("doc_id", "component_id")
+    found = scratch.keep(found.where("doc_id IS NOT NULL"), "found")
+    dropped = scratch.keep(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    repeated = scratch.keep(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+
+    def sized(ids):
+        return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+    kept = docs.join(sized(dropped), "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return kept.select(docs.columns)
+    few = sized(repeated)
+    once = kept.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(few, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+
+
 def _verified(rows: DataFrame, clusters: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
     members = scratch.keep(clusters.select(F.col("id").alias("node"), F.col("component").alias("cluster")), "clusters")
     small = members.count() <= BROADCAST_ROWS
