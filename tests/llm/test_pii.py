@@ -6,7 +6,7 @@ from atomsift.llm import pii
 TEXT = (
     "write john.doe [at] mail (dot) example.com or jane at example dot org; ip 10.0.0.256 10.0.0.25 8.8.8.8.8; "
     "card 4111 1111 1111 1111 and four one one one one one one one one one one one one one one one; "
-    "+49 (30) 1234567 adm\u0456n@ex\u0430mple.com 5\uff1500-0000-0000-0004 192 dot 168 dot 0 dot 12"
+    "+49 (30) 1234567 adm\u0456n@ex\u0430mple.com 5\uff1500-0000-0000-0004; 192 dot 168 dot 0 dot 12"
 )
 
 
