@@ -102,38 +102,54 @@ def fit_kmeans(
     return best
 
 
-def _subset(matrix: DataFrame, size: int | None, seed: int) -> DataFrame:
-    """The fit may look at a seeded subset; medoids always come from all rows."""
-    if size is None:
-        return matrix
-    return materialize(hash_smallest(matrix, f"{seed}:subset", size), "subset")
+def _fit_rows(full: DataFrame, subsample: int | None, seed: int) -> DataFrame:
+    """All rows, unless the caller wants a seeded subset; medoids come from all rows in any case."""
+    if subsample is None:
+        return full
+    return materialize(hash_smallest(full, f"{seed}:subset", subsample), "subset")
 
 
 def kmeans_medoids(
     matrix: DataFrame,
     k: int,
     seed: int = 0,
-    subsample: int | None = 200_000,
+    subsample: int | None = None,
     n_init: int = 10,
     max_iter: int = 300,
     tol: float = 1e-4,
 ) -> DataFrame:
     """row_id, x of the row nearest to each centroid; a row may serve two centroids."""
     full = materialize(matrix.select("row_id", F.col("x").cast("array<double>").alias("x")), "matrix")
-    total = full.count()
-    fit_on = full if subsample is None or total <= subsample else _subset(full, subsample, seed)
-    fit = fit_kmeans(fit_on, min(k, total), seed, n_init, max_iter, tol)
+    fit = fit_kmeans(_fit_rows(full, subsample, seed), min(k, full.count()), seed, n_init, max_iter, tol)
     return nearest_rows(full, fit.centres).select("row_id", "x")
 
 
 @dataclass
-class AdaptiveInfo:
-    k: int
-    explained: float
-    inertia_subset: float
-    tss_subset: float
-    subset_size: int
-    history: list[tuple[int, float]] = field(default_factory=list)
+class AdaptiveFit:
+    """The last of the fits, and what share of the variance each number of clusters explained."""
+
+    fit: KMeansFit
+    variation: float
+    rows: int
+    explained: dict[int, float] = field(default_factory=dict)
+
+    @property
+    def k(self) -> int:
+        return max(self.explained)
+
+    def add(self, k: int, fit: KMeansFit) -> float:
+        left = fit.inertia / self.variation if self.variation > 0 else 0.0
+        self.fit, self.explained[k] = fit, float(np.clip(1 - left, 0, 1))
+        return self.explained[k]
+
+
+def _cluster_numbers(first: int, last: int, growth: float):
+    """Growing numbers of clusters, at least one more each time, ``last`` at the end."""
+    k = max(2, first)
+    while k < last:
+        yield k
+        k = max(k + 1, math.ceil(k * growth))
+    yield max(2, last)
 
 
 def adaptive_kmeans_medoids(
@@ -143,29 +159,21 @@ def adaptive_kmeans_medoids(
     k_max: int = 100_000,
     growth: float = 1.5,
     seed: int = 0,
-    subsample: int = 200_000,
+    subsample: int | None = None,
     standardize: bool = True,
     n_init: int = 10,
     max_iter: int = 300,
     tol: float = 1e-4,
-) -> tuple[DataFrame, AdaptiveInfo]:
-    """Grow k until the clusters explain the target share of the variance."""
+) -> tuple[DataFrame, AdaptiveFit]:
+    """Medoids of the first clustering that explains the target share of the variance."""
     clean = sanitize(matrix.select("row_id", F.col("x").cast("array<double>").alias("x")), bound=1e6)
     full = materialize(whiten(clean) if standardize else clean, "matrix")
-    total = full.count()
-    fit_on = full if total <= subsample else _subset(full, subsample, seed)
-    size = min(total, subsample)
-    if size < 2:
-        raise ValueError("Not enough valid rows for clustering.")
-    tss = float(sum(s * s for s in moments(fit_on).std) * size)
-    k, history = max(2, int(k_start)), []
-    while True:
-        fit = fit_kmeans(fit_on, min(k, size), seed, n_init, max_iter, tol)
-        explained = min(max(1.0 - fit.inertia / tss, 0.0), 1.0) if tss > 0 else 1.0
-        history.append((k, explained))
-        if explained >= target_explained or k >= k_max:
+    fit_on = _fit_rows(full, subsample, seed)
+    rows = fit_on.count()
+    if rows < 2:
+        raise ValueError(f"{rows} finite rows cannot be clustered")
+    info = AdaptiveFit(None, rows * float(np.square(moments(fit_on).std).sum()), rows)
+    for k in _cluster_numbers(k_start, k_max, growth):
+        if info.add(k, fit_kmeans(fit_on, min(k, rows), seed, n_init, max_iter, tol)) >= target_explained:
             break
-        k = int(min(k_max, max(k + 1, math.ceil(k * growth))))
-    info = AdaptiveInfo(k, explained, fit.inertia, tss, size, history)
-    medoids = nearest_rows(full, fit.centres).select("row_id")
-    return medoids, info
+    return nearest_rows(full, info.fit.centres).select("row_id"), info

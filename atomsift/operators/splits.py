@@ -71,8 +71,8 @@ def test_set(
         rest = unused_frames(rest, used_frames(*manifests))
     rest = materialize(rest, "remaining")
     if rest.isEmpty():
-        raise ValueError("No remaining structures available to build a test set.")
+        raise ValueError("every structure is in a manifest already, none is left for a test set")
     chosen = materialize(pick_test_set(rest, n_test, seed), "test-set")
     if chosen.isEmpty():
-        raise ValueError("Test set is empty after dropping missing file paths.")
+        raise ValueError("none of the structures drawn for the test set has a file path")
     return chosen

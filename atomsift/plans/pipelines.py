@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import WorkflowConfig, serialize_config
+from ..config import WorkflowConfig, as_fields
 from ..functions.bins import bin_index_closed
 from ..operators import analysis as A
+from ..operators import export as E
 from ..operators import provenance as P
 from ..operators import splits as S
 from ..operators.auto import AutoResult, resample_to_coverage, seeded_batches_to_coverage
@@ -25,7 +27,7 @@ from ..operators.stats import standardize, whiten, width
 from ..session import materialize
 from ..sources import artefacts as R
 from ..sources import writers as X
-from ..sources.files import write_text
+from ..sources.files import absolute, matching, only_one, write_text
 from ..sources.frames import atoms_of, read_frames, with_sizes
 
 # The settings of the default workflow; the library defaults are coarser.
@@ -81,7 +83,7 @@ def describe(
     provenance = table.select("row_id", *keys, "symbol", "is_fixed", "source_struct_id")
     counts = frames.agg(F.count("*").alias("n")).first()
     run = {
-        **serialize_config(inputs),
+        **as_fields(inputs),
         "discovered_file_count": found.count(),
         "selected_file_count": files.count(),
         "soap_params": {**soap.to_kwargs(), "species": soap.species or species},
@@ -188,10 +190,15 @@ def select_atoms(
 
 
 def frames_of(structures: DataFrame) -> DataFrame:
-    """Reload exactly the chosen frames; every file range is opened once."""
-    files = with_sizes(structures.select("file_id", "file_path").distinct())
-    wanted = structures.select("file_id", F.col("struct_id").alias("source_struct_id"))
-    return read_frames(files, frames=wanted)
+    """A frame for every row, numbered by ``pos`` in path and frame order; repeats are kept.
+
+    Every file range is opened once. A frame that a file does not have is an error.
+    """
+    asked = E.in_request_order(structures)
+    known = asked.filter("file_path IS NOT NULL")
+    files = with_sizes(known.select("file_id", "file_path").distinct())
+    wanted = known.select("file_id", F.col("struct_id").alias("source_struct_id"))
+    return E.with_frames(asked, read_frames(files, frames=wanted))
 
 
 def export_structures(
@@ -201,26 +208,34 @@ def export_structures(
     extra_formats: Sequence[str] = ("xyz", "xdatcar"),
     manifest: bool = True,
     write_traj: bool = True,
+    load_mode: str = "auto",
 ) -> dict[str, str]:
-    """Trajectory, manifest and viewer formats of the chosen structures."""
+    """Trajectory, manifest and viewer formats of the chosen structures.
+
+    Row i of the manifest is frame i of the trajectory. ``load_mode`` is checked
+    and otherwise without effect: files are read by byte ranges in any case.
+    """
+    if load_mode not in E.LOAD_MODES:
+        raise ValueError(f"load_mode {load_mode!r} is none of {', '.join(E.LOAD_MODES)}")
     missing = {"file_path", "struct_id", "file_id"} - set(structures.columns)
     if missing:
         raise KeyError(f"structures lack columns: {sorted(missing)}")
-    frames = materialize(frames_of(structures), "export")
+    frames = frames_of(structures)
     base, out = f"{outdir.rstrip('/')}/{method_name}", {}
     if write_traj:
-        out["traj"] = X.write_traj(frames, f"{base}_selected.traj")
+        out["traj"] = X.write_traj(frames, f"{base}_selected.traj", ["pos"])
     if manifest:
         out["manifest"] = f"{base}_selected_manifest.csv"
-        table = X.export_manifest(structures, frames)
-        in_report_order(table).write.mode("overwrite").csv(out["manifest"], header=True)
+        table = X.export_manifest(frames, structures.columns)
+        table.write.mode("overwrite").csv(out["manifest"], header=True)
     if "xyz" in extra_formats:
-        out["xyz"] = X.write_extxyz(frames, f"{base}_selected.xyz")
+        out["xyz"] = X.write_extxyz(frames, f"{base}_selected.xyz", ["pos"])
     if "xdatcar" in extra_formats:
         if X.one_species_sequence(frames):
-            out["xdatcar"] = X.write_xdatcar(frames, f"{base}_selected_XDATCAR")
+            out["xdatcar"] = X.write_xdatcar(frames, f"{base}_selected_XDATCAR", ["pos"])
         else:
-            out["xdatcar"] = X.write_xdatcar_per_file(frames, f"{base}_XDATCAR_by_file")
+            out["xdatcar"] = "multiple"
+            out |= {f"xdatcar::{stem}": at for stem, at in X.write_xdatcar_per_file(frames, f"{base}_XDATCAR").items()}
     return out
 
 
@@ -246,10 +261,19 @@ def compare_distributions(full: DataFrame, sampled: DataFrame) -> dict[str, Data
     return out
 
 
+def source_trajectory(selected_dir: str, method: str = "FPS") -> str:
+    """The exported trajectory of a method, or the only one there is."""
+    own = matching(selected_dir, [f"{method}_selected.traj"])
+    return own[0].path if own else only_one(selected_dir, "*_selected.traj")
+
+
 def split_selection(
-    frames: DataFrame, outdir: str, method: str = "FPS", percent: float = 20, seed: int = 42
+    frames: DataFrame, outdir: str, method: str = "FPS", percent: float = 20, seed: int = 42, source: str = ""
 ) -> dict[str, dict[str, str]]:
-    """Validation and training sets of exported frames, with text manifests."""
+    """Validation and training sets of exported frames, with text manifests.
+
+    ``source`` names the trajectory in the manifests, see :func:`source_trajectory`.
+    """
     numbered = materialize(assign_row_ids(frames, ["file_path", "source_struct_id"], "index"), "split")
     total = numbered.count()
     val, train = S.validation_split(numbered, percent, seed, "index")
@@ -260,7 +284,9 @@ def split_selection(
     ):
         part = materialize(part, name)
         base = f"{outdir.rstrip('/')}/{name}/{method}_selected_{name}_{seed}_{share}"
-        header = {"Total frames": total, "Percent": share, "Seed": seed, "Selected frames": part.count()}
+        # The lines above a manifest.
+        header = {"Source": absolute(source) if source else "", "Created": time.strftime("%Y-%m-%d %H:%M:%S")}
+        header |= {"Total frames": total, "Percent": share, "Seed": seed, "Selected frames": part.count()}
         out[name] = {
             "traj": X.write_traj(part, f"{base}.traj", ["index"]),
             "xyz": X.write_extxyz(part, f"{base}.xyz", ["index"]),
@@ -282,9 +308,9 @@ def build_test_set(
     chosen = spark.read.csv(path, header=True, schema=schema)
     out = {"manifest": path}
     if export:
-        frames = materialize(frames_of(chosen), "test")
-        out["traj"] = X.write_traj(frames, f"{outdir}/TEST_selected.traj")
-        out["xyz"] = X.write_extxyz(frames, f"{outdir}/TEST_selected.xyz")
+        frames = frames_of(chosen)
+        out["traj"] = X.write_traj(frames, f"{outdir}/TEST_selected.traj", ["pos"])
+        out["xyz"] = X.write_extxyz(frames, f"{outdir}/TEST_selected.xyz", ["pos"])
     return chosen, out
 
 
@@ -296,7 +322,7 @@ def sampling_plot_data(
     Rows are binned on a grid, so that a plot stays small whatever their number.
     """
     if width(matrix) < 2 or "pca" not in name.lower():
-        raise RuntimeError("Plotting requires a 2D+ PCA embedding.")
+        raise RuntimeError(f"{name}: two or more principal components are needed for these tables")
     points = matrix.join(selection.select("row_id").distinct(), "row_id", "left_semi")
     return {
         "bars": coverage.filter(F.col("pc") < max_bar).select((F.col("pc") + 1).alias("component"), "coverage"),
@@ -308,7 +334,7 @@ def sampling_plot_data(
 def embedding_plot_data(matrix: DataFrame, provenance: DataFrame, grid: int = 500) -> DataFrame:
     """symbol, bu, bv, count: density of the first two components per species."""
     if "symbol" not in provenance.columns:
-        raise KeyError("Provenance must contain a 'symbol' column.")
+        raise KeyError("symbol")
     u, v = F.col("x")[0], F.col("x")[1]
     u0, u1, v0, v1 = matrix.agg(F.min(u), F.max(u), F.min(v), F.max(v)).first()
     placed = matrix.join(provenance.select("row_id", "symbol"), "row_id").select(

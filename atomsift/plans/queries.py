@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import HASH_BITS, hash_key
-from ..functions.text import hill_formula, symbol_counts
-from ..functions.vectors import append_vector, multiply
 from ..operators import analysis as A
 from ..operators import auto, birch, cells, coverage, embedding, hdbscan, kmeans, lift, neighbors, reduction, sampling, soap
+from ..operators import export as EX
 from ..operators import provenance as P
 from ..operators import splits as S
 from ..operators import stats as ST
@@ -405,14 +404,8 @@ def _sequences(spark, d):
     atoms = T.line_atoms(spark, d)
     ordered = F.array_sort(F.collect_list(F.struct("atom_id", "symbol")))
     grouped = atoms.groupBy("file_id", "struct_id").agg(ordered.alias("atoms"))
-    symbols = F.col("atoms.symbol")
-    return grouped.select(
-        "file_id",
-        "struct_id",
-        F.size("atoms").cast("bigint").alias("n_atoms"),
-        hill_formula(symbol_counts(symbols)).alias("formula"),
-        F.array_join(symbols, " ").alias("species_sequence"),
-    )
+    described = EX.describe(grouped, F.col("atoms.symbol"))
+    return described.select("file_id", "struct_id", "n_atoms", "formula", "species_sequence")
 
 
 @query(
@@ -429,8 +422,7 @@ def export_manifest(spark, d):
     f"WITH {O.ATOMS}, {SPECIES} SELECT file_id, count(DISTINCT species_sequence) = 1 AS single FROM seqs GROUP BY 1",
 )
 def xdatcar_check(spark, d):
-    distinct = _sequences(spark, d).select("file_id", "species_sequence").distinct()
-    return distinct.groupBy("file_id").agg((F.count("*") == 1).alias("single"))
+    return EX.one_sequence_per_file(_sequences(spark, d))
 
 
 @query(
@@ -440,8 +432,7 @@ def xdatcar_check(spark, d):
 )
 def load_mode(spark, d):
     chosen = _lift(spark, d, choose="all")[1]
-    frames = chosen.select("file_id", "struct_id").distinct().groupBy("file_id").agg(F.count("*").alias("n"))
-    return frames.agg(F.when(F.max("n") > 1, "grouped").otherwise("single").alias("mode"))
+    return EX.load_mode(chosen)
 
 
 # ---------------------------------------------------------------- statistics

@@ -47,6 +47,7 @@ def save_descriptor_run(
     filemap.select("file_id", "file_path").write.json(paths["filemap"])
     body = json.dumps(config, indent=2, sort_keys=True)
     written = matrix.sparkSession.read.parquet(paths["matrix"])
+    # The lines of the log.
     log = [f"Run: {base_name}", f"Timestamp: {timestamp}", f"Descriptor rows: {written.count()}"]
     log += [f"Descriptor cols: {width(written)}", "", "Config:", body]
     write_text(paths["log"], "\n".join(log))

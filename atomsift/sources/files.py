@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import os
 import posixpath
 from collections.abc import Sequence
 
@@ -29,11 +30,26 @@ def open_binary(path: str):
     return io.BufferedReader(system.open_input_file(inner))
 
 
+def absolute(path) -> str:
+    """A local path without ``~`` and relative parts; a URI as it is."""
+    path = str(path)
+    return path if "://" in path else os.path.realpath(os.path.expanduser(path))
+
+
+def make_folder(path) -> str:
+    """The absolute path of a folder, made if it is missing; local or remote."""
+    path = absolute(path)
+    system, inner = _system(path)
+    system.create_dir(inner, recursive=True)
+    return path
+
+
 def _system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def write_text(path: str, text: str) -> str:
+    path = absolute(path)
     system, inner = _system(path)
     system.create_dir(posixpath.dirname(inner), recursive=True)
     with system.open_output_stream(inner) as out:
@@ -42,7 +58,7 @@ def write_text(path: str, text: str) -> str:
 
 
 def read_text(path: str) -> str:
-    with open_binary(path) as f:
+    with open_binary(absolute(path)) as f:
         return f.read().decode()
 
 
@@ -95,25 +111,27 @@ def discover_structure_files(
     """file_path, length of the structure files under the roots, each once.
 
     Spark lists the folders; contents are not read. An explicit file counts
-    only if its name matches a pattern.
+    only if its name matches a pattern. ``~`` and relative roots are made
+    absolute. Spark's lister takes names that begin with ``_`` or ``.`` for
+    hidden ones, and so does this function: such files and folders are skipped.
     """
     if isinstance(patterns, str):
         patterns = [patterns]
     found = None
-    for root in roots:
+    for root in map(absolute, roots):
         for pattern in patterns or DEFAULT_PATTERNS:
             reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
             if recursive:
                 reader = reader.option("recursiveFileLookup", "true")
             try:
-                part = reader.load(str(root)).select(plain_path("path").alias("file_path"), "length")
+                part = reader.load(root).select(plain_path("path").alias("file_path"), "length")
             except AnalysisException as e:
                 if "PATH_NOT_FOUND" in str(e):
-                    raise FileNotFoundError(f"Input root does not exist: {root}") from e
+                    raise FileNotFoundError(f"cannot read {root}: no such file or folder") from e
                 raise
             found = part if found is None else found.unionByName(part)
     if found is None or found.isEmpty():
-        raise FileNotFoundError(f"No structure files found under: {list(roots)}")
+        raise FileNotFoundError(f"no file below {list(roots)} has a name like {patterns or DEFAULT_PATTERNS}")
     return found.dropDuplicates(["file_path"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import hill_formula, symbol_counts
+from ..operators.export import describe
 from .files import _system
 from .formats import SYMBOLS, ULM_MAGIC
 
@@ -124,26 +125,40 @@ def write_xdatcar(frames: DataFrame, path: str, order_by: Sequence[str] = ("file
     return path
 
 
-def write_xdatcar_per_file(frames: DataFrame, path: str) -> str:
-    """One folder per source file, for files whose frames agree in species."""
+def _folder_name(value: str) -> str:
+    """How a partition value is written in a folder's name."""
+    return re.sub(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda m: f"%{ord(m[0]):02X}", value)
+
+
+def write_xdatcar_per_file(frames: DataFrame, path: str) -> dict[str, str]:
+    """A folder for every source file whose frames agree in species, by the file's stem.
+
+    Files of one stem are told apart by their ``file_id``.
+    """
+    stem = F.regexp_replace(F.regexp_replace(F.element_at(F.split("file_path", "/"), -1), r"\.[^.]*$", ""), r"\.xml", "")
+    named = frames.withColumn("stem", stem)
     agree = (
-        frames.select("file_id", F.when(F.col("cell").isNotNull(), species_sequence()).alias("s"))
-        .groupBy("file_id")
+        named.select("file_id", "stem", F.when(F.col("cell").isNotNull(), species_sequence()).alias("s"))
+        .groupBy("file_id", "stem")
         .agg(F.count_distinct("s").alias("n"), F.bool_or(F.col("s").isNull()).alias("bad"))
         .filter("n = 1 AND NOT bad")
-        .select("file_id")
+        .select("file_id", "stem")
     )
-    kept = frames.join(agree, "file_id", "left_semi")
-    text = xdatcar_text(F.col("source_struct_id") + 1)
     (
-        kept.repartitionByRange("file_id", "source_struct_id")
-        .sortWithinPartitions("file_id", "source_struct_id")
-        .select("file_id", text.alias("value"))
+        named.join(agree, ["file_id", "stem"], "left_semi")
+        .repartitionByRange("file_id", "pos")
+        .sortWithinPartitions("file_id", "pos")
+        .select("file_id", "stem", xdatcar_text(F.col("source_struct_id") + 1).alias("value"))
         .write.mode("overwrite")
-        .partitionBy("file_id")
+        .partitionBy("file_id", "stem")
         .text(path)
     )
-    return path
+    files = agree.orderBy("file_id").collect()  # a row for each exported file
+    out: dict[str, str] = {}
+    for row in files:
+        name = row["stem"] if row["stem"] not in out else f"{row['stem']}#{row['file_id']}"
+        out[name] = f"{path}/file_id={row['file_id']}/stem={_folder_name(row['stem'])}"
+    return out
 
 
 def _write_ulm(path: str, frames: list[dict]) -> None:
@@ -224,17 +239,10 @@ def write_traj(frames: DataFrame, path: str, order_by: Sequence[str] = ("file_pa
     return path
 
 
-def export_manifest(chosen: DataFrame, frames: DataFrame) -> DataFrame:
-    """Chosen structures with n_atoms, formula and ordered species."""
-    described = frames.select(
-        F.col("file_id").alias("_f"),
-        F.col("source_struct_id").alias("_s"),
-        F.size("atoms").alias("n_atoms"),
-        hill_formula(symbol_counts(F.transform("atoms", lambda a: a["symbol"]))).alias("formula"),
-        species_sequence().alias("species_sequence"),
-    )
-    on = (F.col("file_id") == F.col("_f")) & (F.col("struct_id") == F.col("_s"))
-    return chosen.join(described, on).drop("_f", "_s")
+def export_manifest(frames: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The requested ``columns`` of frames in ``pos`` order with n_atoms, formula and ordered species."""
+    described = describe(frames, F.transform("atoms", lambda a: a["symbol"])).orderBy("pos")
+    return described.select(*columns, "n_atoms", "formula", "species_sequence")
 
 
 def split_manifest(frames: DataFrame, index: str = "index") -> DataFrame:

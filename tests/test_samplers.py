@@ -115,8 +115,8 @@ def test_adaptive_keeps_row_ids(spark, matrix_of):
     x[0, 0] = np.nan
     got, info = kmeans.adaptive_kmeans_medoids(matrix_of(x, first=1000), 0.9, k_start=2, n_init=2)
     ids = {r["row_id"] for r in got.collect()}
-    assert 1000 not in ids and ids <= set(range(1001, 1090)) and info.k == 3 and info.subset_size == 89
-    assert info.explained == pytest.approx(1 - info.inertia_subset / info.tss_subset)
+    assert 1000 not in ids and ids <= set(range(1001, 1090)) and info.k == 3 and info.rows == 89
+    assert info.explained[3] == pytest.approx(1 - info.fit.inertia / info.variation)
     with pytest.raises(ValueError):
         kmeans.adaptive_kmeans_medoids(matrix_of([[1.0]]))
 

@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from atomsift.operators import export
 from atomsift.operators.provenance import number_files, provenance_table, select_files
+from atomsift.plans import pipelines
 from atomsift.sources import artefacts, writers
 from atomsift.sources.files import discover_structure_files, discover_vasprun_files, newest, only_one
 from atomsift.sources.frames import load_structures, read_frames
@@ -157,7 +159,8 @@ def test_provenance_and_manifest(spark, workdir):
         (0, 0, 0, "O", True, 0), (0, 0, 1, "H", False, 0), (0, 0, 2, "H", False, 0), (0, 1, 0, "O", True, 2)]
     assert len(rows) == 2 * 3 + 2 + 3
     chosen = spark.createDataFrame([(0, 2, 5, "a.xyz")], "file_id int, struct_id int, n_atoms_hit int, file_path string")
-    m = writers.export_manifest(chosen, frames).collect()
+    both = export.with_frames(export.in_request_order(chosen), frames)
+    m = writers.export_manifest(both, chosen.columns).collect()
     assert (m[0]["n_atoms"], m[0]["formula"], m[0]["species_sequence"]) == (3, "H2O", "O H H")
     assert not writers.one_species_sequence(frames)
 
@@ -198,3 +201,33 @@ def test_npy(spark, workdir):
     np.save(f"{workdir}/m.npy", data)
     rows = artefacts.read_npy(spark, f"{workdir}/m.npy").orderBy("row_id").collect()
     assert [r["x"] for r in rows] == data.tolist()
+
+
+def test_requested_frames_in_order_with_repeats(spark, workdir):
+    put(workdir, "b.xml.xyz", water_xyz(3))
+    put(workdir, "a.xyz", plain_xyz())
+    schema = "file_id int, struct_id int, note string, file_path string"
+    rows = [(1, 1, "x", f"{workdir}/b.xml.xyz"), (0, 0, "y", f"{workdir}/a.xyz"), (1, 2, "z", f"{workdir}/b.xml.xyz")]
+    asked = spark.createDataFrame([*rows, rows[0]], schema)
+    out = pipelines.export_structures(asked, "M", workdir + "/out")
+    table = "".join(p.read_text() for p in sorted(Path(out["manifest"]).glob("part*"))).splitlines()
+    manifest = [line.split(",") for line in table if not line.startswith("file_id")]
+    assert [(m[0], m[1]) for m in manifest] == [("0", "0"), ("1", "1"), ("1", "1"), ("1", "2")]
+    frames = load_structures(spark, [out["traj"]]).orderBy("file_path", "source_struct_id").collect()
+    assert [len(f["atoms"]) for f in frames] == [int(m[4]) for m in manifest]
+    assert out["xdatcar"] == "multiple" and Path(out["xdatcar::b"]).is_dir()
+    for bad in ((1, 7, "x", f"{workdir}/b.xml.xyz"), (5, 0, "x", None)):
+        with pytest.raises(LookupError):
+            pipelines.frames_of(spark.createDataFrame([*rows, bad], schema))
+    with pytest.raises(ValueError):
+        pipelines.export_structures(asked, "M", workdir, load_mode="both")
+
+
+def test_relative_roots_and_source_trajectory(spark, workdir, monkeypatch):
+    put(workdir, "a.xyz", water_xyz(1))
+    monkeypatch.setenv("HOME", workdir)
+    assert load_structures(spark, ["~"]).first()["file_path"] == f"{workdir}/a.xyz"
+    with pytest.raises(FileNotFoundError):
+        load_structures(spark, ["~/nowhere"])
+    Path(workdir, "X_selected.traj").mkdir()
+    assert pipelines.source_trajectory(workdir, "FPS").endswith("X_selected.traj")
