@@ -337,10 +337,10 @@ def _cluster_tokens(words: int):
                 token, doc = token_sets(texts, words)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(c).slice(first, n) for c in ("cluster", "node")),
+                        *(batch.column(c).slice(first, n) for c in ("cluster", "blocks", "node")),
                         lists(token.view(np.int64), np.bincount(doc, minlength=n)),
                     ],
-                    ["cluster", "node", "tokens"],
+                    ["cluster", "blocks", "node", "tokens"],
                 )
 
     return run
@@ -367,9 +367,8 @@ def similar_components(docs: DataFrame, scratch: Scratch, words: int = 3, percen
 
     Null, empty and blank texts have an empty set, link with nothing, and are
     their own class and component. A text with fewer words has one token. Texts
-    of any length are taken whole. Rows with equal text are one class; of rows
-    with equal ``doc_id`` and different texts only one text of a class of its own
-    is compared. Null ids link nothing and stay null. An empty table gives an empty table; other
+    of any length are taken whole. Rows with equal text are one class; an id with
+    several texts has the links of each. Null ids link nothing and stay null. An empty table gives an empty table; other
     columns are ignored. The answer is exact up to collisions of 52-bit hashes.
     """
     plan = Plan(percent)
@@ -389,11 +388,11 @@ def similar_components(docs: DataFrame, scratch: Scratch, words: int = 3, percen
     member = prints.drop("keys").join(groups, ["n", "sum_a", "sum_b"], "left")
     alone = F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id"))
     member = scratch.keep(member.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("class_id")), "members")
-    copies = member.where("doc_id <> class_id").select("doc_id").distinct()
-    single = usable.select("doc_id", "keys").join(copies, "doc_id", "left_anti")
+    copies = scratch.keep(member.where("doc_id <> class_id").select("doc_id").distinct(), "copies")
+    single = usable.select("doc_id", "keys").join(_sized(copies), "doc_id", "left_anti")
     keyed = single.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
     clusters = connected_components(star_edges(keyed, scratch), scratch)
-    edges = _verified(rows, clusters, scratch, words, percent)
+    edges = _verified(rows, usable.select("doc_id", "n"), clusters, scratch, words, percent)
     linked = connected_components(edges, scratch).withColumnRenamed("id", "class_id")
     joined = member.join(linked, "class_id", "left")
     return joined.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
@@ -408,37 +407,31 @@ def drop_similar(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int
     found = scratch.keep(found.where("doc_id IS NOT NULL"), "found")
     dropped = scratch.keep(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
     repeated = scratch.keep(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-
-    def sized(ids):
-        return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-    kept = docs.join(sized(dropped), "doc_id", "left_anti")
+    kept = docs.join(_sized(dropped), "doc_id", "left_anti")
     if repeated.isEmpty():
         return kept.select(docs.columns)
-    few = sized(repeated)
+    few = _sized(repeated)
     once = kept.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(few, "doc_id", "left_anti").unionByName(once).select(docs.columns)
 
 
-def _verified(rows: DataFrame, clusters: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
-    members = scratch.keep(clusters.select(F.col("id").alias("node"), F.col("component").alias("cluster")), "clusters")
-    small = members.count() <= BROADCAST_ROWS
-    wanted = rows.join(
-        F.broadcast(members) if small else members, rows["doc_id"] == members["node"]
-    ).select("cluster", "node", "text")
-    sets = scratch.keep(
-        wanted.mapInArrow(_cluster_tokens(words), "cluster long, node long, tokens array<long>").dropDuplicates(
-            ["cluster", "node"]
-        ),
-        "sets",
-    )
-    weight = sets.groupBy("cluster").agg(F.count("*").alias("texts"), F.sum(F.size("tokens")).alias("tokens"))
-    blocks = F.ceil(F.greatest(F.col("texts") / BLOCK, F.col("tokens") / BLOCK_TOKENS)).cast("int")
-    weight = weight.select("cluster", blocks.alias("blocks"))
-    dealt = sets.join(weight, "cluster").withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _sized(ids: DataFrame) -> DataFrame:
+    """A table of ids, marked for broadcast if it is small enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def _verified(rows, sizes: DataFrame, clusters: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """Edges between linked texts of the clusters; ``sizes`` has ``doc_id`` and ``n``."""
+    members = clusters.select(F.col("id").alias("node"), F.col("component").alias("cluster"))
+    weighed = members.join(sizes.select(F.col("doc_id").alias("node"), "n"), "node")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int")
+    blocks = weighed.groupBy("cluster").agg(parts.alias("blocks"))
+    members = scratch.keep(members.join(blocks, "cluster"), "clusters")
+    wanted = rows.join(_sized(members), rows["doc_id"] == members["node"]).select("cluster", "blocks", "node", "text")
+    sets = wanted.mapInArrow(_cluster_tokens(words), "cluster long, blocks int, node long, tokens array<long>")
+    dealt = sets.withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     # a single block, and each block with itself, is a pair of its own
-    pairs = pairs.select(
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side", "tokens"
     )
     return pairs.groupBy("cluster", "i", "j").applyInArrow(_link(percent), "a long, b long")

@@ -151,7 +151,7 @@ def test_toxic_texts_held_out(spark, docs_of):
     got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     right = [got[i]["predicted"] == toxic for i, toxic in labels[300:]]
     assert np.mean(right) > 0.9
-    assert got[500]["score"] == got[501]["score"] == 0 and got[502]["score"] == got[0]["score"]
+    assert got[500]["score"] == got[501]["score"] == 0 and np.isclose(got[502]["score"], got[0]["score"])
     assert all(0 <= r["score"] <= 1 for r in got.values())
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"), "true")
     assert toxicity.score(docs.limit(0), none).count() == 0
@@ -233,10 +233,10 @@ def test_word_hash_is_by_content():
 
 def test_stages_on_a_small_corpus(spark, docs_of, workdir):
     good = [" ".join(f"{a}{b}" for b in random.Random(i).sample(range(500), 60)) for i, a in enumerate("abcdefgh" * 6)]
-    rows = [(i, t + ".") for i, t in enumerate(good)]
+    rows = [(i, t + (" a@b.cd." if i % 4 == 0 else ".")) for i, t in enumerate(good)]
     rows += [(100 + i, t.upper().replace(" ", "!! ")) for i, t in enumerate(good[:20])]
     item = " ".join(f"q{k}" for k in range(20))
-    rows += [(200, good[0] + ". " + good[0][:5]), (201, good[5] + " more " + item + " " + good[7]), (202, good[3] + " mail a@b.cd " + good[9])]
+    rows += [(200, good[0] + ". " + good[0][:5]), (201, good[5] + " more " + item + " " + good[7])]
     docs = docs_of(rows).drop("key")
     docs.write.parquet(workdir + "/documents.parquet")
     labels = [(i, int(i < 100), 0) for i, _ in rows if i % 2 == 0]
@@ -254,6 +254,6 @@ def test_stages_on_a_small_corpus(spark, docs_of, workdir):
     assert 200 not in ids["near copies"] and set(range(48)) <= ids["near copies"]
     assert 201 in ids["near copies"] and 201 not in ids["benchmark"] and set(range(48)) <= ids["benchmark"]
     changed = {r["doc_id"]: r for r in steps["personal data"]}
-    assert "[email]" in changed[202]["text"] and changed[202]["n_chars"] == len(changed[202]["text"])
+    assert "[email]" in changed[4]["text"] and changed[4]["n_chars"] == len(changed[4]["text"])
     packed = corpus_pipeline.run(spark, workdir)
     assert {r["doc_id"] for r in packed.collect()} == ids["personal data"] == ids["packing"]
