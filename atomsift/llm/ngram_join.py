@@ -5,12 +5,11 @@ Tokens (word n-grams) are hashed into groups. Two uses of the groups:
 * Routing. If two sets differ in at most T tokens and are split over more than T
   groups, some group has the same tokens in both. The content of a group is
   therefore a key that similar texts share, and one that takes several equal
-  tokens, so a passage or line that many texts have in common does not make one.
-  Below ``GROUPS_FROM`` percent a group would hold too few tokens for that; there
-  the keys of a text are its first tokens in an order that has the frequent tokens
-  of the corpus last, as many as two similar texts cannot both avoid.
-  Texts are joined into clusters over equal keys (star edges from a range sort, so
-  a key of any size is split over tasks).
+  tokens, so a passage or line that many texts have in common rarely makes one.
+  Sets are banded by size, so that T fits; a set that may be similar to smaller
+  ones of the band below is routed there, too. In each band texts are joined into
+  clusters over equal keys (star edges from a range sort, so a key of any size is
+  split over tasks); bands do not mix, which keeps clusters small.
 * Search. Inside a cluster, group counts are points of a tree of bounding boxes.
   The sum of coordinate minima of a query and a box bounds the overlap with all
   texts in it; boxes and points below the needed overlap are cut off, and what is
@@ -35,10 +34,7 @@ TOKEN_BITS = 52  # 12 bits number the text within a chunk
 BLOCK, BLOCK_TOKENS = 1024, 1 << 20
 FANOUT = 16
 BROADCAST_ROWS = 1 << 20  # 16 bytes each
-GROUPS_FROM = 86
-HOLD = 1 << 22  # tokens that a task counts at a time
-OFTEN = 4  # a token is reported if it comes so often among those
-MOST_FREQUENT = 1 << 22  # at most so many tokens can make up one part in MOST_FREQUENT of the corpus
+SELECTIVE_FROM = 86  # from this percentage on a group holds enough tokens to ask for two
 
 
 def token_sets(texts, words: int):
@@ -67,42 +63,43 @@ def token_sets(texts, words: int):
 class Plan:
     """Group numbers for set sizes: bands of sizes with a common number of groups."""
 
-    RATIO = 1.4
-
     def __init__(self, percent: int):
         self.percent = percent
+        selective = percent >= SELECTIVE_FROM
+        # size ratio of a band, tokens of a group that makes a key, share of spare groups
+        self.ratio, self.held, self.spare = (1.4, 2, 32) if selective else (1.2, 1, 8)
         # sizes below this are similar to equal sets only
         self.least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
 
     def band(self, n: np.ndarray) -> np.ndarray:
-        return np.floor(np.log(np.maximum(n, 1) / self.least) / np.log(self.RATIO) + 1e-9).astype(np.int64)
+        return np.floor(np.log(np.maximum(n, 1) / self.least) / np.log(self.ratio) + 1e-9).astype(np.int64)
 
     def top(self, band: np.ndarray) -> np.ndarray:
         """No set of the band has more tokens."""
-        return np.ceil(self.least * self.RATIO ** (band + 1.0)).astype(np.int64) + 1
+        return np.ceil(self.least * self.ratio ** (band + 1.0)).astype(np.int64) + 1
 
     def groups(self, band: np.ndarray):
         """Number of groups for pairs whose smaller set is in the band, and how many surely agree beyond one."""
         differ = self.top(band) * (100 - self.percent) // self.percent
-        spare = 1 + differ // 32
+        spare = 1 + differ // self.spare
         return differ + 1 + spare, spare
 
-    def partners_below(self, n: np.ndarray) -> np.ndarray:
-        """Does a set of this size have similar ones in the band below its own?"""
-        band = self.band(n)
-        smallest = -(-n * self.percent // 100)
-        return (band > 0) & (self.band(np.maximum(smallest - 1, 1)) < band)
+    def lowest(self, n: np.ndarray) -> np.ndarray:
+        """The lowest band in which a set of this size may have a similar one."""
+        smallest = np.maximum(-(-n * self.percent // 100) - 1, self.least)
+        return np.maximum(np.minimum(self.band(smallest), self.band(n)), 0)
 
 
 def _keys(token, doc, n_docs, sizes, plan: Plan):
-    """Routing keys: text number and key, for every group of more than one token.
+    """Routing keys: text, band and key, for every group of enough tokens.
 
     A text with more small groups than surely agree also gets a key for each two of them.
     """
-    out_doc, out_key = [], []
-    for lower in (0, 1):
-        use = (sizes >= plan.least) & (plan.partners_below(sizes) if lower else True)
-        band = plan.band(sizes) - lower
+    own, lowest = plan.band(sizes), plan.lowest(sizes)
+    out = []
+    for lower in range(int((own - lowest).max(initial=0)) + 1):
+        band = own - lower
+        use = (sizes >= plan.least) & (band >= lowest)
         count, spare = plan.groups(np.maximum(band, 0))
         count = np.where(use, count, 0)
         base = np.concatenate([[0], np.cumsum(count)])
@@ -119,75 +116,24 @@ def _keys(token, doc, n_docs, sizes, plan: Plan):
         number = np.arange(base[-1]) - base[owner]
         place = mix(band[owner].astype(np.uint64) * np.uint64(1 << 40) + number.astype(np.uint64))
         key = mix(place ^ mix(low + mix(high + held.astype(np.uint64))))
-        full = held > 1
-        out_doc.append(owner[full])
-        out_key.append(key[full])
+        full = held >= plan.held
+        owners, keys = [owner[full]], [key[full]]
         small = np.bincount(owner[~full], minlength=n_docs)
         for text in np.flatnonzero(small > spare):
             few = key[base[text] : base[text + 1]][~full[base[text] : base[text + 1]]]
             i, j = np.triu_indices(len(few), 1)
-            out_doc.append(np.full(len(i), text))
-            out_key.append(mix(few[i] * np.uint64(3) + few[j]))
-    doc, key = np.concatenate(out_doc), np.concatenate(out_key)
-    order = np.argsort(doc, kind="stable")
-    return doc[order], key[order]
-
+            owners.append(np.full(len(i), text))
+            keys.append(mix(few[i] * np.uint64(3) + few[j]))
+        owner, key = np.concatenate(owners), np.concatenate(keys)
+        order = np.argsort(owner, kind="stable")
+        out.append((owner[order], band, key[order]))
+    return out
 
-def _often(words: int):
-    """Tokens that come ``OFTEN`` times among ``HOLD`` or more tokens of a task, and how often."""
 
-    def count(parts):
-        token, n = np.unique(np.concatenate(parts), return_counts=True)
-        some = n >= OFTEN
-        return pa.RecordBatch.from_arrays([pa.array(token[some].view(np.int64)), pa.array(n[some])], ["token", "n"])
+def _fingerprints(words: int, plan: Plan):
+    """Rows of each text: one with ``first`` for the text itself, and one more for each further band."""
 
     def run(batches):
-        parts, held = [], 0
-        for batch in batches:
-            for _, texts in chunks(batch.column("text")):
-                parts.append(token_sets(texts, words)[0])
-                held += len(parts[-1])
-                if held >= HOLD:
-                    yield count(parts)
-                    parts, held = [], 0
-        if parts:
-            yield count(parts)
-
-    return run
-
-
-def frequent_tokens(rows: DataFrame, words: int) -> np.ndarray:
-    """Frequent tokens, rarest first. What is in the table changes the work to do, never the result.
-
-    Tokens with fewer occurrences than one part in ``MOST_FREQUENT`` of all that
-    were reported stay out, so the table has no more than that many entries.
-    """
-    counts = rows.mapInArrow(_often(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    table = counts.where(F.col("n") >= max(4 * OFTEN, total / MOST_FREQUENT)).toArrow()
-    token, n = table["token"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    return token[np.lexsort((token, n))]
-
-
-def _first_tokens(token, doc, n_docs, sizes, plan: Plan, by_value, rank):
-    """The tokens that come first in the common order, as many as rule out that similar sets share none."""
-    place = mix(token) >> np.uint64(1)
-    if len(by_value):
-        at = np.minimum(np.searchsorted(by_value, token), len(by_value) - 1)
-        known = by_value[at] == token
-        place[known] = (np.uint64(1) << np.uint64(63)) | rank[at[known]]
-    order = np.lexsort((place, doc))
-    first = np.where(sizes >= plan.least, sizes - -(-plan.percent * sizes // 100) + 1, 0)
-    position = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    taken = position < first[doc]
-    return doc[taken], token[order][taken]
-
-
-def _fingerprints(words: int, plan: Plan, frequent=None):
-    def run(batches):
-        if frequent is not None:
-            by_value = np.sort(frequent.value)
-            rank = np.argsort(frequent.value).astype(np.uint64)
         for batch in batches:
             for first, texts in chunks(batch.column("text")):
                 n = len(texts)
@@ -198,19 +144,20 @@ def _fingerprints(words: int, plan: Plan, frequent=None):
                 for salt in (0x1F3D, 0x2E5B):
                     run_ = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(token + np.uint64(salt)))])
                     sums.append(mix(run_[starts[1:]] - run_[starts[:-1]]).view(np.int64))
-                if frequent is None:
-                    kd, key = _keys(token, doc, n, sizes, plan)
-                else:
-                    kd, key = _first_tokens(token, doc, n, sizes, plan, by_value, rank)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(first, n),
-                        pa.array(sizes),
-                        *map(pa.array, sums),
-                        lists(key.view(np.int64), np.bincount(kd, minlength=n)),
-                    ],
-                    ["doc_id", "n", "sum_a", "sum_b", "keys"],
-                )
+                for lower, (owner, band, key) in enumerate(_keys(token, doc, n, sizes, plan)):
+                    counts = np.bincount(owner, minlength=n)
+                    some = np.arange(n) if lower == 0 else np.flatnonzero(counts)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("doc_id").take(pa.array(first + some)),
+                            pa.array(sizes[some]),
+                            *(pa.array(x[some]) for x in sums),
+                            pa.array(np.full(len(some), lower == 0)),
+                            pa.array(band[some].astype(np.int32)),
+                            lists(key.view(np.int64), counts[some]),
+                        ],
+                        ["doc_id", "n", "sum_a", "sum_b", "first", "band", "keys"],
+                    )
 
     return run
 
@@ -337,10 +284,10 @@ def _cluster_tokens(words: int):
                 token, doc = token_sets(texts, words)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(c).slice(first, n) for c in ("cluster", "blocks", "node")),
+                        *(batch.column(c).slice(first, n) for c in ("node", "spots")),
                         lists(token.view(np.int64), np.bincount(doc, minlength=n)),
                     ],
-                    ["cluster", "blocks", "node", "tokens"],
+                    ["node", "spots", "tokens"],
                 )
 
     return run
@@ -373,26 +320,24 @@ def similar_components(docs: DataFrame, scratch: Scratch, words: int = 3, percen
     """
     plan = Plan(percent)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    frequent = None
-    if percent < GROUPS_FROM:
-        frequent = docs.sparkSession.sparkContext.broadcast(frequent_tokens(rows, words))
-    prints = rows.mapInArrow(
-        _fingerprints(words, plan, frequent), "doc_id long, n long, sum_a long, sum_b long, keys array<long>"
-    )
-    prints = scratch.keep(prints, "prints")
+    schema = "doc_id long, n long, sum_a long, sum_b long, first boolean, band int, keys array<long>"
+    prints = scratch.keep(rows.mapInArrow(_fingerprints(words, plan), schema), "prints")
     usable = prints.where("n > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    classes = usable.where("first").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     classes = scratch.keep(classes, "classes")
     # one row per class keeps its keys; single texts, which are most, need no join for that
     groups = classes.where("copies > 1").drop("copies")
-    member = prints.drop("keys").join(groups, ["n", "sum_a", "sum_b"], "left")
+    member = prints.where("first").drop("keys").join(groups, ["n", "sum_a", "sum_b"], "left")
     alone = F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id"))
     member = scratch.keep(member.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("class_id")), "members")
     copies = scratch.keep(member.where("doc_id <> class_id").select("doc_id").distinct(), "copies")
-    single = usable.select("doc_id", "keys").join(_sized(copies), "doc_id", "left_anti")
-    keyed = single.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
+    # a text stands in a band as a node of its own
+    node = F.xxhash64("doc_id", "band").alias("node")
+    single = usable.where(F.size("keys") > 0).join(_sized(copies), "doc_id", "left_anti")
+    keyed = single.select(F.explode("keys").alias("key"), node)
     clusters = connected_components(star_edges(keyed, scratch), scratch)
-    edges = _verified(rows, usable.select("doc_id", "n"), clusters, scratch, words, percent)
+    places = single.select(node, "doc_id", "n").join(clusters.withColumnRenamed("id", "node"), "node")
+    edges = _verified(rows, places.select("doc_id", "n", F.col("component").alias("cluster")), scratch, words, percent)
     linked = connected_components(edges, scratch).withColumnRenamed("id", "class_id")
     joined = member.join(linked, "class_id", "left")
     return joined.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
@@ -420,16 +365,19 @@ def _sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def _verified(rows, sizes: DataFrame, clusters: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
-    """Edges between linked texts of the clusters; ``sizes`` has ``doc_id`` and ``n``."""
-    members = clusters.select(F.col("id").alias("node"), F.col("component").alias("cluster"))
-    weighed = members.join(sizes.select(F.col("doc_id").alias("node"), "n"), "node")
+def _verified(rows: DataFrame, places: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """Edges between linked texts; ``places`` has the clusters (one per band) of each ``doc_id`` and its size."""
+    places = scratch.keep(places.distinct(), "places")
     parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int")
-    blocks = weighed.groupBy("cluster").agg(parts.alias("blocks"))
-    members = scratch.keep(members.join(blocks, "cluster"), "clusters")
-    wanted = rows.join(_sized(members), rows["doc_id"] == members["node"]).select("cluster", "blocks", "node", "text")
-    sets = wanted.mapInArrow(_cluster_tokens(words), "cluster long, blocks int, node long, tokens array<long>")
-    dealt = sets.withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    blocks = places.groupBy("cluster").agg(parts.alias("blocks"))
+    spots = F.collect_list(F.struct("cluster", "blocks")).alias("spots")  # as many as bands that a text is routed to
+    members = places.join(blocks, "cluster").groupBy(F.col("doc_id").alias("node")).agg(spots)
+    members = scratch.keep(members, "clusters")
+    wanted = rows.join(_sized(members), rows["doc_id"] == members["node"]).select("node", "spots", "text")
+    spot = "spots array<struct<cluster:long,blocks:int>>"
+    sets = wanted.mapInArrow(_cluster_tokens(words), f"node long, {spot}, tokens array<long>")
+    dealt = sets.select("node", "tokens", F.inline("spots"))
+    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     # a single block, and each block with itself, is a pair of its own
     pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side", "tokens"

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, delete_path
 
 
 class Scratch:
@@ -30,10 +30,7 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables made by :meth:`keep` that nothing reads any more."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for table in tables:
             path = self.paths.pop(id(table), None)
             if path:
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(conf).delete(at, True)
+                delete_path(self.spark, path)
