@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bins import bin_centre, bin_index_closed
 from ..functions.vectors import norm, squared_norm
-from .ranking import assign_row_ids
+from .ranking import assign_row_ids, join_groups
 from .stats import exact_quantiles, null_nan
 
 
@@ -19,7 +19,7 @@ def _full(full: Column | None) -> Column:
 
 
 
-def summary_stats(df: DataFrame, value: str, by: Sequence[str] = (), rows_limit: int | None = None) -> DataFrame:
+def summary_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """(..by) n, min, max, mean, std, q05, q50, q95; nulls and NaN left out."""
     data = df.select(*by, null_nan(value).alias("_v")).filter("_v IS NOT NULL")
     basic = data.groupBy(*by).agg(
@@ -29,7 +29,7 @@ def summary_stats(df: DataFrame, value: str, by: Sequence[str] = (), rows_limit:
         F.avg("_v").alias("vmean"),
         F.stddev_pop("_v").alias("vstd"),
     )
-    quantiles = exact_quantiles(data, "_v", [0.05, 0.5, 0.95], by, rows_limit)
+    quantiles = exact_quantiles(data, "_v", [0.05, 0.5, 0.95], by)
     named = quantiles.select(
         *[F.col(b).alias(f"_{b}") for b in by],
         F.col("q")[0].alias("q05"),
@@ -111,7 +111,7 @@ def density_histogram(
         "hi", F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi"))
     )
     span = span.drop("lo").withColumnRenamed("_lo", "lo")
-    placed = data.join(span, keys).withColumn("bin", bin_index_closed("_v", "lo", "hi", F.col("nb")))
+    placed = join_groups(data, span, keys).withColumn("bin", bin_index_closed("_v", "lo", "hi", F.col("nb")))
     counted = placed.groupBy(*keys, "bin", "lo", "hi", "nb", "total", "total_s").agg(
         F.count_if("_f").alias("n_full"), F.count_if("_s").alias("n_sampled")
     )

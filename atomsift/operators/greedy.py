@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import hash_key, hash_uniform
-from ..session import materialize
+from ..session import materialize, release
 from .blocks import as_lists, as_matrix, squared_distances
 
 CANDIDATE_BYTES = 32 << 20
@@ -226,13 +226,15 @@ class GreedyRun:
         while len(self.picks.row_ids) < k and not self.exhausted:
             if len(self.picks.row_ids) - self.base > PICKS_PER_STATE:
                 points, gaps, ids = self._since_base()
+                before = self.state
                 self.state = materialize(
-                    self.state.mapInArrow(
+                    before.mapInArrow(
                         _state_update(points, gaps, ids),
                         "row_id bigint, x array<double>, weight double, fuse double",
                     ),
                     "greedy",
                 )
+                release(before)
                 self.base = len(self.picks.row_ids)
             before = len(self.picks.row_ids)
             self._pick_from(self._candidates(), k)

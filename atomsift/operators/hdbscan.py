@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from . import cells
 from ..functions.hashing import hash_key
 from ..functions.vectors import squared_distance
-from ..session import materialize
+from ..session import materialize, release
 from .birch import cluster_means
 from .ranking import hash_smallest
 from .stats import width
@@ -151,7 +151,9 @@ def spanning_tree(edges: DataFrame, points: int) -> DataFrame:
             break
         split = edges.withColumn("part", F.pmod(F.xxhash64("u", "v", F.lit(level)), F.lit(parts)))
         thin = lambda pdf: _forest(pdf.drop(columns="part"))
-        edges, level = materialize(split.groupBy("part").applyInPandas(thin, _EDGE), "forest"), level + 1
+        more, level = materialize(split.groupBy("part").applyInPandas(thin, _EDGE), "forest"), level + 1
+        release(edges)
+        edges = more
         left, before = edges.count(), left
     tree = _forest(edges.toPandas())
     return edges.sparkSession.createDataFrame(tree, _EDGE)

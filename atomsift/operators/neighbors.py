@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,11 +133,11 @@ def pair_rdf(
     counted = closest.groupBy(slot.alias("bin")).agg(F.count("*").alias("count"))
     slots = atoms.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     full = slots.join(F.broadcast(counted), "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    total = counted.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total")).first()["total"]
+    total = F.sum("count").over(W.partitionBy())  # over as many rows as there are bins
     step = r_max / bins
     return full.select(
         "bin",
         ((F.col("bin") + 0.5) * F.lit(step)).alias("centre"),
         "count",
-        (F.col("count") / F.lit(total + 1e-12)).alias("weight"),
+        (F.col("count") / (total + 1e-12)).alias("weight"),
     )

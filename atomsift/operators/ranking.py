@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.hashing import HASH_BITS, hash_key
 from ..session import materialize
 
+# Tables of groups of at most this many rows are broadcast.
+BROADCAST_GROUPS = 100_000
+# Beyond that every group stands in so many copies, and its rows are dealt to them.
+SALTS = 32
 # A boundary bucket of at most this many keys is read to the driver.
 LEAF_ROWS = 2048
 DIGIT_BITS = 12
@@ -54,6 +58,25 @@ def assign_row_ids(
     )
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds the columns of ``groups``, one row per group, to the rows of each group.
+
+    Nulls match nulls. No task gets a whole group: a small table of groups is
+    broadcast, of a larger one every row is repeated and the rows are salted.
+    """
+    named = groups.select(
+        *[F.col(k).alias(f"_g_{k}") for k in keys], *[c for c in groups.columns if c not in keys]
+    )
+    on = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
+    drop = [f"_g_{k}" for k in keys]
+    if named.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(named), on).drop(*drop)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    copies = named.withColumn("_salt_g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on.append(F.col("_salt") == F.col("_salt_g"))
+    return salted.join(copies, on).drop(*drop, "_salt", "_salt_g")
+
+
 def rank_within(
     df: DataFrame, group: Sequence[str], order_by: Sequence[str], name: str = "rank", size: str | None = None
 ) -> DataFrame:
@@ -66,14 +89,8 @@ def rank_within(
     aggs = [F.min("_at").alias("_start")]
     if size:
         aggs.append(F.count("*").alias(size))
-    starts = ranked.groupBy(*group).agg(*aggs)
-    starts = starts.select(*[F.col(g).alias(f"_g_{g}") for g in group], "_start", *([size] if size else []))
-    on = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group]
-    return (
-        ranked.join(starts, on)
-        .withColumn(name, F.col("_at") - F.col("_start"))
-        .drop("_at", "_start", *[f"_g_{g}" for g in group])
-    )
+    placed = join_groups(ranked, ranked.groupBy(*group).agg(*aggs), group)
+    return placed.withColumn(name, F.col("_at") - F.col("_start")).drop("_at", "_start")
 
 
 def smallest_cuts(df: DataFrame, key: str, tie: str, ks: Sequence[int]) -> list[tuple[int, int] | None]:

@@ -5,17 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .blocks import as_lists, as_matrix
 from .ranking import rank_within
 
-# percentile() keeps every distinct value of a group in one buffer; above this
-# many rows order statistics come from a distributed rank instead.
-PERCENTILE_ROWS = 1_000_000
-
-
 def width(df: DataFrame, x: str = "x") -> int:
     row = df.select(F.size(x)).first()
     return 0 if row is None else row[0]
@@ -52,15 +50,72 @@ class Moments:
     std: list[float]
 
 
-def moments(df: DataFrame, x: str = "x") -> Moments:
-    rows = component_stats(df, x).orderBy("pc").collect()
-    return Moments(
-        rows[0]["n"] if rows else 0,
-        [r["vmin"] for r in rows],
-        [r["vmax"] for r in rows],
-        [r["mean"] for r in rows],
-        [r["std"] for r in rows],
+def _shifted_sums(shift: np.ndarray, cross: bool):
+    """Per task and component: count, extremes, sum of x - shift, and its products with all (or the same) components."""
+
+    def run(batches):
+        d = len(shift)
+        n, low, high = 0, np.full(d, np.inf), np.full(d, -np.inf)
+        total, products = np.zeros(d), np.zeros((d, d) if cross else (d, 1))
+        for batch in batches:
+            if batch.num_rows:
+                block = as_matrix(batch.column("x"))
+                n += len(block)
+                low, high = np.fmin(low, block.min(0)), np.maximum(high, block.max(0))
+                block = block - shift
+                total += block.sum(0)
+                products += block.T @ block if cross else (block * block).sum(0)[:, None]
+        if n:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(d, dtype=np.int32)),
+                    pa.array(np.full(d, n)),
+                    *map(pa.array, (low, high, total)),
+                    as_lists(products),
+                ],
+                names=["i", "n", "low", "high", "total", "products"],
+            )
+
+    return run
+
+
+def scatter(df: DataFrame, x: str = "x", cross: bool = True) -> tuple[Moments, np.ndarray]:
+    """Moments and the sums of products of centred components, from one pass.
+
+    Tasks add up products of the differences from one given row, which is as
+    good as centring where the data lie near each other. A matrix without
+    ``cross`` products has the squares only. Width x width numbers reach the driver.
+    """
+    matrix = df.select(F.col(x).cast("array<double>").alias("x"))
+    first = matrix.first()
+    if first is None:
+        return Moments(0, [], [], [], []), np.zeros((0, 0))
+    shift = np.nan_to_num(np.array(first["x"], float), posinf=0.0, neginf=0.0)
+    parts = matrix.mapInArrow(
+        _shifted_sums(shift, cross), "i int, n bigint, low double, high double, total double, products array<double>"
+    )
+    rows = (
+        parts.select("i", "n", "low", "high", "total", F.posexplode("products").alias("j", "p"))
+        .groupBy("i", "j")
+        .agg(*(f(c).alias(c) for f, c in ((F.sum, "n"), (F.min, "low"), (F.max, "high"), (F.sum, "total"), (F.sum, "p"))))
+        .orderBy("i", "j")
+        .toArrow()
     )
+    d = len(shift)
+    of = lambda c: rows[c].to_numpy().reshape(d, -1)
+    n, total, products = int(of("n")[0, 0]), of("total")[:, 0], of("p")
+    if cross:
+        products = products - np.outer(total, total) / n
+        squares = np.diag(products)
+    else:
+        squares = products[:, 0] - total * total / n
+    std = np.sqrt(np.maximum(squares, 0.0) / n)
+    m = Moments(n, of("low")[:, 0].tolist(), of("high")[:, 0].tolist(), (shift + total / n).tolist(), std.tolist())
+    return m, products
+
+
+def moments(df: DataFrame, x: str = "x") -> Moments:
+    return scatter(df, x, cross=False)[0]
 
 
 def standardize(df: DataFrame, x: str = "x", fitted: Moments | None = None) -> DataFrame:
@@ -96,15 +151,12 @@ def null_nan(value: Column | str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = (), rows_limit: int | None = None
-) -> DataFrame:
-    """(..by, q) with q the linearly interpolated quantiles as an array."""
-    limit = PERCENTILE_ROWS if rows_limit is None else rows_limit
+def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(..by, q) with q the linearly interpolated quantiles as an array.
+
+    Ranks come from a distributed sort, whatever the size of the groups.
+    """
     data = df.select(*by, null_nan(value).alias("_v")).filter("_v IS NOT NULL")
-    if data.count() <= limit:
-        fractions = V.literal_vector(qs)
-        return data.groupBy(*by).agg(F.percentile("_v", fractions).alias("q"))
     flat = data if by else data.withColumn("_all", F.lit(0))
     keys = list(by) or ["_all"]
     ranked = rank_within(flat, keys, ["_v"], "_rank", size="_n")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,7 +39,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     )
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_FALLBACK:
@@ -44,13 +47,51 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _LOCAL_FALLBACK[app]
 
 
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+_PATHS: dict[int, str] = {}
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the copy.
 
     Cuts the lineage and freezes anything that would not be recomputed
     identically (partition ids, sort positions), also when an executor is lost.
+    The copy stays until :func:`release` or the end of :func:`intermediate_tables`.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/atomsift/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append((spark, path))
+    copy = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(copy)] = path
+    weakref.finalize(copy, _PATHS.pop, id(copy), None)
+    return copy
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder on any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete copies made by :func:`materialize` that nothing reads any more; other frames are left alone."""
+    for table in tables:
+        path = _PATHS.pop(id(table), None)
+        if path:
+            delete_path(table.sparkSession, path)
+
+
+@contextmanager
+def intermediate_tables():
+    """Copies that :func:`materialize` makes inside are deleted at the end.
+
+    Results that are still to be read have to be written or collected inside.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _SCOPES.pop():
+            delete_path(spark, path)

@@ -173,16 +173,17 @@ def test_plateau(spark, matrix_of):
 # ---------------------------------------------------------------- statistics and comparisons
 
 
-def test_quantiles_both_ways(spark):
+def test_quantiles_both_ways(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(g, float(v)) for g in "ab" for v in np.round(rng.normal(size=77 if g == "a" else 4), 1)] + [("a", None), ("b", float("nan"))]
     df = spark.createDataFrame(rows, "g string, v double")
     for limit in (10**6, 0):
-        got = {r["g"]: r["q"] for r in stats.exact_quantiles(df, "v", [0.0, 0.05, 0.5, 0.95, 1.0], ["g"], limit).collect()}
+        monkeypatch.setattr(ranking, "BROADCAST_GROUPS", limit)
+        got = {r["g"]: r["q"] for r in stats.exact_quantiles(df, "v", [0.0, 0.05, 0.5, 0.95, 1.0], ["g"]).collect()}
         for g in "ab":
             v = [x for k, x in rows if k == g and x is not None and x == x]
             np.testing.assert_allclose(got[g], np.quantile(v, [0.0, 0.05, 0.5, 0.95, 1.0]))
-    flat = stats.exact_quantiles(df, "v", [0.5], rows_limit=0).first()["q"]
+    flat = stats.exact_quantiles(df, "v", [0.5]).first()["q"]
     np.testing.assert_allclose(flat, [np.median([x for _, x in rows if x is not None and x == x])])
 
 
@@ -326,3 +327,50 @@ def test_force_gate(spark):
 def test_formula(spark, symbols, formula):
     df = spark.createDataFrame([(symbols.split(),)], "s array<string>")
     assert df.select(hill_formula(symbol_counts(F.col("s"))).alias("f")).first()["f"] == formula
+
+
+def test_intermediate_tables_go(spark, matrix_of):
+    from pathlib import Path
+
+    from atomsift.operators.sampling import sample
+    from atomsift.session import checkpoint_dir, intermediate_tables
+
+    folder = Path(checkpoint_dir(spark)) / "atomsift"
+    before = set(folder.glob("*"))
+    with intermediate_tables():
+        picked = sample(matrix_of(np.random.default_rng(0).normal(size=(80, 3))), "fps", 70)
+        assert picked.count() == 70 and set(folder.glob("*")) > before
+    assert set(folder.glob("*")) == before
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_are_never_shuffled_whole(spark, monkeypatch):
+    """Neither a cartesian product nor an exchange on the group alone, whatever may be broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [(k % 3, float(k), k % 2 == 0) for k in range(50)]
+        df = spark.createDataFrame(rows, "g int, v double, s boolean")
+        by = A.density_histogram(df, "v", "s", 7.0, ["g"])
+        flat = A.density_histogram(df, "v", "s", 7.0)
+        want = sorted(map(tuple, by.collect()))
+        for made in (by, flat, ranking.rank_within(df, ["g"], ["v"])):
+            assert "CartesianProduct" not in plan_of(made) and "SortMergeJoin" not in plan_of(made)
+        monkeypatch.setattr(ranking, "BROADCAST_GROUPS", 0)
+        salted = A.density_histogram(df, "v", "s", 7.0, ["g"])
+        assert "_salt" in plan_of(salted) and sorted(map(tuple, salted.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_one_pass_scatter(spark, matrix_of):
+    x = np.random.default_rng(2).normal(1e6, 1.0, (200, 4))
+    m, products = stats.scatter(matrix_of(x).repartition(5))
+    np.testing.assert_allclose(products / 199, np.cov(x.T), rtol=1e-9)
+    np.testing.assert_allclose(m.std, x.std(0), rtol=1e-9)
+    assert (m.n, m.lo, m.hi) == (200, x.min(0).tolist(), x.max(0).tolist())
+    assert stats.scatter(matrix_of([]))[0].n == 0
