@@ -20,10 +20,6 @@ def literal_vector(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def dot(x: Column | str, y: Column | str) -> Column:
-    return F.aggregate(F.zip_with(_col(x), _col(y), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-
-
 def squared_norm(x: Column | str) -> Column:
     return F.aggregate(_col(x), F.lit(0.0), lambda s, v: s + v * v)
 

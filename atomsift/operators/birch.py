@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import materialize
-from .nearest import CENTRE_BYTES, assign_centres, nearest_rows
-from .ranking import assign_row_ids, rank_within
+from .nearest import assign_centres, nearest_rows
+from .ranking import assign_row_ids, join_groups, rank_within
 from .stats import width
 
 REGION_FEATURES = 20_000
@@ -180,17 +180,12 @@ def birch_fit(
         raise ValueError("BIRCH needs at least one row")
     side = threshold / d**0.5
     features = materialize(cell_features(points, side, d), "features")
-    members, subs = _subclusters(features, threshold, d)
+    subs = _subclusters(features, threshold, d)[1]
     centres = subs.select("label", F.transform("ls", lambda s: s / F.col("n")).alias("centre"))
     count = subs.count()
-    if count * d * 8 <= CENTRE_BYTES:
-        # Bounded list of centres: every row goes to its closest one.
-        block = np.array([r["centre"] for r in centres.orderBy("label").collect()])
-        labelled = assign_centres(points, block).select("row_id", "x", "label")
-    else:
-        # Otherwise a row keeps the subcluster that absorbed its cell.
-        keyed = points.withColumn("cell", F.array(*[F.floor(F.col("x")[j] / side) for j in range(d)]))
-        labelled = keyed.join(members, "cell").select("row_id", "x", "label")
+    # Every row goes to its closest centre; a long list of centres is gone through in blocks.
+    block = np.array([r["centre"] for r in centres.orderBy("label").collect()])
+    labelled = assign_centres(points, block).select("row_id", "x", "label")
     if n_clusters is None:
         return BirchFit(labelled, centres, count)
     # Global step on a bounded number of subclusters; more of them are first
@@ -245,17 +240,12 @@ def stratified_pick(labelled: DataFrame, centres: DataFrame, k_per_cluster: int
     spaced ranks are taken, the nearest and the farthest included.
     """
     if k_per_cluster <= 1:
-        found = centres.select("centre").join(labelled.select("label").distinct().join(centres, "label").select("centre"), "centre", "left_semi")
-        size = found.count()
-        d = width(found, "centre")
-        if size * d * 8 <= CENTRE_BYTES:
-            block = np.array([r["centre"] for r in found.collect()]).reshape(size, d)
-            return nearest_rows(labelled.select("row_id", "x"), block).select("row_id").distinct()
-        scored = labelled.join(centres, "label").withColumn("d2", V.squared_distance("x", "centre"))
-        return scored.groupBy("label").agg(F.min_by("row_id", F.struct("d2", "row_id")).alias("row_id")).select(
-            "row_id"
-        )
-    scored = labelled.join(centres, "label").select(
+        used = centres.join(labelled.select("label").distinct(), "label").orderBy("label")
+        block = [r["centre"] for r in used.select("centre").collect()]
+        if not block:
+            return labelled.select("row_id").limit(0)
+        return nearest_rows(labelled.select("row_id", "x"), np.array(block)).select("row_id").distinct()
+    scored = join_groups(labelled, centres, ["label"]).select(
         "label", "row_id", V.squared_distance("x", "centre").alias("d2")
     )
     ranked = rank_within(scored, ["label"], ["d2", "row_id"], "rank", size="n")
@@ -279,7 +269,7 @@ def direct_birch_sample(
     fit = birch_fit(weight_by_variance(scores, explained_variance), n_clusters, threshold, branching_factor)
     picked = materialize(stratified_pick(fit.labelled, fit.centres, k_per_cluster), "birch-picks")
     info = {
-        "n_clusters": fit.n_clusters,
+        "n_clusters": fit.labelled.select("label").distinct().count(),  # labels in use
         "k_per_cluster": int(k_per_cluster),
         "selected": picked.count(),
         "threshold": float(threshold),

@@ -58,10 +58,10 @@ def assign_row_ids(
     )
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Adds the columns of ``groups``, one row per group, to the rows of each group.
 
-    Nulls match nulls. No task gets a whole group: a small table of groups is
+    Nulls match nulls; ``left`` keeps rows without a group. No task gets a whole group: a small table of groups is
     broadcast, of a larger one every row is repeated and the rows are salted.
     """
     named = groups.select(
@@ -70,11 +70,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> Data
     on = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
     drop = [f"_g_{k}" for k in keys]
     if named.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
-        return rows.join(F.broadcast(named), on).drop(*drop)
+        return rows.join(F.broadcast(named), on, how).drop(*drop)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
     copies = named.withColumn("_salt_g", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     on.append(F.col("_salt") == F.col("_salt_g"))
-    return salted.join(copies, on).drop(*drop, "_salt", "_salt_g")
+    return salted.join(copies, on, how).drop(*drop, "_salt", "_salt_g")
 
 
 def rank_within(

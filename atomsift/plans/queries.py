@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import HASH_BITS, hash_key
+from ..functions.vectors import squared_norm
 from ..operators import analysis as A
 from ..operators import auto, birch, cells, coverage, embedding, hdbscan, kmeans, lift, neighbors, reduction, sampling, soap
 from ..operators import export as EX
@@ -497,6 +498,38 @@ def pca_explained_variance(spark, d):
     return rounded(model.as_dataframe(spark), 6, "explained_variance", "explained_variance_ratio")
 
 
+# All eigenvalues, checked by the traces of the first four powers of the matrix they belong to.
+POWER_SUMS = f"""WITH {EMB_STATS}, z AS (SELECT row_id, pc, (v - mean) / (CASE WHEN sd = 0 THEN 1 ELSE sd END) AS v, n FROM lf JOIN st USING (pc)),
+c AS MATERIALIZED (SELECT a.pc AS i, b.pc AS j, sum(a.v * b.v) / (max(a.n) - 1) AS v FROM z a JOIN z b USING (row_id) GROUP BY 1, 2),
+c2 AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM c a JOIN c b ON a.j = b.i GROUP BY 1, 2)
+SELECT 1 AS p, round(sum(v), 5) AS total FROM c WHERE i = j UNION ALL SELECT 2, round(sum(v * v), 5) FROM c
+UNION ALL SELECT 3, round(sum(c2.v * c.v), 5) FROM c2 JOIN c USING (i, j) UNION ALL SELECT 4, round(sum(v * v), 5) FROM c2"""
+
+
+def _all_components(spark, d):
+    matrix = ST.standardize(T.embedding_matrix(spark, d))
+    return matrix, reduction.fit_pca(matrix, ST.width(matrix))
+
+
+@query("pca_power_sums", POWER_SUMS)
+def pca_power_sums(spark, d):
+    values = _all_components(spark, d)[1].as_dataframe(spark)
+    powers = values.select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("p"), "explained_variance")
+    sums = powers.groupBy("p").agg(F.sum(F.pow("explained_variance", "p")).alias("total"))
+    return rounded(sums, 5, "total")
+
+
+@query(
+    "pca_score_norms",
+    f"WITH {EMB_STATS} SELECT row_id, round(sum(power((v - mean) / (CASE WHEN sd = 0 THEN 1 ELSE sd END), 2)), 6) AS norm2 "
+    "FROM lf JOIN st USING (pc) GROUP BY 1",
+)
+def pca_score_norms(spark, d):
+    matrix, model = _all_components(spark, d)
+    norms = model.transform(matrix).select("row_id", squared_norm("x").alias("norm2"))
+    return rounded(norms, 6, "norm2")
+
+
 @query("umap_embedding")
 def umap_embedding(spark, d):
     out = embedding.umap_embedding(ST.standardize(T.embedding_matrix(spark, d)), 4, epochs=3)
@@ -954,25 +987,29 @@ def seeded_fps_to_coverage(spark, d):
 EMB_TABLE = O.EMB.replace("emb AS", "emb AS MATERIALIZED")
 
 
-@query("kmeans_medoids", f"WITH RECURSIVE {EMB_TABLE}, {O.lloyd('emb', 12, 0, 6, 64)} {O.medoids('emb', 'c6')}")
+# Lloyd stops by itself after 9 or 10 steps here; more of them change nothing.
+LLOYD = 14
+
+
+@query("kmeans_medoids", f"WITH RECURSIVE {EMB_TABLE}, {O.lloyd('emb', 12, 0, LLOYD, 64)} {O.medoids('emb', f'c{LLOYD}')}")
 def kmeans_medoids(spark, d):
-    return sampling.sample(T.embedding_matrix(spark, d), "kmedoids", 12, n_init=1, max_iter=6, tol=0.0)
+    return sampling.sample(T.embedding_matrix(spark, d), "kmedoids", 12, n_init=1, tol=0.0)
 
 
 # The second size tried reaches the target; both fits are spelled out.
 ADAPTIVE = f"""WITH RECURSIVE {EMB_STATS}, w AS MATERIALIZED (SELECT row_id, list((v - mean) / (sd + 1e-12) ORDER BY pc) AS x
   FROM lf JOIN st USING (pc) GROUP BY 1),
-{O.lloyd('w', 16, 0, 8, 64, 'a')}, {O.lloyd('w', 24, 0, 8, 64, 'b')},
+{O.lloyd('w', 16, 0, LLOYD, 64, 'a')}, {O.lloyd('w', 24, 0, LLOYD, 64, 'b')},
 fit AS (SELECT 1 - sum(m) / (SELECT sum(s * s) * max(n) FROM (SELECT j, stddev_pop(x[j]) AS s, count(*) AS n FROM w,
-  unnest(range(1, 65)) AS u(j) GROUP BY j)) AS explained FROM (SELECT min({O.distance2('e.x', 'c.x')}) AS m FROM w e, c8a c GROUP BY e.row_id))
-SELECT row_id FROM ({O.medoids('w', 'c8a')}) WHERE (SELECT explained FROM fit) >= 0.12
-UNION ALL SELECT row_id FROM ({O.medoids('w', 'c8b')}) WHERE (SELECT explained FROM fit) < 0.12"""
+  unnest(range(1, 65)) AS u(j) GROUP BY j)) AS explained FROM (SELECT min({O.distance2('e.x', 'c.x')}) AS m FROM w e, c{LLOYD}a c GROUP BY e.row_id))
+SELECT row_id FROM ({O.medoids('w', f'c{LLOYD}a')}) WHERE (SELECT explained FROM fit) >= 0.12
+UNION ALL SELECT row_id FROM ({O.medoids('w', f'c{LLOYD}b')}) WHERE (SELECT explained FROM fit) < 0.12"""
 
 
 @query("adaptive_kmedoids", ADAPTIVE)
 def adaptive_kmedoids(spark, d):
     medoids, _ = kmeans.adaptive_kmeans_medoids(
-        T.embedding_matrix(spark, d), target_explained=0.12, k_start=16, k_max=24, n_init=1, max_iter=8, tol=0.0
+        T.embedding_matrix(spark, d), target_explained=0.12, k_start=16, k_max=24, n_init=1, tol=0.0
     )
     return medoids
 

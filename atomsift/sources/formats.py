@@ -289,7 +289,7 @@ def vasprun_frames(f, start: int, end: int, want: Want) -> Frames:
         stop = data.find(closing, found)
         while stop < 0:
             if not more():
-                return  # a run that is still being written
+                raise ValueError(f"calculation at byte {base + found} has no end; the run may still be writing it")
             stop = data.find(closing, found)
         stop += len(closing)
         yield parse_calculation(data[found:stop], *header)
