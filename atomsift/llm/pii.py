@@ -45,9 +45,12 @@ _STRANGE = re.compile(
 _RUN = re.compile(rf"(?<![a-z])(?:{_NUMBER})(?:[ -](?:{_NUMBER}))+(?![a-z])")
 _WORD = re.compile(_NUMBER)
 _PLUS = re.compile(r"(?<![a-z])plus (?=[0-9])", re.I)
+_LONE = re.compile(rf"(?:(?<=[0-9] dot )|(?<=[0-9] point ))({_NUMBER})(?![a-z])", re.I)
 _POINT = re.compile(r"(?<=[0-9]) (?:dot|point) (?=[0-9])", re.I)
 _BRACKETED = re.compile(r" ?[\[({<] ?(at|dot) ?[\])}>] ?", re.I)
-_SPOKEN = re.compile(r"(?<=[A-Za-z0-9._%+-])(?: at | ?@ ?)(?=[A-Za-z0-9-]+(?: dot |\.)[A-Za-z0-9-])", re.I)
+# Endings that a spoken domain may have.
+_ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|eu|uk|us|ca|au|nz|de|at|ch|fr|be|nl|es|pt|it|pl|se|no|dk|fi|ru|jp|cn|in|br|mx"
+_SPOKEN = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?: at | ?@ ?)(?=(?:[A-Za-z0-9-]+(?: dot |\.))+(?:{_ENDINGS})(?![A-Za-z0-9-]))", re.I)
 _DOTS = re.compile(r"@[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)+", re.I)
 _DOT = re.compile(r" dot ", re.I)
 _TENTH = re.compile(r"(?<=[0-9])[OolI](?=[ -]?[0-9])")
@@ -168,6 +171,8 @@ def normalise(text: str) -> Traced | None:
     if spelled or strange:
         _numbers(traced)
         traced.sub(_PLUS, lambda m: "+")
+    for _ in range(3 * bool(_LONE.search(traced.text))):  # each one may stand after the one before
+        traced.sub(_LONE, lambda m: _SPELLED[m[1].lower()])
     traced.sub(_TENTH, lambda m: "0" if m[0] in "Oo" else "1")
     traced.sub(_POINT, lambda m: ".")
     traced.sub(_BRACKETED, lambda m: "@" if m[1].lower() == "at" else ".")

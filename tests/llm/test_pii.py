@@ -44,6 +44,11 @@ def test_disguises_map_back():
     assert ("card", "four one one one one one one one one one one one one one one one") in got
     assert ("card", "5\uff1500-0000-0000-0004") in got
     assert ("ip", "192 dot 168 dot 0 dot 12") in got
+    spoken = "host one nine two dot one six eight dot zero dot One, call plus four nine three zero one two three four five six"
+    assert {(k, spoken[s:e]) for k, s, e in pii.find(spoken)[1]} == {
+        ("ip", "one nine two dot one six eight dot zero dot One"),
+        ("phone", "plus four nine three zero one two three four five six"),
+    }
     plain = "Meet me at the dot on one two three plans (at noon) in part two."
     assert pii.find(plain) == ([], []) and pii.redact(plain) == plain
 
