@@ -12,8 +12,9 @@ Tokens (word n-grams) are hashed into groups. Two uses of the groups:
   split over tasks); bands do not mix, which keeps clusters small.
 * Search. Inside a cluster, group counts are points of a tree of bounding boxes.
   The sum of coordinate minima of a query and a box bounds the overlap with all
-  texts in it; boxes and points below the needed overlap are cut off, and what is
-  left is verified on the token sets. Pairs already connected need no look.
+  texts in it; boxes and points below the needed overlap are cut off. What is left
+  makes smaller clusters, and only their token sets are fetched and verified.
+  Pairs already connected need no look.
 
 Texts with equal sets are one text throughout. Clusters beyond ``BLOCK`` texts or
 ``BLOCK_TOKENS`` tokens are dealt in blocks, one task for each pair of blocks.
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import join_groups
 from .components import connected_components
 from .scratch import Scratch
 from .text import chunks, lists, mix
@@ -34,7 +36,7 @@ TOKEN_BITS = 52  # 12 bits number the text within a chunk
 BLOCK, BLOCK_TOKENS = 1024, 1 << 20
 FANOUT = 16
 BROADCAST_ROWS = 1 << 20  # 16 bytes each
-SELECTIVE_FROM = 86  # from this percentage on a group holds enough tokens to ask for two
+SELECTIVE_FROM = 86  # from this percentage on few groups hold less than two tokens
 
 
 def token_sets(texts, words: int):
@@ -66,8 +68,8 @@ class Plan:
     def __init__(self, percent: int):
         self.percent = percent
         selective = percent >= SELECTIVE_FROM
-        # size ratio of a band, tokens of a group that makes a key, share of spare groups
-        self.ratio, self.held, self.spare = (1.4, 2, 32) if selective else (1.2, 1, 8)
+        # size ratio of a band; groups beyond the least number, so that those of one token or none can be left out
+        self.ratio, self.spare = (1.4, 1 / 32) if selective else (1.2, 0.3)
         # sizes below this are similar to equal sets only
         self.least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
 
@@ -81,7 +83,7 @@ class Plan:
     def groups(self, band: np.ndarray):
         """Number of groups for pairs whose smaller set is in the band, and how many surely agree beyond one."""
         differ = self.top(band) * (100 - self.percent) // self.percent
-        spare = 1 + differ // self.spare
+        spare = 1 + np.floor(differ * self.spare).astype(np.int64)
         return differ + 1 + spare, spare
 
     def lowest(self, n: np.ndarray) -> np.ndarray:
@@ -116,7 +118,7 @@ def _keys(token, doc, n_docs, sizes, plan: Plan):
         number = np.arange(base[-1]) - base[owner]
         place = mix(band[owner].astype(np.uint64) * np.uint64(1 << 40) + number.astype(np.uint64))
         key = mix(place ^ mix(low + mix(high + held.astype(np.uint64))))
-        full = held >= plan.held
+        full = held > 1
         owners, keys = [owner[full]], [key[full]]
         small = np.bincount(owner[~full], minlength=n_docs)
         for text in np.flatnonzero(small > spare):
@@ -130,6 +132,54 @@ def _keys(token, doc, n_docs, sizes, plan: Plan):
     return out
 
 
+def _count_vectors(token, doc, sizes) -> list[bytes]:
+    """Group counts of each text, about eight tokens a group; any coarser grouping is a sum of these."""
+    width = _widths(sizes)
+    base = np.concatenate([[0], np.cumsum(width)])
+    slot = base[doc] + ((mix(token) >> np.uint64(40)).astype(np.int64) & (width[doc] - 1))
+    counts = np.minimum(np.bincount(slot, minlength=base[-1]), _MOST).astype("<u4")
+    return [counts[a:b].tobytes() for a, b in zip(base[:-1], base[1:], strict=True)]
+
+
+_MOST = (1 << 32) - 1
+
+
+def _widths(sizes) -> np.ndarray:
+    return (2 ** np.clip(np.ceil(np.log2(np.maximum(sizes, 1) / 8)), 4, 12)).astype(np.int64)
+
+
+def _fold(counts: list[bytes]) -> np.ndarray:
+    """Points of one width from count vectors of several: groups are taken modulo the least width."""
+    rows = [np.frombuffer(c, "<u4") for c in counts]
+    width = min(map(len, rows))
+    return np.stack([r.reshape(-1, width).sum(0) for r in rows]).astype(np.int64)
+
+
+def screen_block(ids, side, sizes, counts, percent: int) -> list[tuple[int, int]]:
+    """Edges that connect all texts of a block whose overlap may be large enough."""
+    order = np.lexsort((ids, sizes))
+    ids, side, sizes = ids[order], side[order], sizes[order]
+    tree = BoxTree(_fold([counts[i] for i in order]), sizes)
+    across = len(np.unique(side)) > 1
+    name = np.arange(len(ids))
+    edges = []
+    for q in range(len(ids)):
+        found = tree.search(tree.points[q], int(sizes[q]), needed(percent))
+        found = found[(found > q) & (name[found] != name[q])]
+        if across:
+            found = found[side[found] != side[q]]
+        for p in found:
+            if name[p] != name[q]:
+                edges.append((int(ids[q]), int(ids[p])))
+                name[name == name[p]] = name[q]
+    return edges
+
+
+def needed(percent: int):
+    """The overlap that two sets of given sizes need to be similar."""
+    return lambda a, b: -(-percent * (a + b) // (100 + percent))
+
+
 def _fingerprints(words: int, plan: Plan):
     """Rows of each text: one with ``first`` for the text itself, and one more for each further band."""
 
@@ -144,6 +194,7 @@ def _fingerprints(words: int, plan: Plan):
                 for salt in (0x1F3D, 0x2E5B):
                     run_ = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(token + np.uint64(salt)))])
                     sums.append(mix(run_[starts[1:]] - run_[starts[:-1]]).view(np.int64))
+                vectors = _count_vectors(token, doc, sizes)
                 for lower, (owner, band, key) in enumerate(_keys(token, doc, n, sizes, plan)):
                     counts = np.bincount(owner, minlength=n)
                     some = np.arange(n) if lower == 0 else np.flatnonzero(counts)
@@ -154,9 +205,10 @@ def _fingerprints(words: int, plan: Plan):
                             *(pa.array(x[some]) for x in sums),
                             pa.array(np.full(len(some), lower == 0)),
                             pa.array(band[some].astype(np.int32)),
+                            pa.array([vectors[i] for i in some], pa.binary()),
                             lists(key.view(np.int64), counts[some]),
                         ],
-                        ["doc_id", "n", "sum_a", "sum_b", "first", "band", "keys"],
+                        ["doc_id", "n", "sum_a", "sum_b", "first", "band", "counts", "keys"],
                     )
 
     return run
@@ -252,12 +304,11 @@ def link_block(ids, side, tokens, offsets, percent: int) -> list[tuple[int, int]
     tree_rows = np.arange(n)
     points = group_counts(flat, np.repeat(np.arange(n), sizes), n, groups)
     tree = BoxTree(points, sizes)
-    needed = lambda a, b: -(-percent * (a + b) // (100 + percent))
     across = len(np.unique(side)) > 1
     name, mark = tree_rows.copy(), np.zeros(int(dense.max(initial=0)) + 1, bool)
     edges = []
     for q in range(n):
-        found = tree.search(points[q], int(sizes[q]), needed)
+        found = tree.search(points[q], int(sizes[q]), needed(percent))
         found = found[(found > q) & (name[found] != name[q])]
         if across:
             found = found[side[found] != side[q]]
@@ -284,10 +335,10 @@ def _cluster_tokens(words: int):
                 token, doc = token_sets(texts, words)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(c).slice(first, n) for c in ("node", "spots")),
+                        *(batch.column(c).slice(first, n) for c in ("cluster", "blocks", "node")),
                         lists(token.view(np.int64), np.bincount(doc, minlength=n)),
                     ],
-                    ["node", "spots", "tokens"],
+                    ["cluster", "blocks", "node", "tokens"],
                 )
 
     return run
@@ -299,7 +350,7 @@ def _link(percent: int):
         offsets = tokens.offsets.to_numpy().astype(np.int64)
         flat = tokens.values.to_numpy().view(np.uint64)
         edges = link_block(table["node"].to_numpy(), table["side"].to_numpy(), flat, offsets, percent)
-        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+        return _edge_table(edges)
 
     return run
 
@@ -320,14 +371,14 @@ def similar_components(docs: DataFrame, scratch: Scratch, words: int = 3, percen
     """
     plan = Plan(percent)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    schema = "doc_id long, n long, sum_a long, sum_b long, first boolean, band int, keys array<long>"
+    schema = "doc_id long, n long, sum_a long, sum_b long, first boolean, band int, counts binary, keys array<long>"
     prints = scratch.keep(rows.mapInArrow(_fingerprints(words, plan), schema), "prints")
     usable = prints.where("n > 0 AND doc_id IS NOT NULL")
     classes = usable.where("first").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     classes = scratch.keep(classes, "classes")
     # one row per class keeps its keys; single texts, which are most, need no join for that
     groups = classes.where("copies > 1").drop("copies")
-    member = prints.where("first").drop("keys").join(groups, ["n", "sum_a", "sum_b"], "left")
+    member = prints.where("first").drop("keys", "counts").join(groups, ["n", "sum_a", "sum_b"], "left")
     alone = F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id"))
     member = scratch.keep(member.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("class_id")), "members")
     copies = scratch.keep(member.where("doc_id <> class_id").select("doc_id").distinct(), "copies")
@@ -336,8 +387,12 @@ def similar_components(docs: DataFrame, scratch: Scratch, words: int = 3, percen
     single = usable.where(F.size("keys") > 0).join(_sized(copies), "doc_id", "left_anti")
     keyed = single.select(F.explode("keys").alias("key"), node)
     clusters = connected_components(star_edges(keyed, scratch), scratch)
-    places = single.select(node, "doc_id", "n").join(clusters.withColumnRenamed("id", "node"), "node")
-    edges = _verified(rows, places.select("doc_id", "n", F.col("component").alias("cluster")), scratch, words, percent)
+    places = single.select(node, "doc_id", "n", "counts").join(clusters.withColumnRenamed("id", "node"), "node")
+    places = places.select("doc_id", "n", "counts", F.col("component").alias("cluster"))
+    near = connected_components(_screened(places, scratch, percent), scratch)
+    sizes = usable.where("first").select("doc_id", "n")
+    near = near.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")).join(sizes, "doc_id")
+    edges = _verified(rows, near.dropDuplicates(["doc_id", "n"]), scratch, words, percent)
     linked = connected_components(edges, scratch).withColumnRenamed("id", "class_id")
     joined = member.join(linked, "class_id", "left")
     return joined.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
@@ -365,21 +420,42 @@ def _sized(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
-def _verified(rows: DataFrame, places: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
-    """Edges between linked texts; ``places`` has the clusters (one per band) of each ``doc_id`` and its size."""
-    places = scratch.keep(places.distinct(), "places")
-    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_TOKENS)).cast("int")
-    blocks = places.groupBy("cluster").agg(parts.alias("blocks"))
-    spots = F.collect_list(F.struct("cluster", "blocks")).alias("spots")  # as many as bands that a text is routed to
-    members = places.join(blocks, "cluster").groupBy(F.col("doc_id").alias("node")).agg(spots)
-    members = scratch.keep(members, "clusters")
-    wanted = rows.join(_sized(members), rows["doc_id"] == members["node"]).select("node", "spots", "text")
-    spot = "spots array<struct<cluster:long,blocks:int>>"
-    sets = wanted.mapInArrow(_cluster_tokens(words), f"node long, {spot}, tokens array<long>")
-    dealt = sets.select("node", "tokens", F.inline("spots"))
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    # a single block, and each block with itself, is a pair of its own
-    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side", "tokens"
+def _blocks(texts: DataFrame, weight, most: int) -> DataFrame:
+    """Each cluster with the number of blocks that hold ``BLOCK`` texts or ``most`` of ``weight`` at the most, on average."""
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(weight) / most)).cast("int")
+    return texts.groupBy("cluster").agg(parts.alias("blocks"))
+
+
+def _pairs(texts: DataFrame, *columns: str) -> DataFrame:
+    """Texts dealt to pairs of blocks ``(cluster, i, j)``; one block, and each with itself, is a pair of its own."""
+    dealt = texts.withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    return dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side", *columns
     )
-    return pairs.groupBy("cluster", "i", "j").applyInArrow(_link(percent), "a long, b long")
+
+
+def _screened(places: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Edges that connect what the group counts leave possible in each cluster."""
+    places = scratch.keep(places.withColumnRenamed("doc_id", "node"), "places")
+    blocks = _blocks(places, F.length("counts"), 8 * BLOCK_TOKENS)
+    pairs = _pairs(join_groups(places, blocks, ["cluster"]), "n", "counts")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, side, sizes = (table[c].to_numpy() for c in ("node", "side", "n"))
+        return _edge_table(screen_block(ids, side, sizes, table["counts"].to_pylist(), percent))
+
+    return pairs.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _edge_table(edges) -> pa.Table:
+    return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+
+def _verified(rows: DataFrame, near: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """Edges between linked texts; ``near`` has ``doc_id``, ``cluster`` and the size ``n`` of its set."""
+    near = scratch.keep(near.withColumnRenamed("doc_id", "node"), "near")
+    blocks = _blocks(near, "n", BLOCK_TOKENS)
+    members = scratch.keep(join_groups(near, blocks, ["cluster"]).select("node", "cluster", "blocks").distinct(), "clusters")
+    wanted = rows.join(_sized(members), rows["doc_id"] == members["node"]).select("cluster", "blocks", "node", "text")
+    sets = wanted.mapInArrow(_cluster_tokens(words), "cluster long, blocks int, node long, tokens array<long>")
+    return _pairs(sets, "tokens").groupBy("cluster", "i", "j").applyInArrow(_link(percent), "a long, b long")
