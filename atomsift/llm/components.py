@@ -27,8 +27,8 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
         both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(
             pairs.select(F.col("b").alias("id"), F.col("a").alias("other"))
         )
-        step = both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("to"))
-        step = scratch.keep(step, "step")
+        near = both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("to"))
+        near = step = scratch.keep(near, "near")
         for _ in range(2):
             onward = step.select(F.col("id").alias("to"), F.col("to").alias("next"))
             step = step.join(onward, "to").select("id", F.col("next").alias("to"))
@@ -36,15 +36,17 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
         rename_a = step.select(F.col("id").alias("a"), F.col("to").alias("ta"))
         rename_b = step.select(F.col("id").alias("b"), F.col("to").alias("tb"))
         renamed = pairs.join(rename_a, "a").join(rename_b, "b").where("ta <> tb")
-        pairs = scratch.keep(
+        left = scratch.keep(
             renamed.select(F.greatest("ta", "tb").alias("a"), F.least("ta", "tb").alias("b")).distinct(), "edges"
         )
+        scratch.drop(near, pairs)
+        pairs = left
         if names is None:
-            names = step.select("id", F.col("to").alias("component"))
+            named = step.withColumnRenamed("to", "component")
         else:
             moved = step.select(F.col("id").alias("component"), "to")
-            names = names.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-            names = scratch.keep(names, "names")
-    if names is None:
-        return pairs.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return names
+            named = names.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        before, names = names, scratch.keep(named, "names")
+        scratch.drop(step, *([] if before is None else [before]))
+    scratch.drop(pairs)
+    return scratch.spark.createDataFrame([], "id long, component long") if names is None else names

@@ -197,6 +197,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, least: float = 0.9) ->
     dealt = dealt.select("cell", "i", "j", "node", "copies", "cells", "side", "x")
     made = dealt.groupBy("cell", "i", "j").applyInArrow(_compare(least), "a long, b long, links long")
     made = scratch.keep(made, "links")
+    scratch.drop(placed)
     links = made.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("linked"))
     components = connected_components(made.where("b IS NOT NULL"), scratch)
     per_node = groups.select("node", "copies", "x").join(links, "node", "left")

@@ -369,7 +369,7 @@ def similar_components(docs: DataFrame, scratch: Scratch, words: int = 3, percen
     several texts has the links of each. Null ids link nothing and stay null. An empty table gives an empty table; other
     columns are ignored. The answer is exact up to collisions of 52-bit hashes.
     """
-    plan = Plan(percent)
+    plan, mark = Plan(percent), len(scratch.tables)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, n long, sum_a long, sum_b long, first boolean, band int, counts binary, keys array<long>"
     prints = scratch.keep(rows.mapInArrow(_fingerprints(words, plan), schema), "prints")
@@ -393,8 +393,9 @@ def similar_components(docs: DataFrame, scratch: Scratch, words: int = 3, percen
     sizes = usable.where("first").select("doc_id", "n")
     near = near.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")).join(sizes, "doc_id")
     edges = _verified(rows, near.dropDuplicates(["doc_id", "n"]), scratch, words, percent)
-    linked = connected_components(edges, scratch).withColumnRenamed("id", "class_id")
-    joined = member.join(linked, "class_id", "left")
+    linked = connected_components(edges, scratch)
+    scratch.since(mark, member, linked)
+    joined = member.join(linked.withColumnRenamed("id", "class_id"), "class_id", "left")
     return joined.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
@@ -403,10 +404,12 @@ def drop_similar(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int
 
     Rows with null ids stay; of rows with the same id and text one stays.
     """
+    mark = len(scratch.tables)
     found = similar_components(docs, scratch, words, percent).select("doc_id", "component_id")
     found = scratch.keep(found.where("doc_id IS NOT NULL"), "found")
     dropped = scratch.keep(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
     repeated = scratch.keep(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    scratch.since(mark, dropped, repeated)
     kept = docs.join(_sized(dropped), "doc_id", "left_anti")
     if repeated.isEmpty():
         return kept.select(docs.columns)

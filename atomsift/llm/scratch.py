@@ -12,25 +12,29 @@ from ..session import checkpoint_dir, delete_path
 class Scratch:
     """Tables of one run, each written once below ``spark.checkpoint.dir``.
 
-    A written table cuts the lineage and survives a lost executor. ``drop``
-    deletes the tables that the returned frame no longer needs.
+    A written table cuts the lineage and survives a lost executor. ``drop`` and
+    ``only`` delete tables that the returned frame no longer needs.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/atomsift/{label}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.tables: list[tuple[DataFrame, str]] = []
 
     def keep(self, df: DataFrame, label: str = "table") -> DataFrame:
         path = f"{self.root}/{label}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(kept)] = path
+        self.tables.append((kept, path))
         return kept
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables made by :meth:`keep` that nothing reads any more."""
-        for table in tables:
-            path = self.paths.pop(id(table), None)
-            if path:
+        """Delete tables made by :meth:`keep` that nothing reads any more; other frames are left alone."""
+        for kept, path in self.tables:
+            if any(kept is t for t in tables):
                 delete_path(self.spark, path)
+        self.tables = [(k, p) for k, p in self.tables if not any(k is t for t in tables)]
+
+    def since(self, mark: int, *needed: DataFrame) -> None:
+        """Delete the tables made after ``mark`` (an earlier ``len(scratch.tables)``) but those that are needed."""
+        self.drop(*(k for k, _ in self.tables[mark:] if not any(k is n for n in needed)))
