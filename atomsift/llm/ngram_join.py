@@ -36,7 +36,7 @@ TOKEN_BITS = 52  # 12 bits number the text within a chunk
 BLOCK, BLOCK_TOKENS = 1024, 1 << 20
 FANOUT = 16
 BROADCAST_ROWS = 1 << 20  # 16 bytes each
-SELECTIVE_FROM = 86  # from this percentage on few groups hold less than two tokens
+SELECTIVE_FROM = 86  # from this percentage on few groups hold less than two tokens, so keys take two
 
 
 def token_sets(texts, words: int):
@@ -68,8 +68,9 @@ class Plan:
     def __init__(self, percent: int):
         self.percent = percent
         selective = percent >= SELECTIVE_FROM
-        # size ratio of a band; groups beyond the least number, so that those of one token or none can be left out
-        self.ratio, self.spare = (1.4, 1 / 32) if selective else (1.2, 0.3)
+        # size ratio of a band, tokens of a group that makes a key, share of groups beyond the least number:
+        # more of them than groups below that size are to be expected
+        self.ratio, self.held, self.spare = (1.4, 2, 1 / 32) if selective else (1.2, 1, 1 / 8)
         # sizes below this are similar to equal sets only
         self.least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
 
@@ -118,7 +119,7 @@ def _keys(token, doc, n_docs, sizes, plan: Plan):
         number = np.arange(base[-1]) - base[owner]
         place = mix(band[owner].astype(np.uint64) * np.uint64(1 << 40) + number.astype(np.uint64))
         key = mix(place ^ mix(low + mix(high + held.astype(np.uint64))))
-        full = held > 1
+        full = held >= plan.held
         owners, keys = [owner[full]], [key[full]]
         small = np.bincount(owner[~full], minlength=n_docs)
         for text in np.flatnonzero(small > spare):

@@ -82,6 +82,16 @@ def test_routing_never_misses():
             assert len(a) == len(b) == common or found & other
 
 
+def test_long_sets_have_few_keys():
+    """Small groups stay below the spare ones, so keys for pairs of them are rare."""
+    rng = np.random.default_rng(5)
+    for percent in (80, 90):
+        for n in (1000, 9000, 30_000, 33_000, 36_000):
+            token = np.unique(rng.integers(0, 1 << 52, n).astype(np.uint64))
+            parts = ngram_join._keys(token, np.zeros(len(token), np.int64), 1, np.array([len(token)]), ngram_join.Plan(percent))
+            assert sum(len(key) for _, _, key in parts) < 0.8 * n
+
+
 def _flat(parts):
     for owner, band, key in parts:
         for d, k in zip(owner, key, strict=True):
