@@ -1,14 +1,15 @@
 """Near-duplicate vectors by spherical k-means cells and blocked cosine products.
 
 Centroids are fitted on a bounded sample; every vector belongs to its nearest
-cell and visits the ``VISITS`` nearest ones. Inside a cell its members are
-compared with each other and with its visitors; a pair that meets in two cells
-counts in the lower one only. Equal vectors are one vector with a number of
-copies. Cells beyond ``BLOCK`` rows are dealt in blocks, one task for each pair of
-blocks, so a cell of any size is compared completely.
-
-Links across cells are missed where neither vector visits the other's cell. On
-the given tables the recall against brute force is 1.
+cell and visits every other cell that may hold a vector it links with. A cell may
+not if it lies beyond its radius and the angle of the bound, or if the vector is
+further than that angle from the border between the two cells; both are exact, so
+no link is missed, whatever the cells. Of two cells only one is visited by the
+other. Equal vectors are one vector with a number of copies. Members and visitors
+of a cell are dealt in blocks, one task for each pair of blocks, so a cell of any
+size is compared completely.
+
+Where directions are so many that the bounds cut nothing, all pairs are compared.
 """
 
 from __future__ import annotations
@@ -22,10 +23,13 @@ from .components import connected_components
 from .scratch import Scratch
 
 SAMPLE_ROWS = 1 << 14
-CELL_ROWS = 256
+CELL_ROWS = 1 << 13
+LEAST_CELLS = 16
 MOST_CELLS = 1 << 11
-VISITS = 4
-BLOCK = 1024
+BLOCK = 1 << 13
+BLOCK_VALUES = 1 << 19
+STRIP_PAIRS = 1 << 22
+SLACK = 1e-9
 
 
 def unit(column) -> tuple[np.ndarray, list | np.ndarray]:
@@ -65,65 +69,104 @@ def fit_cells(sample: np.ndarray, cells: int, steps: int = 12, seed: int = 5) ->
     return centres
 
 
-def _visits(centres):
-    """A row for every cell that a vector belongs to or visits; the cell it belongs to comes first in ``cells``."""
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def _homes(centres):
+    """Every vector with its own cell and its cosine to the cell's centroid."""
 
     def run(batches):
-        c = centres.value
-        n = min(VISITS, len(c))
         for batch in batches:
-            x = np.stack([np.asarray(v.as_py(), float) for v in batch.column("x")]) if batch.num_rows else None
-            if x is None:
+            if batch.num_rows:
+                near = _matrix(batch.column("x")) @ centres.value.T
+                cell = near.argmax(1)
+                best = pa.array(near[np.arange(len(near)), cell])
+                yield batch.append_column("cell", pa.array(cell.astype(np.int32))).append_column("cosine", best)
+
+    return run
+
+
+def visited(x: np.ndarray, own: np.ndarray, centres: np.ndarray, radius: np.ndarray, least: float) -> np.ndarray:
+    """Which cells each vector has to visit for all links of at least ``least``, both directions; a cell of no radius is empty."""
+    angle = np.arccos(np.clip(least, -1.0, 1.0))
+    near = x @ centres.T
+    there = np.arccos(np.clip(near, -1.0, 1.0)) <= radius + angle + SLACK
+    if angle < np.pi / 2:
+        apart = _apart(centres)[own]
+        # the sine of the angle between a vector and the plane halfway between two centroids
+        there &= near[np.arange(len(x)), own][:, None] - near <= (np.sin(angle) + SLACK) * apart + SLACK
+    there[np.arange(len(x)), own] = False
+    return there
+
+
+def _apart(centres: np.ndarray) -> np.ndarray:
+    square = (centres * centres).sum(1)
+    return np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * centres @ centres.T, 0.0))
+
+
+def _visits(cells, least: float, count: bool):
+    """Members (``home``) and visitors of cells, or only how many there are."""
+
+    def run(batches):
+        centres, radius = cells.value
+        number = np.arange(len(centres))
+        for batch in batches:
+            own = batch.column("cell").to_numpy()
+            there = visited(_matrix(batch.column("x")), own, centres, radius, least) if len(own) else None
+            if there is None:
                 continue
-            near = x @ c.T
-            top = np.argpartition(-near, n - 1, axis=1)[:, :n]
-            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1)
-            at = np.repeat(np.arange(len(x)), n)
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(top.ravel().astype(np.int32)),
-                    batch.column("node").take(pa.array(at)),
-                    batch.column("copies").take(pa.array(at)),
-                    pa.array(list(top.astype(np.int32)[at]), kind),
-                    batch.column("x").take(pa.array(at)),
-                ],
-                ["cell", "node", "copies", "cells", "x"],
-            )
+            # of two cells, the lower one is visited if the sum of their numbers is even
+            there &= (number < own[:, None]) == ((number + own[:, None]) % 2 == 0)
+            for cell in number:
+                for home, at in ((True, np.flatnonzero(own == cell)), (False, np.flatnonzero(there[:, cell]))):
+                    if not len(at):
+                        continue
+                    size = 1 if count else len(at)
+                    columns = [pa.array(np.full(size, cell, np.int32)), pa.array(np.full(size, home))]
+                    if count:
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array([len(at)], pa.int64())], ["cell", "home", "n"])
+                    else:
+                        names = ["node", "copies", "x"]
+                        columns += [batch.column(name).take(pa.array(at)) for name in names]
+                        yield pa.RecordBatch.from_arrays(columns, ["cell", "home", *names])
 
     return run
 
 
-def _components(near: np.ndarray) -> np.ndarray:
-    """Component number (its first row) of a symmetric boolean matrix."""
-    name = np.arange(len(near), dtype=np.int32)
-    some = np.flatnonzero(near.any(1))
-    near = near[np.ix_(some, some)] | np.eye(len(some), dtype=bool)
-    own = np.arange(len(some), dtype=np.int32)
-    while len(some):
-        low = np.where(near, own[None, :], np.int32(len(some))).min(1)
-        low = low[low]
-        if (low == own).all():
-            break
-        own = low
-    name[some] = some[own]
-    return name
-
-
-def compare(cell: int, node, copies, cells, side, x, least: float):
-    """Links of one pair of blocks: ``(node, linked copies)`` sums and edges that connect what is linked."""
-    home = cells[:, 0] == cell
-    near = x @ x.T >= least
-    np.fill_diagonal(near, False)
-    near &= home[:, None] | home[None, :]
-    if len(np.unique(side)) > 1:
-        near &= side[:, None] != side[None, :]
-    # a visitor meets a member here and, if the member visits the visitor's own cell, there as well
-    for v in np.flatnonzero(~home & near.any(1)):
-        twice = home & (cells == cells[v, 0]).any(1) & (cells[v, 0] < cell)
-        near[v, twice] = near[twice, v] = False
-    links = near @ copies
-    name = _components(near)
+def _join(name: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Component names (a row of each) after rows ``a`` and ``b`` are joined."""
+    while True:
+        apart = name[a] != name[b]
+        if not apart.any():
+            return name
+        a, b = a[apart], b[apart]
+        low, high = np.minimum(name[a], name[b]), np.maximum(name[a], name[b])
+        np.minimum.at(name, high, low)
+        while (name[name] != name).any():
+            name = name[name]
+
+
+def compare(copies: np.ndarray, side: np.ndarray, x: np.ndarray, least: float):
+    """Links between two blocks, or inside one: linked copies of each row, and edges that connect what is linked."""
+    links, name = np.zeros(len(x), np.int64), np.arange(len(x))
+    one = side.min() == side.max()
+    left = np.arange(len(x)) if one else np.flatnonzero(side == side.min())
+    right = left if one else np.flatnonzero(side == side.max())
+    x_left, x_right = x[left], x[right]
+    step = max(1, STRIP_PAIRS // len(right))
+    for start in range(0, len(left), step):
+        first = start if one else 0
+        near = x_left[start : start + step] @ x_right[first:].T >= least
+        if one:
+            near = np.triu(near, 1)
+        if not near.any():
+            continue
+        a, b = np.nonzero(near)
+        a, b = left[start + a], right[first + b]
+        for here, other in ((a, b), (b, a)):
+            links += np.bincount(here, copies[other], len(x)).astype(np.int64)
+        name = _join(name, a, b)
     joined = np.flatnonzero(name != np.arange(len(name)))
     return links, joined, name[joined]
 
@@ -131,10 +174,7 @@ def compare(cell: int, node, copies, cells, side, x, least: float):
 def _compare(least: float):
     def run(table: pa.Table) -> pa.Table:
         node, copies = table["node"].to_numpy(), table["copies"].to_numpy()
-        cells = np.stack(table["cells"].to_pylist())
-        x = table["x"].combine_chunks()
-        x = x.values.to_numpy().reshape(len(x), -1)
-        links, a, b = compare(table["cell"][0].as_py(), node, copies, cells, table["side"].to_numpy(), x, least)
+        links, a, b = compare(copies, table["side"].to_numpy(), _matrix(table["x"].combine_chunks()), least)
         some = np.flatnonzero(links)
         nothing = pa.nulls(len(some), pa.int64())
         return pa.table(
@@ -183,21 +223,36 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, least: float = 0.9) ->
     groups = scratch.keep(groups, "distinct")
     sample = groups.orderBy(F.xxhash64("node"), "node").limit(SAMPLE_ROWS).select("x").toArrow()["x"].combine_chunks()
     sample = sample.flatten().to_numpy().reshape(len(sample), -1)
-    cells = int(np.clip(first["rows"] // CELL_ROWS, 1, min(MOST_CELLS, len(sample))))
-    centres = spark.sparkContext.broadcast(fit_cells(sample, cells))  # MOST_CELLS vectors at most
-    placed = groups.mapInArrow(
-        _visits(centres), "cell int, node long, copies long, cells array<int>, x array<double>"
+    cells = max(LEAST_CELLS, first["rows"] // CELL_ROWS)
+    centres = fit_cells(sample, int(np.clip(cells, 1, min(MOST_CELLS, len(sample)))))  # MOST_CELLS vectors at most
+    homes = groups.select("node", "copies", "x").mapInArrow(
+        _homes(spark.sparkContext.broadcast(centres)), "node long, copies long, x array<double>, cell int, cosine double"
     )
-    placed = scratch.keep(placed, "placed")
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    homes = scratch.keep(homes, "homes")
+    radius = np.full(len(centres), -np.inf)
+    for r in homes.groupBy("cell").agg(F.min("cosine").alias("least")).collect():
+        radius[r["cell"]] = np.arccos(np.clip(r["least"], -1.0, 1.0))
+    bounds = spark.sparkContext.broadcast((centres, radius))
+    counts = homes.mapInArrow(_visits(bounds, least, True), "cell int, home boolean, n long")
+    block = max(1, min(BLOCK, BLOCK_VALUES // first["width"]))
+    blocks = lambda home: F.ceil(F.sum(F.when(F.col("home") == home, F.col("n")).otherwise(0)) / block).cast("int")
+    sizes = counts.groupBy("cell").agg(blocks(True).alias("members"), blocks(False).alias("visitors"))
     sizes = F.broadcast(sizes)  # a row for each of at most MOST_CELLS cells
-    dealt = placed.join(sizes, "cell").withColumn("side", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = homes.mapInArrow(
+        _visits(bounds, least, False), "cell int, home boolean, node long, copies long, x array<double>"
+    )
+    # blocks of members come first, then blocks of visitors; visitors are not compared with each other
+    dealt = placed.join(sizes, "cell").withColumn("hash", F.xxhash64("node")).withColumn(
+        "side",
+        F.when(F.col("home"), F.pmod("hash", "members")).otherwise(F.col("members") + F.pmod("hash", "visitors")).cast("int"),
+    )
+    last = F.col("members") - 1 + F.when(F.col("home"), F.col("visitors")).otherwise(0)
+    dealt = dealt.where("members > 0").withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     dealt = dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
-    dealt = dealt.select("cell", "i", "j", "node", "copies", "cells", "side", "x")
+    dealt = dealt.select("cell", "i", "j", "node", "copies", "side", "x")
     made = dealt.groupBy("cell", "i", "j").applyInArrow(_compare(least), "a long, b long, links long")
     made = scratch.keep(made, "links")
-    scratch.drop(placed)
+    scratch.drop(homes)
     links = made.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("linked"))
     components = connected_components(made.where("b IS NOT NULL"), scratch)
     per_node = groups.select("node", "copies", "x").join(links, "node", "left")

@@ -192,6 +192,26 @@ def test_vectors_like_brute_force(spark, monkeypatch):
     assert neardup.near_duplicates(table.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_links_of_a_tight_group_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CELL_ROWS", 48)
+    monkeypatch.setattr(neardup, "BLOCK", 300)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2400, 64))
+    x[:800] = x[0] + rng.normal(0, 0.2, (800, 64))
+    x[800:1000] = x[1000:1200] + rng.normal(0, 0.45, (200, 64))
+    x[1200:1300] = x[1200]
+    x = x[rng.permutation(len(x))]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(table, Scratch(spark, "t")).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    name = np.arange(len(u))
+    while (low := np.where(near | np.eye(len(u), dtype=bool), name[None, :], len(u)).min(1)).tolist() != name.tolist():
+        name = low
+    assert got == {i: (near[i].sum(), name[i], name[i] == i) for i in range(len(u))}
+
+
 def test_components(spark):
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
