@@ -42,19 +42,21 @@ _NUMBER = "|".join(_SPELLED)
 _STRANGE = re.compile(
     "[\u00ad\u0370-\u03ff\u0400-\u052f\u0660-\u0669\u06f0-\u06f9\u200b-\u200d\u2060\ufeff\uff01-\uff5e]"
 )
-_RUN = re.compile(rf"(?<![a-z])(?:{_NUMBER})(?:[ -](?:{_NUMBER}))+(?![a-z])")
+_RUN = re.compile(rf"(?<![a-z])(?:{_NUMBER})(?:[ -](?:{_NUMBER}))+(?![a-z])")  # for lower-cased text
 _WORD = re.compile(_NUMBER)
-_PLUS = re.compile(r"(?<![a-z])plus (?=[0-9])", re.I)
-_LONE = re.compile(rf"(?:(?<=[0-9] dot )|(?<=[0-9] point ))({_NUMBER})(?![a-z])", re.I)
-_POINT = re.compile(r"(?<=[0-9]) (?:dot|point) (?=[0-9])", re.I)
-_BRACKETED = re.compile(r" ?[\[({<] ?(at|dot) ?[\])}>] ?", re.I)
+_PLUS = re.compile(r"(?<![a-z])plus (?=[0-9])", re.I | re.A)
+_LONE = re.compile(rf"(?:(?<=[0-9] dot )|(?<=[0-9] point ))({_NUMBER})(?![a-z])", re.I | re.A)
+_POINT = re.compile(r"(?<=[0-9]) (?:dot|point) (?=[0-9])", re.I | re.A)
+_BRACKETED = re.compile(r" ?[\[({<] ?(at|dot) ?[\])}>] ?", re.I | re.A)
+_OPENED = re.compile(r"[\[({<] ?(?:at|dot) ?[\])}>]")  # what _BRACKETED needs, for lower-cased text
 # Endings that a spoken domain may have.
 _ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|eu|uk|us|ca|au|nz|de|at|ch|fr|be|nl|es|pt|it|pl|se|no|dk|fi|ru|jp|cn|in|br|mx"
-_SPOKEN = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?: at | ?@ ?)(?=(?:[A-Za-z0-9-]+(?: dot |\.))+(?:{_ENDINGS})(?![A-Za-z0-9-]))", re.I)
-_DOTS = re.compile(r"@[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)+", re.I)
-_DOT = re.compile(r" dot ", re.I)
+_SPOKEN = re.compile(rf"(?<=[A-Za-z0-9._%+-])(?: at | ?@ ?)(?=(?:[A-Za-z0-9-]+(?: dot |\.))+(?:{_ENDINGS})(?![A-Za-z0-9-]))", re.I | re.A)
+_ASKED = re.compile(r" at | ?@ ?")  # what _SPOKEN needs, for lower-cased text
+_DOTS = re.compile(r"@[A-Za-z0-9-]+(?:(?: dot |\.)[A-Za-z0-9-]+)+", re.I | re.A)
+_DOT = re.compile(r" dot ", re.I | re.A)
 _TENTH = re.compile(r"(?<=[0-9])[OolI](?=[ -]?[0-9])")
-_HINTS = (" dot ", "[at", "(at", "{at", "<at", "[ at", "( at", "[dot", "(dot", " point ")
+_CAPITALS = {c: c + 32 for c in range(65, 91)}
 
 
 def _luhn(digits: str) -> bool:
@@ -108,7 +110,7 @@ class Traced:
     """A text with the source range of each of its characters."""
 
     def __init__(self, text: str):
-        self.text, self.first, self.past = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.first, self.past = text, range(len(text)), range(1, len(text) + 1)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace ascending disjoint ranges. The new characters share the range that they replace."""
@@ -125,7 +127,7 @@ class Traced:
                 past += [self.past[end - 1]] * len(new)
             at = end
         text.append(self.text[at:])
-        self.text, self.first, self.past = "".join(text), first + self.first[at:], past + self.past[at:]
+        self.text, self.first, self.past = "".join(text), [*first, *self.first[at:]], [*past, *self.past[at:]]
 
     def sub(self, pattern: re.Pattern, new) -> None:
         self.rewrite([(m.start(), m.end(), new(m)) for m in pattern.finditer(self.text)])
@@ -144,10 +146,13 @@ def _ascii(m: re.Match) -> str:
     return wide if len(wide) == 1 and wide.isascii() else c
 
 
-def _numbers(traced: Traced) -> None:
-    lower = traced.text.lower()
-    if len(lower) != len(traced.text):
-        return
+def _lower(text: str) -> str:
+    """The text with letters in lower case, character for character."""
+    lower = text.lower()
+    return lower if len(lower) == len(text) else text.translate(_CAPITALS)
+
+
+def _numbers(traced: Traced, lower: str) -> None:
     edits = []
     for run in _RUN.finditer(lower):
         words = list(_WORD.finditer(lower, *run.span()))
@@ -157,29 +162,41 @@ def _numbers(traced: Traced) -> None:
     traced.rewrite(edits)
 
 
+def _spoken(text: str, lower: str):
+    """Matches of ``_SPOKEN``, looked for only where one can begin."""
+    for m in _ASKED.finditer(lower):
+        found = _SPOKEN.match(text, m.start())
+        if found and found[0] != "@":
+            yield found
+
+
 def normalise(text: str) -> Traced | None:
-    """The rewritten text, or None where no disguise can be."""
-    lower = text.lower()
-    strange = None if text.isascii() else _STRANGE.search(text)
-    spelled = _RUN.search(lower)
-    tenth = _TENTH.search(text)
-    if not (strange or spelled or tenth or any(h in lower for h in _HINTS)):
-        return None
+    """The rewritten text, or None where no rule changes anything.
+
+    A rule is passed over only where the text has not what its own pattern needs.
+    """
     traced = Traced(text)
-    if strange:
+    if not text.isascii() and _STRANGE.search(text):
         traced.sub(_STRANGE, _ascii)
-    if spelled or strange:
-        _numbers(traced)
+    lower = _lower(traced.text)
+    if _RUN.search(lower):
+        _numbers(traced, lower)
+        lower = _lower(traced.text)
+    if "plus " in lower:
         traced.sub(_PLUS, lambda m: "+")
-    for _ in range(3 * bool(_LONE.search(traced.text))):  # each one may stand after the one before
-        traced.sub(_LONE, lambda m: _SPELLED[m[1].lower()])
+    if " dot " in lower or " point " in lower:
+        for _ in range(3 * bool(_LONE.search(traced.text))):  # each one may stand after the one before
+            traced.sub(_LONE, lambda m: _SPELLED[m[1].lower()])
     traced.sub(_TENTH, lambda m: "0" if m[0] in "Oo" else "1")
-    traced.sub(_POINT, lambda m: ".")
-    traced.sub(_BRACKETED, lambda m: "@" if m[1].lower() == "at" else ".")
-    traced.sub(_SPOKEN, lambda m: "@")
-    dots = [(d.start(), d.end(), ".") for m in _DOTS.finditer(traced.text) for d in _DOT.finditer(traced.text, *m.span())]
-    traced.rewrite(dots)
-    return traced
+    if " dot " in lower or " point " in lower:
+        traced.sub(_POINT, lambda m: ".")
+    if _OPENED.search(lower):
+        traced.sub(_BRACKETED, lambda m: "@" if m[1].lower() == "at" else ".")
+    if "@" in traced.text or " at " in lower:
+        traced.rewrite([(m.start(), m.end(), "@") for m in _spoken(traced.text, _lower(traced.text))])
+    if " dot " in lower:
+        traced.rewrite([(d.start(), d.end(), ".") for m in _DOTS.finditer(traced.text) for d in _DOT.finditer(traced.text, *m.span())])
+    return None if traced.text == text else traced
 
 
 def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -188,7 +205,7 @@ def find(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     base = plain(text)
     added = []
     traced = normalise(text)
-    if traced is not None and traced.text != text:
+    if traced is not None:
         for kind, start, end in plain(traced.text):
             s, e = traced.first[start], traced.past[end - 1]
             if not any(k == kind and s < pe and ps < e for k, ps, pe in base):

@@ -53,6 +53,34 @@ def test_disguises_map_back():
     assert pii.find(plain) == ([], []) and pii.redact(plain) == plain
 
 
+def test_each_disguise_alone():
+    alone = {
+        "john @ example.com": "email",
+        "jane at example.com": "email",
+        "JANE AT EXAMPLE.COM": "email",
+        "jane at example dot org": "email",
+        "x@example{dot}com": "email",
+        "x@example<dot>com": "email",
+        "x@example [ dot ] com": "email",
+        "john { at } example.com": "email",
+        "john(AT)example.com": "email",
+        "adm\u0456n@ex\u0430mple.com": "email",
+        "plus 49 170 1234567": "phone",
+        "plus four nine three zero one two three four five six": "phone",
+        "10 point 20 point 30 point 40": "ip",
+        "10.20.30 dot one": "ip",
+        "5500-0000-0000-00O4": "card",
+        "four one one one one one one one one one one one one one one one": "card",
+    }
+    for disguise, kind in alone.items():
+        # the capital I with a dot becomes two characters in lower case
+        for before, after in (("", ""), ("To ", ", please."), ("\u0130: ", "; \u0130"), ("\u00e9 ", " \u00e9")):
+            text = before + disguise + after
+            assert pii.find(text) == ([], [(kind, len(before), len(before) + len(disguise))]), text
+    for plain in ("See you at noon.", "a <b> at (x) @ home", "one plus four", "x at y.zz", "two points dot"):
+        assert pii.normalise(plain) is None and pii.find(plain) == ([], [])
+
+
 def test_table(spark, docs_of):
     rows = [(1, TEXT), (2, None), (3, ""), (4, "a@b.cd"), (4, "a@b.cd"), (5, "x " * 200_000 + "a@b.cd"), (None, "1.2.3.4")]
     got = pii.digest(pii.find_spans(docs_of(rows))).collect()
