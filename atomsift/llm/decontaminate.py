@@ -1,7 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts are sequences of words (letters and digits, A-Z lower-cased; everything
-else separates), so case, spacing and punctuation make no difference. An item of
+else separates, in any script), so case, spacing and punctuation make no difference.
+In scripts that set no spaces every character is a word. An item of
 m words may be matched with up to ``m // WORDS_PER_EDIT`` word edits. It is cut
 into one piece more than that; whoever matches within the budget holds at least
 one piece unchanged. Pieces are found through rolling hashes of every text
@@ -11,6 +12,7 @@ whole item against the words around it.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -27,6 +29,36 @@ ITEM_BYTES = 32 << 20
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
+# Scripts without spaces between words (South-East Asian ones, Tibetan, kana, Han).
+_UNSPACED = (
+    (0x0E00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x1950, 0x19E0), (0x1A20, 0x1AB0), (0x3005, 0x3008),
+    (0x3040, 0x3100), (0x31F0, 0x3200), (0x3400, 0xA000), (0xA9E0, 0xAA00), (0xAA60, 0xAAE0), (0xF900, 0xFB00),
+    (0xFF66, 0xFFA0), (0x1B000, 0x1B170), (0x20000, 0x40000),
+)
+_INSIDE = (0x00AD, 0x200C, 0x200D)  # soft hyphen and joiners are inside words
+_WORD, _BETWEEN, _SINGLE = 0, 1, 2
+
+
+class _Kinds:
+    """What each character is: part of a word, a separator, or a word by itself. Made when first needed."""
+
+    def __init__(self):
+        self.table = None
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            table = np.array([unicodedata.category(chr(c))[0] in "PSZC" for c in range(1 << 17)], np.uint8) * np.uint8(_BETWEEN)
+            for a, b in _UNSPACED:
+                table[a:b][table[a:b] == _WORD] = _SINGLE
+            table[list(_INSIDE)] = _WORD
+            self.table = table
+        beyond = np.where(points < 0x40000, _SINGLE, _WORD)
+        return np.where(points < len(self.table), self.table[np.minimum(points, len(self.table) - 1)], beyond)
+
+
+_KINDS = _Kinds()
+
+
 def _separators() -> np.ndarray:
     """Bytes that do not belong to words: ASCII other than letters and digits."""
     sign = np.ones(256, bool)
@@ -38,9 +70,43 @@ def _separators() -> np.ndarray:
 _SIGN = _separators()
 
 
+def _characters(raw: np.ndarray):
+    """Position, length and code point of the characters beyond ASCII; broken ones are left out."""
+    at = np.flatnonzero(raw >= 0xC0)
+    lead = raw[at].astype(np.int64)
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    point = lead & np.where(size == 2, 0x1F, np.where(size == 3, 0x0F, 0x07))
+    padded, whole = np.append(raw, np.zeros(3, np.uint8)), np.ones(len(at), bool)
+    for j in range(1, 4):
+        more = j < size
+        byte = padded[at[more] + j]
+        whole[more] &= byte >> 6 == 2
+        point[more] = point[more] << 6 | byte & 0x3F
+    return at[whole], size[whole], point[whole]
+
+
 def plain_words(texts: Texts) -> Texts:
-    """The chunk with every separator turned into a space."""
-    return Texts(np.where(_SIGN[texts.raw], np.uint8(32), texts.raw), texts.offsets)
+    """The chunk with every separator turned into a space and characters of unspaced scripts as words."""
+    raw = np.where(_SIGN[texts.raw], np.uint8(32), texts.raw)
+    at, size, point = _characters(raw)
+    if not len(at):
+        return Texts(raw, texts.offsets)
+    kind = _KINDS.of(point)
+    between = kind == _BETWEEN
+    for j in range(4):
+        raw[at[between & (j < size)] + j] = 32
+    plain = Texts(raw, texts.offsets)
+    single = kind == _SINGLE
+    if single.any():
+        first, past = at[single], at[single] + size[single]
+        begins, ends = np.zeros(len(raw) + 1, bool), np.zeros(len(raw) + 1, bool)
+        held = np.append(raw != 32, False)
+        begins[plain.starts] = begins[first] = ends[plain.ends] = ends[past] = True
+        begins[past[held[past]]] = True
+        ends[first[held[first - 1]]] = True  # before the first byte is the blank at the end
+        plain.starts, plain.ends = np.flatnonzero(begins), np.flatnonzero(ends)
+        plain.doc = np.searchsorted(plain.offsets, plain.starts, side="right") - 1
+    return plain
 
 
 def distance_within(pattern: list[int], text: list[int], budget: int):

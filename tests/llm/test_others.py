@@ -68,6 +68,51 @@ def test_items_found_like_brute_force(spark, docs_of):
     assert decontaminate.find_items(docs.limit(0), bench).count() == 0
 
 
+def test_words_of_any_script():
+    import unicodedata
+
+    def words(text):
+        out, word = [], ""
+        for c in text:
+            single = "\u0e00" <= c < "\u0e80" or "\u3040" <= c < "\u3100" or "\u3400" <= c < "\ua000" or c >= "\U00020000"
+            inside = unicodedata.category(c)[0] in "LNM"
+            if word and (single or not inside):
+                out, word = [*out, word], ""
+            if inside and single:
+                out.append(c)
+            elif inside:
+                word += c.lower() if c.isascii() else c
+        return [*out, word] if word else out
+
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("aB3 é\u0301\u2019\u201c\u2014\u00a0\u3002\uff0c\u3042\u30ab\u6f22\u5b57\u0e01\u0e34\U00020001\U0001f600я.") for _ in range(rnd.randint(0, 12))) for _ in range(2000)]
+    texts += [None, ""]
+    for _, part in chunks(pa.array(texts), size=300):
+        plain = decontaminate.plain_words(part)
+        got = [[] for _ in range(len(part))]
+        for d, a, b in zip(plain.doc, plain.starts, plain.ends, strict=True):
+            got[d].append(plain.data[a:b].tobytes().decode())
+        assert got == [words(part.raw[a:b].tobytes().decode()) for a, b in zip(part.offsets[:-1], part.offsets[1:], strict=True)]
+
+
+def test_items_in_unspaced_scripts_and_typographic_signs(spark, docs_of):
+    chinese, thai = "\u54ea\u4e00\u5ea7\u57ce\u5e02\u662f\u6cd5\u56fd\u7684\u9996\u90fd", "\u0e01\u0e23\u0e38\u0e07\u0e40\u0e17\u0e1e\u0e2d\u0e22\u0e39\u0e48"
+    latin = "the quick brown fox isn't over the lazy dog at all"
+    bench = spark.createDataFrame([(1, chinese + "\uff1f"), (2, thai), (3, latin)], "item_id long, text string")
+    docs = docs_of(
+        [
+            (1, "\u95ee\u9898\uff1a" + chinese + "\u3002\u7b54\u6848\u5728\u4e0b\u9762"),
+            (2, "\u0e02\u0e49\u0e2d" + thai + "\u0e04\u0e23\u0e31\u0e1a"),
+            (3, "so \u201cthe quick\u2014brown\u00a0fox isn\u2019t over \u2018the lazy dog\u2019 at all\u2026\u201d he said"),
+            (4, "\u95ee\u9898\uff1a" + chinese[::-1]),
+        ]
+    )
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["start"], r["end"]) for r in decontaminate.find_items(docs, bench).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(1, 1): 0, (2, 2): 0, (3, 3): 0}
+    assert got[1, 1][1:] == (9, 9 + 3 * len(chinese))
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()} == {4}
+
+
 def graded(n, seed=1):
     rnd = random.Random(seed)
     texts, grades = [], []
