@@ -532,13 +532,13 @@ def pca_score_norms(spark, d):
 
 @query("umap_embedding")
 def umap_embedding(spark, d):
-    out = embedding.umap_embedding(ST.standardize(T.embedding_matrix(spark, d)), 4, epochs=3)
+    out = embedding.umap_embedding(ST.standardize(T.embedding_matrix(spark, d)), 4)
     return spread(out, "row_id")
 
 
 @query("tsne_embedding")
 def tsne_embedding(spark, d):
-    out = embedding.tsne_embedding(ST.standardize(T.embedding_matrix(spark, d)), 2, perplexity=10, epochs=3)
+    out = embedding.tsne_embedding(ST.standardize(T.embedding_matrix(spark, d)), 2)
     return spread(out, "row_id")
 
 

@@ -350,3 +350,23 @@ def test_embedding_separates_blobs(spark, matrix_of, method):
     own = max(np.linalg.norm(y[a : a + 20] - m, axis=1).mean() for a, m in zip((0, 20, 40), means))
     gaps = [np.linalg.norm(means[i] - means[j]) for i in range(3) for j in range(i)]
     assert min(gaps) > 1.5 * own
+
+
+@pytest.mark.parametrize("method", ["umap_embedding", "tsne_embedding"])
+def test_embedding_queries_run_all_epochs(spark, matrix_of, monkeypatch, method):
+    from inspect import signature
+
+    from atomsift.plans import queries
+
+    kind, seen = signature(getattr(embedding, method)), {}
+
+    def record(matrix, *args, **named):
+        seen.update(kind.bind(matrix, *args, **named).arguments)
+        return matrix
+
+    monkeypatch.setattr(queries.T, "embedding_matrix", lambda *_: matrix_of(np.random.default_rng(0).normal(size=(6, 3))))
+    monkeypatch.setattr(embedding, method, record)
+    queries.QUERIES[method](spark, "").collect()
+    for name in ("epochs", "perplexity"):
+        if name in kind.parameters:
+            assert seen.get(name, kind.parameters[name].default) == kind.parameters[name].default
