@@ -51,6 +51,12 @@ _SCOPES: list[list[tuple[SparkSession, str]]] = []
 _PATHS: dict[int, str] = {}
 
 
+def forget_later(spark: SparkSession, path: str) -> None:
+    """Has ``path`` deleted at the end of the open :func:`intermediate_tables`, if there is one."""
+    if _SCOPES:
+        _SCOPES[-1].append((spark, path))
+
+
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of the copy.
 
@@ -61,8 +67,7 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/atomsift/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _SCOPES:
-        _SCOPES[-1].append((spark, path))
+    forget_later(spark, path)
     copy = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(copy)] = path
     weakref.finalize(copy, _PATHS.pop, id(copy), None)
