@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, decontaminate, neardup, ngram_join, packing, pii, quality, toxicity, urls
+from . import (
+    chat,
+    ctw,
+    decontaminate,
+    infilling,
+    line_runs,
+    neardup,
+    ngram_join,
+    packing,
+    pii,
+    quality,
+    toxicity,
+    urls,
+)
 from .scratch import Scratch
 
 QUERIES: dict = {}
@@ -104,6 +117,26 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_texts(docs, train, Scratch(spark, "context-tree"))
 
 
+@query
+def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_runs.dedup_lines(table(spark, sf_dir, "documents"), Scratch(spark, "line-dedup"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op12_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infilling.infill(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        F.col("prefix").alias("prefix_chars"),
+        F.col("middle").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infilling.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 def _escaped(column: str) -> str:
     out = f"replace(coalesce({column}, ''), '\\', '\\\\')"
     for mark in chat.CONTROL:
@@ -130,3 +163,39 @@ SELECT conv_id, count(*) AS n_turns,
   (sum(prefix) FILTER (role = 'assistant' OR pos = n))::BIGINT AS formatted_chars
 FROM run GROUP BY conv_id
 """
+
+_BLANKS = " || ".join(f"chr({ord(c)})" for c in line_runs.BLANKS)
+_KEY = f"translate(trim(line, {_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op11_line_runs"] = f"""
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+numbered AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM cut),
+keyed AS (SELECT doc_id, line, pos, {_KEY} AS key FROM numbered),
+common AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40
+           GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (SELECT keyed.*, coalesce(doc_id <> last, false) AS gone FROM keyed LEFT JOIN common USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+ORACLES["op12_infilling"] = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+         sha256('1:' || doc_id::VARCHAR) AS digest FROM documents),
+numbers AS (
+  SELECT *, ('0x' || substr(digest, 1, 8))::BIGINT % (n + 1) AS cut_a, ('0x' || substr(digest, 9, 8))::BIGINT % (n + 1) AS cut_b,
+         ('0x' || substr(digest, 17, 8))::BIGINT % 100 AS h3, ('0x' || substr(digest, 25, 8))::BIGINT % 100 AS h4 FROM drawn),
+formed AS (
+  SELECT *, least(cut_a, cut_b) AS low, greatest(cut_a, cut_b) AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 90
+              THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+parts AS (
+  SELECT *, substring(text, 1, low) AS prefix, substring(text, low + 1, high - low) AS middle,
+         substring(text, high + 1) AS suffix FROM formed)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
