@@ -185,6 +185,7 @@ def dedup_lines(
     lists = scratch.keep(drop_lists(runs, scratch, least_docs), "drop-lists")
     runs.delete()
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.join(lists, "doc_id", "left").mapInArrow(
+    # merged at every size: a join that is broadcast as long as the lists are small would hide what it costs
+    return rows.join(lists.hint("merge"), "doc_id", "left").mapInArrow(
         _cut, "doc_id long, n_lines long, n_dropped long, text string"
     )
