@@ -1092,6 +1092,59 @@ def nearest_neighbours(spark, d):
     return rounded(near.select("pid", F.explode("near").alias("e")).select("pid", "e.q", "e.d"), 9, "d")
 
 
+def _edge_search(k: int, start: str, step: str, weigh: str, union: str) -> str:
+    """Edge weights of k neighbours: per row SEARCH_STEPS halvings of one number, then both directions joined."""
+    return f"""WITH RECURSIVE {PAIRS}, {NEAR},
+ls AS (SELECT i, list(j ORDER BY rn) AS js, list(d ORDER BY rn) AS ds FROM nr WHERE rn BETWEEN 2 AND {k + 1} GROUP BY i),
+st AS (SELECT i, js, ds, {start} AS far, 1.0::DOUBLE AS s, 0.0::DOUBLE AS low, 'inf'::DOUBLE AS high, 0 AS step FROM ls
+  UNION ALL
+  SELECT i, js, ds, far, CASE WHEN isinf(h) THEN s * 2 ELSE (l + h) / 2 END, l, h, step + 1 FROM (
+    SELECT *, CASE WHEN up THEN s ELSE low END AS l, CASE WHEN up THEN high ELSE s END AS h FROM (
+      SELECT *, {step} AS up FROM st WHERE step < {embedding.SEARCH_STEPS}))),
+ws AS (SELECT i, js, {weigh} AS ws FROM st WHERE step = {embedding.SEARCH_STEPS}),
+eg AS (SELECT i, unnest(js) AS j, unnest(ws) AS w FROM ws),
+su AS (SELECT coalesce(a.i, b.j) AS i, coalesce(a.j, b.i) AS j, coalesce(a.w, 0) AS w, coalesce(b.w, 0) AS w2
+  FROM eg a FULL JOIN eg b ON a.i = b.j AND a.j = b.i)
+SELECT i, j, round({union}, 7) AS p FROM su"""
+
+
+_FALL = "list_transform(far, lambda f: exp(-f / s))"
+_RISE = "list_transform(far, lambda f: exp(-f * s))"
+
+
+def _edges(spark, d, k, weigh, combine):
+    placed, stats, _ = _points(spark, d)
+    return rounded(combine(embedding.graph_of(placed, stats, k, weigh)), 7, "p")
+
+
+@query(
+    "umap_edges",
+    _edge_search(
+        15,
+        "list_transform(ds, lambda v: greatest(v - coalesce(list_min(list_filter(ds, lambda u: u > 0)), 0), 0))",
+        f"NOT list_sum({_FALL}) > log2(15)",
+        "list_transform(far, lambda f: exp(-f / greatest(s, 0.001 * greatest(list_avg(ds), 1e-12))))",
+        "w + w2 - w * w2",
+    ),
+)
+def umap_edges(spark, d):
+    return _edges(spark, d, 15, embedding.umap_weights, embedding.umap_edges)
+
+
+@query(
+    "tsne_edges",
+    _edge_search(
+        90,
+        "list_transform(ds, lambda v: v * v - ds[1] * ds[1])",
+        f"ln(list_sum({_RISE})) + s * list_sum(list_transform(far, lambda f: f * exp(-f * s))) / list_sum({_RISE}) > ln(30.0)",
+        f"list_transform({_RISE}, lambda e: e / list_sum({_RISE}))",
+        "w + w2",
+    ),
+)
+def tsne_edges(spark, d):
+    return _edges(spark, d, 90, lambda dist: embedding.tsne_weights(dist, 30.0), embedding.tsne_edges)
+
+
 @query("hdbscan_core_distance", f"WITH {PAIRS}, {NEAR} SELECT i AS pid, round(d, 9) AS core FROM nr WHERE rn = 6")
 def hdbscan_core_distance(spark, d):
     return rounded(hdbscan.core_distances(*_points(spark, d), 5), 9, "core")

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atomsift.functions.hashing import hash_key, hash_uniform
-from atomsift.operators import birch, cells, embedding, greedy, hdbscan, kmeans, nearest
+from atomsift.operators import birch, cells, embedding, greedy, hdbscan, kmeans, layout, nearest
 from atomsift.operators import sampling as SA
 
 
@@ -370,3 +370,97 @@ def test_embedding_queries_run_all_epochs(spark, matrix_of, monkeypatch, method)
     for name in ("epochs", "perplexity"):
         if name in kind.parameters:
             assert seen.get(name, kind.parameters[name].default) == kind.parameters[name].default
+
+
+# ---------------------------------------------------------------- layouts in blocks
+
+
+def preserved(x, y, k=8):
+    """Share of the k nearest neighbours that stay among them."""
+    near = [np.argsort(((v[:, None] - v[None]) ** 2).sum(2) + np.diag(np.full(len(v), np.inf)), axis=1)[:, :k] for v in (x, y)]
+    return np.mean([len(set(a) & set(b)) / k for a, b in zip(*near)])
+
+
+def exact_tsne(x, y, perplexity, epochs):
+    """Every pair, every epoch, on the driver."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    order = np.argsort(d, axis=1)[:, 1 : 3 * perplexity + 1]
+    p = np.zeros(d.shape)
+    np.put_along_axis(p, order, embedding.tsne_weights(np.take_along_axis(d, order, axis=1), perplexity), axis=1)
+    p = (p + p.T) / (2 * len(x))
+    speed, gains = np.zeros_like(y), np.ones_like(y)
+    for epoch in range(epochs):
+        early = epoch < epochs // 4
+        apart = y[:, None] - y[None]
+        q = 1 / (1 + (apart**2).sum(2))
+        np.fill_diagonal(q, 0)
+        g = 4 * (((12 if early else 1) * p - q / q.sum()) * q)[:, :, None] * apart
+        g = g.sum(1)
+        gains = np.maximum(np.where(speed * g < 0, gains + 0.2, gains * 0.8), 0.01)
+        speed = (0.5 if early else 0.8) * speed - 50 * gains * g
+        y = y + speed
+    return y
+
+
+@pytest.fixture(scope="module")
+def clouds():
+    rnd = np.random.default_rng(12)
+    return np.concatenate([rnd.normal(size=(60, 6)) + c for c in rnd.normal(size=(5, 6)) * 4])
+
+
+def test_tsne_in_blocks_keeps_neighbours_like_the_exact_gradient(spark, matrix_of, monkeypatch, clouds):
+    monkeypatch.setattr(layout, "BLOCK_POINTS", 64)
+    monkeypatch.setattr(cells, "CELL_POINTS", 30)
+    out = embedding.tsne_embedding(matrix_of(clouds), 2, perplexity=10, epochs=500)
+    y = np.array([r["x"] for r in out.orderBy("row_id").collect()])
+    start = clouds[:, :2] / np.abs(clouds[:, :2]).max() * 1e-4
+    best = preserved(clouds, exact_tsne(clouds, start, 10, 500))
+    assert preserved(clouds, y) > 0.8 * best > 0.3  # blocks of 64 points, most edges leave theirs
+
+
+def test_umap_in_blocks_with_shared_hubs(spark, matrix_of, monkeypatch, clouds):
+    monkeypatch.setattr(layout, "BLOCK_POINTS", 100)
+    monkeypatch.setattr(layout, "COPY_EDGES", 16)
+    monkeypatch.setattr(cells, "CELL_POINTS", 30)
+    out = embedding.umap_embedding(matrix_of(clouds), 2, n_neighbors=10)
+    y = np.array([r["x"] for r in out.orderBy("row_id").collect()])
+    assert preserved(clouds, y) > 0.35
+    means = y.reshape(5, 60, 2).mean(1)
+    own = max(np.linalg.norm(y[60 * k : 60 * k + 60] - means[k], axis=1).mean() for k in range(5))
+    assert min(np.linalg.norm(means[a] - means[b]) for a in range(5) for b in range(a)) > own
+
+
+def test_edges_of_blocks_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(layout, "BLOCK_POINTS", 10)
+    points = spark.createDataFrame([(i, i // 7) for i in range(50)], "i long, cell long")
+    pairs = [(i, j, 0.5) for i in range(50) for j in range(50) if i != j and (i == 0 or j == 0 or abs(i - j) < 3)]
+    monkeypatch.setattr(layout, "COPY_EDGES", 20)
+    blocks = layout.cut(points, spark.createDataFrame(pairs, "i long, j long, p double"))
+    assert blocks.copied
+    got = blocks.edges.collect()
+    assert sorted((r["i"], r["j"]) for r in got) == sorted((i, j) for i, j, _ in pairs)
+    mass = {r["i"]: r["m"] for r in blocks.members.groupBy("i").agg(F.sum("mass").alias("m")).collect()}
+    assert all(mass[i] == pytest.approx(1.0) for i in range(50))
+    held = {(r["block"], r["i"]) for r in blocks.members.collect()}
+    assert {(r["block"], e) for r in got for e in (r["i"], r["j"])} <= held
+    plan = blocks.edges.groupBy("block").count()._jdf.queryExecution().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan
+    blocks.release()
+
+
+def test_far_field_and_repulsion_add_up():
+    rnd = np.random.default_rng(4)
+    y = rnd.normal(size=(300, 2)) * 5
+    for dof in (1, 3):
+        apart = y[:, None] - y[None]
+        b = 1 / (1 + (apart**2).sum(2) / dof)
+        np.fill_diagonal(b, 0)
+        q = b ** ((dof + 1) / 2)
+        sums, push = layout.repulsion(y, np.ones(300), np.zeros((0, 2)), np.zeros(0), dof)
+        np.testing.assert_allclose(sums, q.sum(1), rtol=1e-4)
+        np.testing.assert_allclose(push, ((q * b)[:, :, None] * apart).sum(1), rtol=1e-3, atol=1e-4)
+        part, pushed = layout.repulsion(y[:100], np.ones(100), y[100:], np.ones(200), dof)
+        np.testing.assert_allclose(part, sums[:100], rtol=1e-4)
+        np.testing.assert_allclose(pushed, push[:100], rtol=1e-3, atol=1e-4)
+    splits = layout.median_splits(y, 64)
+    assert np.bincount(splits.cell(y), minlength=64).max() <= 6
