@@ -33,9 +33,10 @@ from .scratch import Scratch
 from .text import chunks, lists, mix
 
 TOKEN_BITS = 52  # 12 bits number the text within a chunk
-BLOCK, BLOCK_TOKENS = 1024, 1 << 20
+BLOCK, BLOCK_TOKENS = 1024, 1 << 19
 FANOUT = 16
-BROADCAST_ROWS = 1 << 20  # 16 bytes each
+SALTS = (0x1F3D, 0x2E5B)
+BROADCAST_ROWS = 1 << 19  # 48 bytes each at most
 SELECTIVE_FROM = 86  # from this percentage on few groups hold less than two tokens, so keys take two
 
 
@@ -181,6 +182,13 @@ def needed(percent: int):
     return lambda a, b: -(-percent * (a + b) // (100 + percent))
 
 
+def set_sums(token: np.ndarray, sizes: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each text's set, from the sum of its tokens' hashes."""
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(token + np.uint64(salt)))])
+    return mix(run[starts[1:]] - run[starts[:-1]]).view(np.int64)
+
+
 def _fingerprints(words: int, plan: Plan):
     """Rows of each text: one with ``first`` for the text itself, and one more for each further band."""
 
@@ -190,11 +198,7 @@ def _fingerprints(words: int, plan: Plan):
                 n = len(texts)
                 token, doc = token_sets(texts, words)
                 sizes = np.bincount(doc, minlength=n)
-                starts = np.concatenate([[0], np.cumsum(sizes)])
-                sums = []
-                for salt in (0x1F3D, 0x2E5B):
-                    run_ = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(token + np.uint64(salt)))])
-                    sums.append(mix(run_[starts[1:]] - run_[starts[:-1]]).view(np.int64))
+                sums = [set_sums(token, sizes, salt) for salt in SALTS]
                 vectors = _count_vectors(token, doc, sizes)
                 for lower, (owner, band, key) in enumerate(_keys(token, doc, n, sizes, plan)):
                     counts = np.bincount(owner, minlength=n)
@@ -329,16 +333,22 @@ def link_block(ids, side, tokens, offsets, percent: int) -> list[tuple[int, int]
 
 
 def _cluster_tokens(words: int):
+    """The token sets of rows whose text is the node's; other texts of the same id are left out."""
+
     def run(batches):
         for batch in batches:
             for first, texts in chunks(batch.column("text")):
                 n = len(texts)
                 token, doc = token_sets(texts, words)
+                sizes = np.bincount(doc, minlength=n)
+                wanted = [batch.column(c).slice(first, n) for c in ("cluster", "blocks", "node")]
+                hit = np.ones(n, bool)
+                for name, salt in zip(("sum_a", "sum_b"), SALTS):
+                    hit &= set_sums(token, sizes, salt) == batch.column(name).slice(first, n).to_numpy()
+                token = token[np.repeat(hit, sizes)]
+                at = pa.array(np.flatnonzero(hit))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c).slice(first, n) for c in ("cluster", "blocks", "node")),
-                        lists(token.view(np.int64), np.bincount(doc, minlength=n)),
-                    ],
+                    [*(c.take(at) for c in wanted), lists(token.view(np.int64), sizes[hit])],
                     ["cluster", "blocks", "node", "tokens"],
                 )
 
@@ -367,37 +377,45 @@ def similar_components(docs: DataFrame, scratch: Scratch, words: int = 3, percen
     Null, empty and blank texts have an empty set, link with nothing, and are
     their own class and component. A text with fewer words has one token. Texts
     of any length are taken whole. Rows with equal text are one class; an id with
-    several texts has the links of each. Null ids link nothing and stay null. An empty table gives an empty table; other
-    columns are ignored. The answer is exact up to collisions of 52-bit hashes.
+    several texts connects them and has the links of each. Null ids link nothing and
+    stay null. An empty table gives an empty table; other columns are ignored. The
+    answer is exact up to collisions of 52-bit hashes of tokens and 64-bit hashes of sets.
     """
     plan, mark = Plan(percent), len(scratch.tables)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, n long, sum_a long, sum_b long, first boolean, band int, counts binary, keys array<long>"
     prints = scratch.keep(rows.mapInArrow(_fingerprints(words, plan), schema), "prints")
-    usable = prints.where("n > 0 AND doc_id IS NOT NULL")
-    classes = usable.where("first").groupBy("n", "sum_a", "sum_b").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    # a set is a node of its own, whatever ids hold it
+    usable = prints.where("n > 0 AND doc_id IS NOT NULL").withColumn("node", F.xxhash64("n", "sum_a", "sum_b"))
+    classes = usable.where("first").groupBy("node", "n", "sum_a", "sum_b").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     classes = scratch.keep(classes, "classes")
     # one row per class keeps its keys; single texts, which are most, need no join for that
-    groups = classes.where("copies > 1").drop("copies")
-    member = prints.where("first").drop("keys", "counts").join(groups, ["n", "sum_a", "sum_b"], "left")
-    alone = F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id"))
-    member = scratch.keep(member.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("class_id")), "members")
-    copies = scratch.keep(member.where("doc_id <> class_id").select("doc_id").distinct(), "copies")
-    # a text stands in a band as a node of its own
-    node = F.xxhash64("doc_id", "band").alias("node")
-    single = usable.where(F.size("keys") > 0).join(_sized(copies), "doc_id", "left_anti")
-    keyed = single.select(F.explode("keys").alias("key"), node)
+    groups = classes.where("copies > 1").select("node", "class_id")
+    shown = prints.where("first").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("n", "sum_a", "sum_b")).alias("node"))
+    member = shown.join(groups, "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), "node"
+    )
+    member = scratch.keep(member, "members")
+    copies = scratch.keep(member.where("doc_id <> class_id").select("doc_id", "node").distinct(), "copies")
+    # a text stands in a band as a point of its own
+    point = F.xxhash64("node", "band")
+    single = usable.where(F.size("keys") > 0).join(_sized(copies), ["doc_id", "node"], "left_anti")
+    keyed = single.select(F.explode("keys").alias("key"), point.alias("node"))
     clusters = connected_components(star_edges(keyed, scratch), scratch)
-    places = single.select(node, "doc_id", "n", "counts").join(clusters.withColumnRenamed("id", "node"), "node")
-    places = places.select("doc_id", "n", "counts", F.col("component").alias("cluster"))
+    places = single.select(point.alias("point"), "node", "n", "counts").join(clusters.withColumnRenamed("id", "point"), "point")
+    places = places.select("node", "n", "counts", F.col("component").alias("cluster"))
     near = connected_components(_screened(places, scratch, percent), scratch)
-    sizes = usable.where("first").select("doc_id", "n")
-    near = near.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")).join(sizes, "doc_id")
-    edges = _verified(rows, near.dropDuplicates(["doc_id", "n"]), scratch, words, percent)
-    linked = connected_components(edges, scratch)
+    near = near.select(F.col("id").alias("node"), F.col("component").alias("cluster")).join(classes, "node")
+    edges = _verified(rows, near, scratch, words, percent)
+    # an id with several texts connects them
+    several = member.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").drop("most")
+    edges = edges.union(member.join(several, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b"))
+    linked = connected_components(edges, scratch).select(F.col("id").alias("node"), "component")
+    smallest = linked.join(classes.select("node", "class_id"), "node").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    linked = scratch.keep(linked.join(smallest, "component").select("node", "component_id"), "linked")
     scratch.since(mark, member, linked)
-    joined = member.join(linked.withColumnRenamed("id", "class_id"), "class_id", "left")
-    return joined.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    joined = member.join(linked, "node", "left")
+    return joined.select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, scratch: Scratch, words: int = 5, percent: int = 80) -> DataFrame:
@@ -440,7 +458,7 @@ def _pairs(texts: DataFrame, *columns: str) -> DataFrame:
 
 def _screened(places: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Edges that connect what the group counts leave possible in each cluster."""
-    places = scratch.keep(places.withColumnRenamed("doc_id", "node"), "places")
+    places = scratch.keep(places, "places")
     blocks = _blocks(places, F.length("counts"), 8 * BLOCK_TOKENS)
     pairs = _pairs(join_groups(places, blocks, ["cluster"]), "n", "counts")
 
@@ -456,10 +474,12 @@ def _edge_table(edges) -> pa.Table:
 
 
 def _verified(rows: DataFrame, near: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
-    """Edges between linked texts; ``near`` has ``doc_id``, ``cluster`` and the size ``n`` of its set."""
-    near = scratch.keep(near.withColumnRenamed("doc_id", "node"), "near")
+    """Edges between linked sets; ``near`` has ``node``, ``cluster``, the size and sums of the set and an id that holds it."""
+    near = scratch.keep(near.select("node", "cluster", "n", "sum_a", "sum_b", F.col("class_id").alias("holder")), "near")
     blocks = _blocks(near, "n", BLOCK_TOKENS)
-    members = scratch.keep(join_groups(near, blocks, ["cluster"]).select("node", "cluster", "blocks").distinct(), "clusters")
-    wanted = rows.join(_sized(members), rows["doc_id"] == members["node"]).select("cluster", "blocks", "node", "text")
-    sets = wanted.mapInArrow(_cluster_tokens(words), "cluster long, blocks int, node long, tokens array<long>")
+    members = scratch.keep(join_groups(near, blocks, ["cluster"]).drop("n"), "clusters")
+    wanted = rows.join(_sized(members), rows["doc_id"] == members["holder"])
+    sets = wanted.select("cluster", "blocks", "node", "sum_a", "sum_b", "text").mapInArrow(
+        _cluster_tokens(words), "cluster long, blocks int, node long, tokens array<long>"
+    )
     return _pairs(sets, "tokens").groupBy("cluster", "i", "j").applyInArrow(_link(percent), "a long, b long")

@@ -135,3 +135,27 @@ def test_star_edges_connect_keys_over_tasks(spark):
             seen.add(x)
             todo += near[x]
     assert seen == {i for i in range(600) if i % 3 == 0}
+
+
+def test_ids_that_share_and_differ_in_texts(spark, docs_of):
+    """Links of every text of a repeated id, against all pairs."""
+    base = [f"w{i}" for i in range(60)]
+    other = [f"v{i}" for i in range(60)]
+    text = lambda words: " ".join(words)
+    rows = [(1, text(base)), (2, text(base)), (2, text(other)), (3, text([*other, "tail"]))]  # 3 links with the other text of 2
+    rows += [(10, text(f"x{i}" for i in range(50))), (11, text(f"y{i}" for i in range(50))), (11, text(f"x{i}" for i in range(50)))]
+    rows += [(12, text([*(f"y{i}" for i in range(50)), "end"])), (13, None), (13, text(f"z{i}" for i in range(9))), (13, "")]
+    rows += [(20, text(["only", *other[:30]])), (20, text(["only", *other[:30]])), (None, text(base))]
+    got = ngram_join.similar_components(docs_of(rows), Scratch(spark, "test"), words=3, percent=90).collect()
+    shingles = lambda t: {tuple(t.lower().split()[i : i + 3]) for i in range(len(t.split()) - 2)} if t else set()
+    sets = [(d, shingles(t)) for d, t in rows]
+    name = {d: d for d, _ in rows if d is not None}
+    for _ in rows:
+        for a, x in sets:
+            for b, y in sets:
+                if a is not None and b is not None and x and y and 100 * len(x & y) >= 90 * len(x | y):
+                    name[a] = name[b] = min(name[a], name[b])
+    want = sorted(((d, len(x), name[d] if x else d) for d, x in sets if d is not None))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None) == want
+    kept = ngram_join.drop_similar(docs_of(rows), Scratch(spark, "test"), words=3, percent=90).collect()
+    assert sorted({r["doc_id"] for r in kept if r["doc_id"] is not None}) == sorted(d for d, c in name.items() if d == c)
