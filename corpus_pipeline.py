@@ -59,5 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = tables.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, tables.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        tables.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
