@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from .text import Texts, buffers, chunks, mix
 
 WORDS_PER_EDIT = 8
-LEAST_WORDS = 6  # shorter items count only where they are the whole document
 ITEMS_AT_ONCE = 20_000
 ITEM_BYTES = 32 << 20
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -109,11 +108,12 @@ def plain_words(texts: Texts) -> Texts:
     return plain
 
 
-def distance_within(pattern: list[int], text: list[int], budget: int):
+def distance_within(pattern: list[int], text: list[int], budget: int, anchored: bool = False):
     """``(distance, end)`` of the best match of the pattern in the text, or None beyond the budget.
 
     Myers' algorithm: one bit per pattern word, one step per text word. The match
-    may begin anywhere; ``end`` is exclusive, the first one among equals.
+    may begin anywhere, or has to at the first word if ``anchored``; ``end`` is
+    exclusive, the first one among equals.
     """
     m = len(pattern)
     full, top = (1 << m) - 1, 1 << (m - 1)
@@ -132,7 +132,7 @@ def distance_within(pattern: list[int], text: list[int], budget: int):
             score += 1
         elif down & top:
             score -= 1
-        up, down = (up << 1) & full, (down << 1) & full
+        up, down = (up << 1 | anchored) & full, (down << 1) & full
         plus = (down | (~(x | up) & full)) & full
         minus = up & x
         if score <= budget and (best is None or score < best[0]):
@@ -140,20 +140,21 @@ def distance_within(pattern: list[int], text: list[int], budget: int):
     return best
 
 
+def begin_of(pattern: list[int], text: list[int], distance: int) -> int:
+    """Where a match of this distance that ends with the text begins, the last place among equals."""
+    return len(text) - distance_within(pattern[::-1], text[::-1], distance, anchored=True)[1]
+
+
 class Items:
     """Pieces of a bounded set of test items, ready for look-up."""
 
     def __init__(self, ids: list[int], words: list[np.ndarray]):
         self.ids, self.words = ids, [w.tolist() for w in words]
-        self.budget = [len(w) // WORDS_PER_EDIT if len(w) >= LEAST_WORDS else 0 for w in words]
-        self.whole = defaultdict(list)
+        self.budget = [len(w) // WORDS_PER_EDIT for w in words]
         by_length: dict[int, list] = defaultdict(list)
         for i, w in enumerate(words):
             if len(w) == 0:
                 continue
-            if len(w) < LEAST_WORDS:
-                self.whole[tuple(self.words[i])].append(i)
-                continue
             ends = np.linspace(0, len(w), self.budget[i] + 2).round().astype(int)
             for a, b in zip(ends[:-1], ends[1:], strict=True):
                 by_length[b - a].append((int(_windows(w[a:b], b - a)[0]), i, int(a)))
@@ -206,11 +207,7 @@ def _match(texts: Texts, items: Items):
         a, b = max(begin - budget, int(starts[d])), min(begin + m + budget, int(starts[d + 1]))
         found = distance_within(items.words[i], h[a:b].tolist(), budget)
         if found and ((d, i) not in done or found[0] < done[d, i][0]):
-            done[d, i] = (found[0], max(a, a + found[1] - m), a + found[1])
-    if items.whole:
-        for d in np.flatnonzero(np.diff(starts) < LEAST_WORDS):
-            for i in items.whole.get(tuple(h[starts[d] : starts[d + 1]].tolist()), ()):
-                done[int(d), i] = (0, int(starts[d]), int(starts[d + 1]))
+            done[d, i] = (found[0], begin_of(items.words[i], h[a : a + found[1]].tolist(), found[0]) + a, a + found[1])
     for (d, i), (distance, a, b) in sorted(done.items()):
         yield d, i, distance, int(plain.starts[a] - texts.offsets[d]), int(plain.ends[b - 1] - texts.offsets[d])
 
@@ -234,12 +231,11 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``(doc_id, item_id, distance, start, end)`` for each item found in a document.
 
     ``distance`` counts word edits; ``start`` and ``end`` are UTF-8 byte offsets
-    of the match in the text, end exclusive, taken as long as the item. The best
-    match of an item in a document is returned, the first among equals.
+    of the match in the text, end exclusive. The best match of an item in a document
+    is returned, of equally good ones the first to end, and of those the shortest.
 
-    Items shorter than ``LEAST_WORDS`` words match only documents that consist of
-    the same words; null, empty and wordless items and texts match nothing.
-    Repeated rows on either side are answered one by one. Items go in blocks of
+    Items of fewer than ``WORDS_PER_EDIT`` words match every exact run of their words,
+    even a single one; null, empty and wordless items and texts match nothing. Repeated rows on either side are answered one by one. Items go in blocks of
     bounded size, each compared with all documents, so neither table has to be
     small. Empty tables give an empty table; other columns are ignored.
     """

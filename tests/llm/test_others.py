@@ -36,7 +36,7 @@ def test_bit_parallel_distance():
 
 def test_items_found_like_brute_force(spark, docs_of):
     rnd = random.Random(6)
-    items = [[f"w{rnd.randrange(60)}" for _ in range(rnd.choice([3, 7, 16, 40, 90]))] for _ in range(25)]
+    items = [[f"w{rnd.randrange(60)}" for _ in range(rnd.choice([1, 2, 3, 5, 7, 8, 16, 40, 90]))] for _ in range(36)]
     rows = []
     for d in range(60):
         words = [f"w{rnd.randrange(60)}" for _ in range(30)]
@@ -56,10 +56,7 @@ def test_items_found_like_brute_force(spark, docs_of):
     for d, text in rows:
         words = (text or "").lower().replace(",", "").split()
         for i, item in enumerate(items):
-            if len(item) < decontaminate.LEAST_WORDS:
-                if words == item:
-                    want[d, i] = 0
-            elif words and edit(item, words) <= len(item) // decontaminate.WORDS_PER_EDIT:
+            if words and edit(item, words) <= len(item) // decontaminate.WORDS_PER_EDIT:
                 want[d, i] = edit(item, words)
     assert got == want
     clean = {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()}
@@ -68,6 +65,18 @@ def test_items_found_like_brute_force(spark, docs_of):
     assert decontaminate.find_items(docs.limit(0), bench).count() == 0
 
 
+def test_spans_of_edited_items(spark, docs_of):
+    item = [f"a{k}" for k in range(24)]
+    texts = {1: item, 2: item[1:], 3: item[:-1], 4: [*item[:5], "new", *item[5:]], 5: ["b0", *item[1:]], 6: item[:9] + item[11:]}
+    docs = docs_of([(d, " ".join(["one", "two", *w, "three"])) for d, w in texts.items()])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = {r["doc_id"]: r for r in decontaminate.find_items(docs, bench).collect()}
+    want = {d: " ".join(w if d != 5 else w[1:]) for d, w in texts.items()}
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {d: text[d].encode()[r["start"] : r["end"]].decode() for d, r in found.items()} == want
+    assert [found[d]["distance"] for d in range(1, 7)] == [0, 1, 1, 1, 1, 2]
+
+
 def test_words_of_any_script():
     import unicodedata
 
