@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.bins import bin_centre, bin_index_closed
 from ..functions.vectors import norm, squared_norm
 from .ranking import assign_row_ids, join_groups
-from .stats import exact_quantiles, null_nan
+from .stats import counted_quantiles, null_nan
 
 
 def _full(full: Column | None) -> Column:
@@ -29,7 +29,7 @@ def summary_stats(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
         F.avg("_v").alias("vmean"),
         F.stddev_pop("_v").alias("vstd"),
     )
-    quantiles = exact_quantiles(data, "_v", [0.05, 0.5, 0.95], by)
+    quantiles = counted_quantiles(data, "_v", [0.05, 0.5, 0.95], by)
     named = quantiles.select(
         *[F.col(b).alias(f"_{b}") for b in by],
         F.col("q")[0].alias("q05"),

@@ -64,8 +64,9 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: st
     Nulls match nulls; ``left`` keeps rows without a group. No task gets a whole group: a small table of groups is
     broadcast, of a larger one every row is repeated and the rows are salted.
     """
-    named = groups.select(
-        *[F.col(k).alias(f"_g_{k}") for k in keys], *[c for c in groups.columns if c not in keys]
+    # written once: how many there are decides about the join, and both read the copy
+    named = materialize(
+        groups.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *[c for c in groups.columns if c not in keys]), "groups"
     )
     on = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
     drop = [f"_g_{k}" for k in keys]

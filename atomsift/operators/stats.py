@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
 from .blocks import as_lists, as_matrix
@@ -151,12 +152,75 @@ def null_nan(value: Column | str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+# Quantiles of so many groups are searched by counting; a pass then sends at most a few counts a group and digit to the driver.
+DIGIT_GROUPS = 16
+DIGIT = 12
+# A bucket of at most this many values is read.
+LEAF_VALUES = 2048
+
+
+@F.arrow_udf(T.LongType())
+def ordered_bits(v: pa.Array) -> pa.Array:
+    """A 63-bit number that orders like the double, but for its last bit; both zeros are one."""
+    bits = (v.to_numpy(zero_copy_only=False) + 0.0).view(np.int64)
+    return pa.array((bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))) >> 1)
+
+
+def _bits(v: float) -> int:
+    return ordered_bits.func(pa.array([v]))[0].as_py()
+
+
+def _values_at(rows: DataFrame, keys: list[str], ranks: dict[tuple, set[int]], ends: dict[tuple, tuple[float, float]]):
+    """The values at 0-based ranks of each group of ``rows`` (..keys, _v) between ``ends``, by counting digits.
+
+    A pass cuts every range that holds a wanted rank into 2**DIGIT parts and counts
+    them; nothing is sorted, written or moved but counts.
+    """
+    spark, kinds = rows.sparkSession, [rows.schema[k] for k in keys]
+    rows = rows.withColumn("_bits", ordered_bits("_v"))
+    fields = [*[T.StructField(f"_g{i}", f.dataType) for i, f in enumerate(kinds)]]
+    fields += [T.StructField(n, T.LongType()) for n in ("_low", "_high")] + [T.StructField("_shift", T.IntegerType())]
+
+    def counts(buckets, value):
+        lines = [(*g, low, high, max(0, (high - low).bit_length() - DIGIT)) for g, low, high in buckets]
+        table = F.broadcast(spark.createDataFrame(lines, T.StructType(fields)))
+        on = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+        inside = rows.join(table, [*on, F.col("_bits").between(F.col("_low"), F.col("_high"))])
+        out: dict[tuple, list] = {}
+        for r in inside.groupBy(*keys, "_low", "_shift", value.alias("_at")).count().collect():
+            out.setdefault((tuple(r[k] for k in keys), r["_low"]), []).append((r["_at"], r["_shift"], r["count"]))
+        return {k: sorted(v) for k, v in out.items()}
+
+    found: dict[tuple, dict[int, float]] = {g: {} for g in ranks}
+    open_ = {(g, _bits(ends[g][0]), _bits(ends[g][1])): {r: r for r in wanted} for g, wanted in ranks.items()}
+    leaves = {}
+    while open_:
+        digits, following = counts(open_, F.expr("shiftright(_bits - _low, _shift)")), {}
+        for (group, low, high), wanted in open_.items():
+            before = 0
+            for digit, shift, n in digits[group, low]:
+                here = {rank: at - before for rank, at in wanted.items() if before <= at < before + n}
+                if here:
+                    first = low + (digit << shift)
+                    part = group, first, min(high, first + (1 << shift) - 1)
+                    (following if n > LEAF_VALUES and shift else leaves)[part] = here
+                before += n
+        open_ = following
+    values = counts(leaves, F.col("_v")) if leaves else {}
+    for (group, low, _), here in leaves.items():
+        listed = values[group, low]
+        last = np.cumsum([n for *_, n in listed])
+        for rank, at in here.items():
+            found[group][rank] = listed[int(np.searchsorted(last, at, "right"))][0]
+    return found
+
+
 def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(..by, q) with q the linearly interpolated quantiles as an array.
 
-    Ranks come from a distributed sort, whatever the size of the groups.
+    Ranks come from a distributed sort, whatever the number and size of the groups.
     """
-    data = df.select(*by, null_nan(value).alias("_v")).filter("_v IS NOT NULL")
+    data = df.select(*by, null_nan(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
     flat = data if by else data.withColumn("_all", F.lit(0))
     keys = list(by) or ["_all"]
     ranked = rank_within(flat, keys, ["_v"], "_rank", size="_n")
@@ -171,3 +235,25 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence
         picked.append(low + (high - low) * F.max(pos - F.floor(pos)))
     out = ranked.filter(wanted).groupBy(*keys).agg(F.array(*picked).alias("q"))
     return out if by else out.drop("_all")
+
+
+def counted_quantiles(df: DataFrame, value: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """The same values without a sort, by counting, for few groups; beyond DIGIT_GROUPS the sort takes over."""
+    data = df.select(*by, null_nan(value).cast("double").alias("_v")).filter("_v IS NOT NULL")
+    flat = data if by else data.withColumn("_all", F.lit(0))
+    keys = list(by) or ["_all"]
+    sizes = flat.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    sizes = sizes.limit(DIGIT_GROUPS + 1).collect()
+    if len(sizes) > DIGIT_GROUPS:
+        return exact_quantiles(df, value, qs, by)
+    n = {tuple(r[k] for k in keys): r["n"] for r in sizes}
+    ends = {tuple(r[k] for k in keys): (r["low"], r["high"]) for r in sizes}
+    at = {g: [float(q) * (size - 1) for q in qs] for g, size in n.items()}
+    values = _values_at(flat, keys, {g: {int(f(p)) for p in pos for f in (np.floor, np.ceil)} for g, pos in at.items()}, ends)
+    lines = []
+    for g, pos in at.items():
+        pairs = [(values[g][int(np.floor(p))], values[g][int(np.ceil(p))], p - np.floor(p)) for p in pos]
+        lines.append((*g, [float(low + (high - low) * part) for low, high, part in pairs]))
+    kinds = [flat.schema[k] for k in keys]
+    out = df.sparkSession.createDataFrame(lines, T.StructType([*kinds, T.StructField("q", T.ArrayType(T.DoubleType()))]))
+    return out if by else out.drop("_all")

@@ -177,16 +177,34 @@ def test_quantiles_both_ways(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(g, float(v)) for g in "ab" for v in np.round(rng.normal(size=77 if g == "a" else 4), 1)] + [("a", None), ("b", float("nan"))]
     df = spark.createDataFrame(rows, "g string, v double")
-    for limit in (10**6, 0):
+    for limit, digits, leaf in ((10**6, 0, 256), (0, 0, 256), (10**6, 64, 256), (10**6, 64, 1)):
         monkeypatch.setattr(ranking, "BROADCAST_GROUPS", limit)
-        got = {r["g"]: r["q"] for r in stats.exact_quantiles(df, "v", [0.0, 0.05, 0.5, 0.95, 1.0], ["g"]).collect()}
+        monkeypatch.setattr(stats, "DIGIT_GROUPS", digits)
+        monkeypatch.setattr(stats, "LEAF_VALUES", leaf)
+        got = {r["g"]: r["q"] for r in stats.counted_quantiles(df, "v", [0.0, 0.05, 0.5, 0.95, 1.0], ["g"]).collect()}
         for g in "ab":
             v = [x for k, x in rows if k == g and x is not None and x == x]
             np.testing.assert_allclose(got[g], np.quantile(v, [0.0, 0.05, 0.5, 0.95, 1.0]))
-    flat = stats.exact_quantiles(df, "v", [0.5]).first()["q"]
+    flat = stats.counted_quantiles(df, "v", [0.5]).first()["q"]
     np.testing.assert_allclose(flat, [np.median([x for _, x in rows if x is not None and x == x])])
 
 
+def test_quantiles_by_digits_of_any_double(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    values = [*(rng.normal(size=400) * 10.0 ** rng.integers(-300, 300, 400)), *[0.0, -0.0, 1.5] * 30, 5e-324, -1.7e308, 1.7e308]
+    rows = [(i % 3 if i % 7 else None, float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    monkeypatch.setattr(stats, "LEAF_VALUES", 8)
+    qs = [0.0, 0.01, 0.4, 0.5, 0.6, 0.99, 1.0]
+    got = {r["g"]: r["q"] for r in stats.counted_quantiles(df, "v", qs, ["g"]).collect()}
+    for g in (0, 1, 2, None):
+        v = sorted(x for k, x in rows if k == g)
+        at = [q * (len(v) - 1) for q in qs]
+        want = [v[int(np.floor(p))] + (v[int(np.ceil(p))] - v[int(np.floor(p))]) * (p - np.floor(p)) for p in at]
+        assert got[g] == want
+    assert stats.counted_quantiles(df.limit(0), "v", qs, ["g"]).count() == 0
+
+
 def test_summary_of_missing(spark):
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "v double")
     r = A.summary_stats(df, "v").first()
