@@ -8,7 +8,8 @@ cell pairs can matter; only those pairs meet in a task (two bounded cells each).
 2. spanning tree: an edge of the global tree is also an edge of the tree of any
    two cells that contain its ends, so the union of the pairwise trees holds
    the global one; pairs farther apart than an existing path are left out;
-3. hierarchy: cluster extraction by excess of mass from the sorted tree edges.
+3. hierarchy: small components are contracted in Spark, see :mod:`.hierarchy`;
+   clusters are chosen by excess of mass.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import cells
+from . import cells, hierarchy
 from ..functions.hashing import hash_key
 from ..functions.vectors import squared_distance
 from ..session import materialize, release
@@ -27,11 +28,6 @@ from .birch import cluster_means
 from .ranking import hash_smallest
 from .stats import width
 
-# The hierarchy keeps two integers and a weight per distinct point on the driver.
-HIERARCHY_POINTS = 4_000_000
-FOREST_EDGES = 2_000_000
-_FLOOR = 1e-12
-
 
 def core_distances(placed: DataFrame, stats: pd.DataFrame, gaps: np.ndarray, k: int) -> DataFrame:
     """pid, core: distance at which k other rows are reached, copies counted."""
@@ -118,125 +114,18 @@ def tree_edges(placed: DataFrame, stats: pd.DataFrame, gaps: np.ndarray) -> Data
     return local.select("u", "v", "w").unionByName(both.groupBy("a", "b").applyInPandas(across, _EDGE))
 
 
-def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Kruskal on a bounded list of edges; an edge that closes a cycle is dropped."""
-    pdf = pdf.sort_values(["w", "u", "v"])
-    root: dict[int, int] = {}
-
-    def find(i):
-        while root.setdefault(i, i) != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    keep = []
-    for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
-        a, b = find(u), find(v)
-        keep.append(a != b)
-        root[a] = b
-    return pdf[keep]
-
-
-def spanning_tree(edges: DataFrame, points: int) -> DataFrame:
-    """The minimum spanning tree of edges between at most HIERARCHY_POINTS points.
+def hdbscan_labels(matrix: DataFrame, min_cluster_size: int = 50, seed: int = 0) -> DataFrame:
+    """row_id, x, label with -1 for noise; labels count up by the smallest row of a cluster's densest parts.
 
-    The longest edge of a cycle is never needed, also when only a part of the
-    edges is known. So random parts of twice as many edges as points are thinned
-    to forests, which halves the edges each time, until one part is left.
+    Equal rows get one label. Fewer than two rows, and rows that never form two
+    clusters, are noise.
     """
-    level, left, before = 0, edges.count(), None
-    while left != before:
-        parts = -(-left // max(2 * points, FOREST_EDGES))
-        if parts <= 1:
-            break
-        split = edges.withColumn("part", F.pmod(F.xxhash64("u", "v", F.lit(level)), F.lit(parts)))
-        thin = lambda pdf: _forest(pdf.drop(columns="part"))
-        more, level = materialize(split.groupBy("part").applyInPandas(thin, _EDGE), "forest"), level + 1
-        release(edges)
-        edges = more
-        left, before = edges.count(), left
-    tree = _forest(edges.toPandas())
-    return edges.sparkSession.createDataFrame(tree, _EDGE)
-
-
-def cluster_hierarchy(u, v, w, mult: np.ndarray, min_size: int) -> np.ndarray:
-    """Labels (-1 noise) by excess of mass, from edges that contain a spanning tree."""
-    n = len(mult)
-    order = np.lexsort((v, u, w))
-    top = np.arange(2 * n - 1)
-
-    def find(i):
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
-    left, right, height = [], [], []
-    size = list(mult)
-    for e in order:
-        a, b = find(u[e]), find(v[e])
-        if a != b:
-            node = n + len(left)
-            left.append(a), right.append(b), height.append(w[e])
-            size.append(size[a] + size[b])
-            top[a] = top[b] = node
-    parent, birth, stability, owner = [-1], [0.0], [0.0], np.zeros(n, dtype=np.int64)
-
-    def fall(node, cluster, level):
-        stability[cluster] += (level - birth[cluster]) * size[node]
-        stack = [node]
-        while stack:
-            i = stack.pop()
-            if i < n:
-                owner[i] = cluster
-            else:
-                stack += [left[i - n], right[i - n]]
-
-    work = [(n + len(left) - 1 if left else 0, 0)]
-    while work:
-        node, cluster = work.pop()
-        if node < n:
-            fall(node, cluster, 1.0 / _FLOOR)
-            continue
-        level = 1.0 / max(height[node - n], _FLOOR)
-        kids = (left[node - n], right[node - n])
-        big = [c for c in kids if size[c] >= min_size]
-        if len(big) == 2:
-            stability[cluster] += (level - birth[cluster]) * size[node]
-            for c in kids:
-                parent.append(cluster), birth.append(level), stability.append(0.0)
-                work.append((c, len(parent) - 1))
-        else:
-            for c in kids:
-                if size[c] < min_size:
-                    fall(c, cluster, level)
-            if big:
-                work.append((big[0], cluster))
-    keep, kids_sum = np.zeros(len(parent), dtype=bool), np.zeros(len(parent))
-    has_kids = set(parent[1:])
-    for c in range(len(parent) - 1, 0, -1):
-        keep[c] = c not in has_kids or stability[c] >= kids_sum[c]
-        kids_sum[parent[c]] += stability[c] if keep[c] else kids_sum[c]
-    label, chosen, count = {}, [-1] * len(parent), 0
-    for c in range(1, len(parent)):
-        if chosen[parent[c]] != -1:
-            chosen[c] = chosen[parent[c]]
-        elif keep[c]:
-            chosen[c] = count
-            count += 1
-    return np.array([chosen[c] for c in owner])
-
-
-def hdbscan_labels(matrix: DataFrame, min_cluster_size: int = 50, seed: int = 0) -> DataFrame:
-    """row_id, x, label with -1 for noise."""
     rows = materialize(matrix.select("row_id", F.col("x").cast("array<double>").alias("x")), "matrix")
     points = materialize(
         rows.groupBy("x").agg(F.min("row_id").alias("pid"), F.count("*").alias("mult")).select("pid", "x", "mult"),
         "points",
     )
     total, size = points.count(), points.agg(F.sum("mult")).first()[0] or 0
-    if total > HIERARCHY_POINTS:
-        raise ValueError(f"{total} distinct points; the hierarchy step takes at most {HIERARCHY_POINTS}")
     if size < 2:
         return rows.withColumn("label", F.lit(-1).cast("bigint"))
     k = max(1, min(size - 1, min_cluster_size))
@@ -245,15 +134,14 @@ def hdbscan_labels(matrix: DataFrame, min_cluster_size: int = 50, seed: int = 0)
     gaps = cells.distances(centres, centres)
     cores = core_distances(placed, stats, gaps, k)
     placed = materialize(placed.join(cores, "pid"), "cores")
-    edges = spanning_tree(materialize(tree_edges(placed, stats, gaps), "edges"), total).toArrow()
-    nodes = placed.select("pid", "mult").orderBy("pid").toArrow()
-    ids = nodes.column("pid").to_numpy()
-    u = np.searchsorted(ids, edges.column("u").to_numpy())
-    v = np.searchsorted(ids, edges.column("v").to_numpy())
-    labels = cluster_hierarchy(u, v, edges.column("w").to_numpy(), nodes.column("mult").to_numpy(), min_cluster_size)
-    table = matrix.sparkSession.createDataFrame(
-        pd.DataFrame({"pid": ids, "label": labels.astype(np.int64)}), "pid bigint, label bigint"
-    )
+    edges = materialize(tree_edges(placed, stats, gaps), "edges")
+    tree = hierarchy.spanning_tree(edges)
+    release(edges)
+    sizes = placed.select(F.col("pid").alias("node"), F.col("mult").alias("size"))
+    found = hierarchy.condense(tree, sizes, min_cluster_size)
+    labels = hierarchy.excess_of_mass(found.clusters)
+    names = matrix.sparkSession.createDataFrame(list(enumerate(labels.tolist())), "cluster bigint, label bigint")
+    table = found.members.join(names, "cluster").select(F.col("node").alias("pid"), "label")
     named = points.join(table, "pid").select("x", "label")
     return rows.join(named, "x").select("row_id", "x", "label")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import HASH_BITS, hash_key
 from ..functions.vectors import squared_norm
 from ..operators import analysis as A
-from ..operators import auto, birch, cells, coverage, embedding, hdbscan, kmeans, lift, neighbors, reduction, sampling, soap
+from ..operators import auto, birch, cells, coverage, embedding, hdbscan, hierarchy, kmeans, lift, neighbors, reduction, sampling, soap
 from ..operators import export as EX
 from ..operators import provenance as P
 from ..operators import splits as S
@@ -1165,7 +1165,7 @@ def hdbscan_spanning_tree(spark, d):
     placed, stats, gaps = _points(spark, d)
     placed = materialize(placed.join(hdbscan.core_distances(placed, stats, gaps, 5), "pid"), "cores")
     edges = materialize(hdbscan.tree_edges(placed, stats, gaps), "edges")
-    tree = hdbscan.spanning_tree(edges, placed.count())
+    tree = hierarchy.spanning_tree(edges)
     return rounded(tree, 9, "w").groupBy("w").agg(F.count("*").alias("n"))
 
 

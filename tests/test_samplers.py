@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atomsift.functions.hashing import hash_key, hash_uniform
-from atomsift.operators import birch, cells, embedding, greedy, hdbscan, kmeans, layout, nearest
+from atomsift.operators import birch, cells, embedding, greedy, hdbscan, hierarchy, kmeans, layout, nearest
 from atomsift.operators import sampling as SA
 
 
@@ -262,7 +262,7 @@ def test_hdbscan_stages(spark, matrix_of, monkeypatch, cell):
     cores = hdbscan.core_distances(placed, stats, gaps, 5)
     np.testing.assert_allclose([r["core"] for r in cores.orderBy("pid").collect()], core)
     found = hdbscan.materialize(hdbscan.tree_edges(hdbscan.materialize(placed.join(cores, "pid")), stats, gaps))
-    np.testing.assert_allclose(sorted(r["w"] for r in hdbscan.spanning_tree(found, len(x)).collect()), weights)
+    np.testing.assert_allclose(sorted(r["w"] for r in hierarchy.spanning_tree(found).collect()), weights)
     edges = found.collect()
     root, tree = list(range(len(x))), []
 
@@ -279,17 +279,6 @@ def test_hdbscan_stages(spark, matrix_of, monkeypatch, cell):
     np.testing.assert_allclose(tree, weights)
 
 
-def test_spanning_tree_is_thinned_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(hdbscan, "FOREST_EDGES", 40)
-    x = np.random.default_rng(3).normal(size=(30, 2))
-    reach = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-    edges = spark.createDataFrame(
-        [(i, j, float(reach[i, j])) for i in range(30) for j in range(i)], "u bigint, v bigint, w double"
-    )
-    got = sorted(r["w"] for r in hdbscan.spanning_tree(edges, 30).collect())
-    np.testing.assert_allclose(got, tree_model(x, 0)[1])
-
-
 def test_hdbscan_finds_blobs_and_noise(spark, matrix_of):
     x = np.concatenate([blobs(30), [[50.0, 50.0], [-40.0, 30.0]]])
     labels = [r["label"] for r in hdbscan.hdbscan_labels(matrix_of(x), 10).orderBy("row_id").collect()]
