@@ -18,14 +18,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import cells, hierarchy
 from ..functions.hashing import hash_key
 from ..functions.vectors import squared_distance
 from ..session import materialize, release
 from .birch import cluster_means
-from .ranking import hash_smallest
+from .ranking import hash_smallest, join_groups, rank_within
 from .stats import width
 
 
@@ -151,13 +150,13 @@ def medoids_of_labels(labelled: DataFrame, per_cluster: int = 1, seed: int = 0)
     d = width(labelled)
     members = labelled.filter(F.col("label") >= 0)
     means = cluster_means(members, d)
-    scored = members.join(means, "label").select("label", "row_id", squared_distance("x", "centre").alias("d2"))
+    scored = join_groups(members, means, ["label"]).select("label", "row_id", squared_distance("x", "centre").alias("d2"))
     medoids = scored.groupBy("label").agg(F.min_by("row_id", F.struct("d2", "row_id")).alias("row_id"))
     chosen = medoids
     if per_cluster > 1:
         others = members.select("label", "row_id").join(medoids.select("row_id"), "row_id", "left_anti")
-        order = W.partitionBy("label").orderBy(hash_key(seed, "row_id"), "row_id")
-        extra = others.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") < per_cluster)
+        others = others.withColumn("draw", hash_key(seed, "row_id"))
+        extra = rank_within(others, ["label"], ["draw", "row_id"], "rank").filter(F.col("rank") < per_cluster - 1)
         chosen = medoids.unionByName(extra.select("label", "row_id"))
     chosen = materialize(chosen.select("row_id"), "medoids")
     noise = labelled.filter(F.col("label") == -1).select("row_id")
