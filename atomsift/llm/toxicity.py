@@ -318,7 +318,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: str, sample_rows: int = SAM
     """Fit on at most ``sample_rows`` labelled texts among those where the SQL condition ``learn`` holds.
 
     Half of them toxic if there are enough, by the smallest hashes of their ids.
-    Null labels do not count; of several labels of an id the highest does.
+    Null labels do not count; of several labels of an id the highest does. Texts
+    are whole; where those of a class have more than ``FIT_CHARS`` characters, its
+    longest ones stay away, but never all.
     """
     rated = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(learn)
     rated = rated.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -327,7 +329,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: str, sample_rows: int = SAM
     chosen = half[0].union(half[1])
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     rows = docs.select(F.col("doc_id").cast("long"), text).join(F.broadcast(chosen), "doc_id")
-    rows = rows.where(F.length("text") <= FIT_CHARS)
+    longest = _longest_kept(rows.groupBy(F.col("toxic") > 0, F.length("text")).count().collect())
+    limit = F.when(F.col("toxic") > 0, longest[True]).otherwise(longest[False])
+    rows = rows.where(F.length("text") <= limit)
     # the sample is bounded, so one task can hold it; an executor has the memory for the fit, the driver need not
     parts = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(_fit_task, "name string, data binary, shape string")
     weights = {r["name"]: np.frombuffer(r["data"], np.float32).reshape(_shape(r["shape"])) for r in parts.collect()}
@@ -349,12 +353,28 @@ def _fit_task(batches):
             )
 
 
-#: Longer labelled texts are left out of the fit; scores are of texts of any length.
-FIT_CHARS = 1 << 14
+#: Characters of one class that the fit may take, see :func:`train`.
+FIT_CHARS = 1 << 23
+
+
+def _longest_kept(lengths) -> dict[bool, int]:
+    """Per class the greatest length up to which all its texts fit; its least length at least.
+
+    ``lengths`` are (toxic, characters, texts), of a bounded sample.
+    """
+    kept, total = {}, {}
+    for toxic, chars, texts in sorted(map(tuple, lengths)):
+        total[toxic] = total.get(toxic, 0) + chars * texts
+        if toxic not in kept or total[toxic] <= FIT_CHARS:
+            kept[toxic] = chars
+    return {c: kept.get(c, 0) for c in (True, False)}
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
-    """``(doc_id, score, predicted)``: probability of toxicity of the worst window of each whole text.
+    """``(doc_id, score, predicted)``: probability of toxicity of each whole text.
+
+    All overlapping windows are scored; the text's score joins its highest window scores and
+    the evidence counted over the text.
 
     Texts that are null, empty or blank have no window and score 0. Equal texts
     score equally; repeated rows are scored one by one; an empty table gives an

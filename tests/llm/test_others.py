@@ -211,6 +211,26 @@ def test_toxic_texts_held_out(spark, docs_of):
     assert toxicity.score(docs.limit(0), none).count() == 0
 
 
+def test_toxic_texts_that_are_long_are_learnt(spark, docs_of, monkeypatch):
+    """A class of long texts is not lost; past the bound its shortest texts stay."""
+    rnd = random.Random(4)
+    clean = lambda n: [rnd.choice(["tare", "limo", "sune", "reta", "molisu"]) for _ in range(n)]
+    rows, labels = [], []
+    for i in range(60):
+        words = clean(4000 if i % 2 else 50)
+        for at in range(10, len(words), 40) if i % 2 else ():
+            words[at] = rnd.choice(["vile", "scum", "rotten"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, i % 2))
+    docs, table = docs_of([*rows, (1, "vile")]), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, table, "doc_id < 40")
+    got = {(r["doc_id"], r["predicted"]) for r in toxicity.score(docs, model).collect()}
+    assert got >= {(i, i % 2) for i in range(60)}
+    monkeypatch.setattr(toxicity, "FIT_CHARS", 100)
+    assert toxicity._longest_kept([(True, 500, 1), (True, 900, 1), (False, 30, 2), (False, 40, 1), (False, 90, 1)]) == {True: 500, False: 40}
+    assert toxicity._longest_kept([]) == {True: 0, False: 0}
+
+
 def brute_links(x, least):
     units = {}
     for i, v in x:
