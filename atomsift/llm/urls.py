@@ -4,7 +4,8 @@ Two variable-order Markov models, one of accepted and one of rejected URLs, are
 smoothed from the empty context up to three characters (Witten-Bell: an order's
 weight is its count against the number of different characters seen there). An
 URL without a rule is judged by the difference of its two log-likelihoods per
-character against a threshold calibrated on the URLs that the rules decide.
+character against a threshold calibrated on the URLs that the rules decide, each
+scored by models that were counted without it.
 """
 
 from __future__ import annotations
@@ -97,19 +98,22 @@ def _model(counts: np.ndarray) -> np.ndarray:
     return np.log(p).ravel()
 
 
+SIDES = ("allow0", "allow1", "block0", "block1")  # verdict and half of the URLs
+
+
 def _count_grams(batches):
-    sums = {v: np.zeros(SYMBOLS ** (ORDER + 1), np.int64) for v in ("allow", "block")}
+    sums = {v: np.zeros(SYMBOLS ** (ORDER + 1), np.int64) for v in SIDES}
     for batch in batches:
-        ruled = np.array(batch.column("ruled").to_pylist(), object)
+        side = np.array(batch.column("side").to_pylist(), object)
         for first, texts in chunks(batch.column("place")):
             gram, doc = _grams(texts)
-            mine = ruled[first : first + len(texts)][doc]
+            mine = side[first : first + len(texts)][doc]
             for v in sums:
                 sums[v] += np.bincount(gram[mine == v], minlength=len(sums[v]))
     for v, n in sums.items():
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([v] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["ruled", "gram", "n"]
+            [pa.array([v] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["side", "gram", "n"]
         )
 
 
@@ -117,24 +121,29 @@ def _place(df: DataFrame) -> DataFrame:
     return df.withColumn("place", F.concat("host", "path"))
 
 
-def fit(ruled: DataFrame) -> np.ndarray:
-    """Log-likelihood ratio (accepted over rejected) of every gram.
+def _half():
+    """0 or 1; equal URLs are in the same half."""
+    return F.pmod(F.xxhash64("host", "path"), F.lit(2))
 
-    Counts come from all ruled URLs; the table has 32**4 entries whatever the
-    input. With one side empty all ratios are zero.
-    """
-    known = _place(ruled.where("ruled IS NOT NULL")).select("place", "ruled")
-    rows = known.mapInArrow(_count_grams, "ruled string, gram long, n long")
-    table = rows.groupBy("ruled", "gram").agg(F.sum("n").alias("n")).toArrow()
-    sides = {}
-    for v in ("allow", "block"):
-        own = table.filter(pa.compute.equal(table["ruled"], v))
-        counts = np.zeros(SYMBOLS ** (ORDER + 1))
-        counts[own["gram"].to_numpy()] = own["n"].to_numpy()
-        sides[v] = counts
-    if not sides["allow"].any() or not sides["block"].any():
+
+def count(ruled: DataFrame) -> dict[str, np.ndarray]:
+    """Counts of every gram in all ruled URLs, by verdict and half; 32**4 entries each whatever the input."""
+    known = _place(ruled.where("ruled IS NOT NULL")).select("place", F.concat("ruled", _half().cast("string")).alias("side"))
+    rows = known.mapInArrow(_count_grams, "side string, gram long, n long")
+    table = rows.groupBy("side", "gram").agg(F.sum("n").alias("n")).toArrow()
+    sums = {}
+    for v in SIDES:
+        own = table.filter(pa.compute.equal(table["side"], v))
+        sums[v] = np.zeros(SYMBOLS ** (ORDER + 1))
+        sums[v][own["gram"].to_numpy()] = own["n"].to_numpy()
+    return sums
+
+
+def fit(allow: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio (accepted over rejected) of every gram; zeros if one side has none."""
+    if not allow.any() or not block.any():
         return np.zeros(SYMBOLS ** (ORDER + 1), np.float32)
-    return (_model(sides["allow"]) - _model(sides["block"])).astype(np.float32)
+    return (_model(allow) - _model(block)).astype(np.float32)
 
 
 def score(pages: DataFrame, ratios: np.ndarray) -> DataFrame:
@@ -177,12 +186,16 @@ def filter_urls(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     """``page_id, host, path, rule, verdict, score`` for every page.
 
     A rule's verdict stands; other pages are allowed if their score reaches the
-    threshold. Null, empty or malformed URLs have empty host and path, no rule and
+    threshold. Scores come from all ruled URLs; for the threshold each half of them
+    is scored by the other half (0 where that has one verdict only). Null, empty or malformed URLs have empty host and path, no rule and
     score 0. Equal URLs get equal verdicts; repeated rows stay repeated; an empty
     table gives an empty table. Other columns are not read.
     """
     ruled = apply_rules(pages.select("page_id", F.col("url").cast("string").alias("url")), rules).drop("url")
-    scored = score(ruled, fit(ruled))
-    threshold = calibrate(scored)
+    n = count(ruled)
+    known = ruled.where("ruled IS NOT NULL")
+    crosswise = [score(known.where(_half() == h), fit(n[f"allow{1 - h}"], n[f"block{1 - h}"])) for h in (0, 1)]
+    threshold = calibrate(crosswise[0].unionByName(crosswise[1]))
+    scored = score(ruled, fit(n["allow0"] + n["allow1"], n["block0"] + n["block1"]))
     method = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "score")

@@ -51,3 +51,67 @@ def test_empty_and_one_sided(spark):
     assert urls.filter_urls(empty, URL_RULES).count() == 0
     one = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
     assert urls.filter_urls(one, URL_RULES).first()["score"] == 0
+
+
+def plain_ratio(allow, block):
+    """Score by dictionaries of contexts of up to three characters."""
+    kind = lambda c: c if c in "abcdefghijklmnopqrstuvwxyz./-_" else "0" if c in "0123456789" else "?"
+    sides = []
+    for places in (allow, block):
+        seen = {}
+        for place in places:
+            word = "???" + "".join(map(kind, place))
+            for i in range(3, len(word)):
+                for k in range(4):
+                    mine = seen.setdefault(word[i - k : i], {})
+                    mine[word[i]] = mine.get(word[i], 0) + 1
+        sides.append(seen)
+
+    def log_p(seen, word, i):
+        p = 1 / 32
+        for k in range(4):
+            mine = seen.get(word[i - k : i], {})
+            if mine:
+                p = (mine.get(word[i], 0) + len(mine) * p) / (sum(mine.values()) + len(mine))
+        return np.log(p)
+
+    def ratio(place):
+        if not allow or not block or not place:
+            return 0.0
+        word = "???" + "".join(map(kind, place))
+        return sum(log_p(sides[0], word, i) - log_p(sides[1], word, i) for i in range(3, len(word))) / len(place)
+
+    return ratio
+
+
+def test_scores_and_verdicts_like_brute_force(spark):
+    rng = np.random.default_rng(6)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(2, 7)))
+    hosts = {"com": "abcde", "net": "fghic", "org": "abcdefghi"}
+    rows = []
+    for i in range(240):
+        end = ("com", "net", "org")[i % 3]
+        sub = ("es/", "fr/")[i % 2] if end == "net" else ""
+        rows.append((i, f"http://{word(hosts[end])}.{end}/{sub}{word(hosts[end])}?q={i}"))
+    rows += [(300, rows[2][1]), (301, rows[0][1]), (302, rows[0][1]), (303, None), (304, "http://a.org/" + "fgh/" * 20_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.filter_urls(pages, URL_RULES).collect()}
+    ruled = urls.apply_rules(pages, URL_RULES).withColumn("half", urls._half())
+    known = [(r["ruled"], r["half"], r["host"] + r["path"]) for r in ruled.where("ruled IS NOT NULL").collect()]
+    pick = lambda verdict, halves: [p for v, h, p in known if v == verdict and h in halves]
+    ratio = plain_ratio(pick("allow", (0, 1)), pick("block", (0, 1)))
+    other = [plain_ratio(pick("allow", (1 - h,)), pick("block", (1 - h,))) for h in (0, 1)]
+    cuts = np.arange(urls.BINS + 1) * urls.SPAN / urls.BINS - urls.SPAN / 2
+    bins = {v: np.floor((np.array([other[h](p) for r, h, p in known if r == v]) - cuts[0]) * 256) for v in ("allow", "block")}
+    gain = np.array([(bins["block"] < c).mean() - (bins["allow"] < c).mean() for c in range(len(cuts))])
+    best = np.flatnonzero(gain >= gain.max() - 1e-12)
+    threshold = cuts[best[[0, -1]]].mean()
+    free = 0
+    for i, _ in rows:
+        want = ratio(got[i]["host"] + got[i]["path"])
+        assert abs(got[i]["score"] - want) < 1e-5
+        if got[i]["rule"] is None:
+            free += 1
+            assert got[i]["verdict"] == ("allow" if want >= threshold else "block")
+    assert free >= 80 and {got[i]["verdict"] for i in range(2, 240, 3)} == {"allow", "block"}
+    assert got[300]["verdict"] == got[2]["verdict"]
