@@ -160,6 +160,29 @@ def test_gradient_of_the_cumulative_link():
     assert tails[0, 0] < 0.5 < tails[1, 0] and tails[1, 1] < 0.5 < tails[2, 1]
 
 
+def test_fit_is_the_penalised_maximum():
+    """At the fitted weights and thresholds the plain loss, differentiated by differences, is flat."""
+    rng = np.random.default_rng(2)
+    n, used, decay = 80, 6, 0.02
+    row, column = np.repeat(np.arange(n), 3), rng.integers(0, used, 3 * n)
+    value = rng.normal(size=3 * n)
+    dense = np.zeros((n, used))
+    np.add.at(dense, (row, column), value)
+    y = np.digitize(dense @ np.linspace(-1, 1, used) + rng.logistic(size=n), [-1.0, 0.2, 1.5])
+    model = quality.fit(row, column, value, y, np.arange(4), steps=1200, decay=decay)
+
+    def loss(p):
+        cuts = np.concatenate([[-np.inf], p[used:], [np.inf]])
+        z = dense @ p[:used]
+        mass = 1 / (1 + np.exp(z - cuts[y + 1])) - 1 / (1 + np.exp(z - cuts[y]))
+        return -np.log(mass).mean() + decay / 2 * (p[:used] ** 2).sum()
+
+    at = np.concatenate([model.weights[:used], model.thresholds])
+    slopes = [(loss(at + step) - loss(at - step)) / 2e-5 for step in 1e-5 * np.eye(len(at))]
+    assert np.abs(slopes).max() < 1e-4
+    assert (np.diff(model.thresholds) > 0).all() and not model.weights[used:].any()
+
+
 def test_network_gradients():
     p = {k: v.astype(float) for k, v in toxicity.initial(1).items()}
     rng = np.random.default_rng(0)
