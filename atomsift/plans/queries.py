@@ -1150,7 +1150,8 @@ def hdbscan_core_distance(spark, d):
     return rounded(hdbscan.core_distances(*_points(spark, d), 5), 9, "core")
 
 
-_PRIM = f"""{PAIRS}, {NEAR}, co AS MATERIALIZED (SELECT i, d AS core FROM nr WHERE rn = 6),
+def _prim(k):
+    return f"""{PAIRS}, {NEAR}, co AS MATERIALIZED (SELECT i, d AS core FROM nr WHERE rn = {k + 1}),
 mr AS MATERIALIZED (SELECT pr.i, pr.j, greatest(d, a.core, b.core) AS w FROM pr JOIN co a ON a.i = pr.i JOIN co b ON b.i = pr.j),
 t(it, row_id, best, pick, w) AS (
   SELECT 1, j, w, arg_min(j, (w, j)) OVER (), min(w) OVER () FROM mr WHERE i = (SELECT min(row_id) FROM emb) AND j <> i
@@ -1159,20 +1160,20 @@ t(it, row_id, best, pick, w) AS (
   FROM (SELECT t.it, t.row_id, least(t.best, mr.w) AS b FROM t JOIN mr ON mr.i = t.pick AND mr.j = t.row_id WHERE t.row_id <> t.pick))"""
 
 
-def _tree(spark, d):
+def _tree(spark, d, k):
     """Spanning tree of the vectors and a row count of 1 for each."""
     placed, stats, gaps = _points(spark, d)
-    placed = materialize(placed.join(hdbscan.core_distances(placed, stats, gaps, 5), "pid"), "cores")
+    placed = materialize(placed.join(hdbscan.core_distances(placed, stats, gaps, k), "pid"), "cores")
     edges = materialize(hdbscan.tree_edges(placed, stats, gaps), "edges")
     return hierarchy.spanning_tree(edges), placed.select(F.col("pid").alias("node"), F.col("mult").alias("size"))
 
 
 @query(
     "hdbscan_spanning_tree",
-    f"""WITH RECURSIVE {_PRIM} SELECT round(w, 9) AS w, count(*) AS n FROM (SELECT DISTINCT it, w FROM t) GROUP BY 1""",
+    f"""WITH RECURSIVE {_prim(5)} SELECT round(w, 9) AS w, count(*) AS n FROM (SELECT DISTINCT it, w FROM t) GROUP BY 1""",
 )
 def hdbscan_spanning_tree(spark, d):
-    return rounded(_tree(spark, d)[0], 9, "w").groupBy("w").agg(F.count("*").alias("n"))
+    return rounded(_tree(spark, d, 5)[0], 9, "w").groupBy("w").agg(F.count("*").alias("n"))
 
 
 # Between two points the longest edge on the tree is the longest one that was added after the first of them.
@@ -1182,14 +1183,14 @@ _ADDED = """ord AS MATERIALIZED (
 
 @query(
     "hdbscan_seed_weight",
-    f"""WITH RECURSIVE {_PRIM}, {_ADDED},
+    f"""WITH RECURSIVE {_prim(5)}, {_ADDED},
 up AS MATERIALIZED (SELECT a.row_id AS i, b.row_id AS j, max(b.w) OVER (PARTITION BY a.pos ORDER BY b.pos) AS w FROM ord a JOIN ord b ON b.pos > a.pos),
 far AS (SELECT i, w, row_number() OVER (PARTITION BY i ORDER BY w) AS rn FROM (SELECT i, w FROM up UNION ALL SELECT j, w FROM up))
 SELECT i AS row_id, round(w, 9) AS w FROM far WHERE rn = 4""",
 )
 def hdbscan_seed_weight(spark, d):
     """Weight at which the component of a row has 5 rows for the first time."""
-    found = hierarchy.seeds(*_tree(spark, d), 5)
+    found = hierarchy.seeds(*_tree(spark, d, 5), 5)
     rows = found.members.join(found.born.select("seed", "w"), "seed")
     return rounded(rows.select(F.col("node").alias("row_id"), F.coalesce("key.w", "w").alias("w")), 9, "w")
 
@@ -1200,7 +1201,7 @@ _CUT = "SELECT lo, hi, clo, chi, born, arg_max(pos, (ord.w, -pos)) AS k, 1 / gre
 
 @query(
     "hdbscan_stability",
-    f"""WITH RECURSIVE {_PRIM}, {_ADDED},
+    f"""WITH RECURSIVE {_prim(1)}, {_ADDED},
 runs(lo, hi, clo, chi, born) AS (
   SELECT 0::BIGINT, max(pos)::BIGINT, 0::BIGINT, max(pos)::BIGINT, 0::DOUBLE FROM ord
   UNION ALL
@@ -1212,8 +1213,12 @@ lost AS (SELECT clo, chi, (lam - born) * CASE WHEN (k - lo >= 5) = (hi - k + 1 >
 SELECT round(sum(m), 6) AS stability FROM lost GROUP BY clo, chi HAVING sum(m) > 1e-6""",
 )
 def hdbscan_stability(spark, d):
-    """Stability of every cluster of at least 5 rows in the hierarchy, but for those that split as they are born."""
-    clusters = hierarchy.condense(*_tree(spark, d), 5).clusters
+    """Stability of every cluster of at least 5 rows in the hierarchy.
+
+    Core distances are those to the nearest row: larger ones make many edges equally
+    long, and which of them split a cluster would depend on their order.
+    """
+    clusters = hierarchy.condense(*_tree(spark, d, 1), 5).clusters
     found = spark.createDataFrame(clusters[["stability"]]).filter("stability > 1e-6")
     return rounded(found, 6, "stability")
 
