@@ -2,10 +2,12 @@
 
 A cluster feature (n, sum, sum of squares) adds up, so the data are first
 aggregated to the features of small grid cells by an ordinary groupBy (with
-map-side combining, so a crowded cell costs nothing extra). Only the features
-are then merged, region by region, by the BIRCH rule: join the closest
-subcluster while its radius stays within the threshold. Regions that hold too
-many features are halved until they fit a task.
+map-side combining, so a crowded cell costs nothing extra). The features of a
+region go into a CF-tree; a region is a block of grid cells whose size follows
+from the threshold and the number of dimensions alone, never from the table, and
+which cannot hold more than REGION_FEATURES features. Subclusters of all regions
+then merge in rounds until none fits into its nearest one, so borders of regions
+leave no trace, and partitions have none to begin with.
 """
 
 from __future__ import annotations
@@ -14,19 +16,22 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..session import materialize
-from .nearest import assign_centres, nearest_rows
+from .agglomerate import cut_tree, merge_in_memory, merge_rounds, nearest_targets, survivors
+from .blocks import as_lists, as_matrix
+from .cftree import CFTree
+from .nearest import CENTRE_BYTES, assign_centres, nearest_rows
 from .ranking import assign_row_ids, join_groups, rank_within
 from .stats import width
 
 REGION_FEATURES = 20_000
-REGION_LEVELS = 6
-GLOBAL_SUBCLUSTERS = 2048
+# Longer lists of centres than this are not read to the driver but met in cells, with the same result.
+LISTED_BYTES = CENTRE_BYTES
 
 
 def weight_by_variance(matrix: DataFrame, explained_variance: Sequence[float]) -> DataFrame:
@@ -47,116 +52,80 @@ def cell_features(matrix: DataFrame, side: float, d: int) -> DataFrame:
     )
 
 
-def _in_regions(features: DataFrame) -> DataFrame:
-    """Adds ``region``: level and coarse cell, at most REGION_FEATURES features each."""
-    rest, done = features, []
-    for level in range(REGION_LEVELS + 1):
-        shift = REGION_LEVELS - level
-        tag = F.concat(
-            F.array(F.lit(level).cast("bigint")), F.transform("cell", lambda c: F.shiftright(c, shift))
-        )
-        keyed = rest.withColumn("region", tag)
-        if level == REGION_LEVELS:
-            done.append(keyed)
-            break
-        crowded = keyed.groupBy("region").agg(F.count("*").alias("c")).filter(F.col("c") > REGION_FEATURES)
-        if crowded.isEmpty():
-            done.append(keyed)
-            break
-        crowded = crowded.select("region")
-        done.append(keyed.join(crowded, "region", "left_anti"))
-        rest = keyed.join(crowded, "region", "left_semi").drop("region")
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _merge_region(threshold: float):
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.iloc[np.lexsort(np.array(pdf["cell"].tolist()).T[::-1])]
-        n, ss = pdf["n"].to_numpy(), pdf["ss"].to_numpy()
-        ls = np.array(pdf["ls"].tolist())
-        m, used = np.zeros_like(ls), 0  # centroids of the open subclusters
-        cn, cs, cl = np.zeros(len(n)), np.zeros(len(n)), np.zeros_like(ls)
-        sub = np.zeros(len(n), dtype=np.int64)
-        for i in range(len(n)):
-            target = used
-            if used:
-                near = int(np.argmin(((m[:used] - ls[i] / n[i]) ** 2).sum(axis=1)))
-                tn, tl, ts = cn[near] + n[i], cl[near] + ls[i], cs[near] + ss[i]
-                if ts / tn - float((tl / tn) @ (tl / tn)) <= threshold * threshold:
-                    target = near
-            used = max(used, target + 1)
-            cn[target] += n[i]
-            cl[target] += ls[i]
-            cs[target] += ss[i]
-            m[target] = cl[target] / cn[target]
-            sub[i] = target
-        return pd.DataFrame(
-            {"region": pdf["region"], "cell": pdf["cell"], "sub": sub, "n": n, "ls": pdf["ls"], "ss": ss}
-        )
+def _region_side(d: int) -> int:
+    """Grid cells along a region, so that it has at most REGION_FEATURES cells."""
+    side = 1
+    while (side + 1) ** d <= REGION_FEATURES:
+        side += 1
+    return side
+
+
+def _tree_of_regions(threshold: float, branching_factor: int, d: int):
+    """Numbers every feature with its subcluster; rows come sorted by region and cell."""
+
+    def grow(batches):
+        region, tree = None, None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            n, ss = batch.column("n").to_numpy(), batch.column("ss").to_numpy()
+            ls = as_matrix(batch.column("ls"))
+            sub = np.zeros(batch.num_rows, dtype=np.int64)
+            for i, key in enumerate(batch.column("region").to_pylist()):
+                if key != region:
+                    region, tree = key, CFTree(threshold, branching_factor, d)
+                sub[i] = tree.insert(n[i], ls[i], ss[i])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("region"), batch.column("cell"), pa.array(sub), pa.array(n), as_lists(ls), pa.array(ss)],
+                names=["region", "cell", "sub", "n", "ls", "ss"],
+            )
 
-    return merge
+    return grow
 
 
-def _subclusters(features: DataFrame, threshold: float, d: int) -> tuple[DataFrame, DataFrame]:
-    """(cell -> sub label, sub label -> n, ls, ss)."""
-    schema = "region array<bigint>, cell array<bigint>, sub bigint, n double, ls array<double>, ss double"
-    merged = materialize(
-        _in_regions(features).groupBy("region").applyInPandas(_merge_region(threshold), schema), "birch"
-    )
-    sums = merged.groupBy("region", "sub").agg(
+def _sum_features(rows: DataFrame, keys: Sequence[str], d: int) -> DataFrame:
+    return rows.groupBy(*keys).agg(
         F.sum("n").alias("n"),
         F.array(*[F.sum(F.col("ls")[j]) for j in range(d)]).alias("ls"),
         F.sum("ss").alias("ss"),
     )
-    labelled = assign_row_ids(sums, ["region", "sub"], "label")
-    members = merged.select("region", "sub", "cell").join(
-        labelled.select("region", "sub", "label"), ["region", "sub"]
+
+
+def _subclusters(
+    features: DataFrame, threshold: float, d: int, branching_factor: int = 50
+) -> tuple[DataFrame, DataFrame]:
+    """(cell -> sub label, sub label -> n, ls, ss); labels are 0, 1, ..."""
+    side = _region_side(d)
+    region = F.transform("cell", lambda c: F.floor(c / F.lit(side)))
+    placed = features.select(region.alias("region"), "cell", "n", "ls", "ss")
+    # Regions are never split over tasks, tasks hold many regions one after the other.
+    placed = placed.repartition("region").sortWithinPartitions("region", "cell")
+    schema = "region array<bigint>, cell array<bigint>, sub bigint, n double, ls array<double>, ss double"
+    grown = materialize(placed.mapInArrow(_tree_of_regions(threshold, branching_factor, d), schema), "birch")
+    named = assign_row_ids(_sum_features(grown, ["region", "sub"], d), ["region", "sub"], "first")
+    named = materialize(named, "named")
+    nodes = named.select(F.col("first").alias("label"), "n", "ls", "ss")
+    roots = survivors(nodes, merge_rounds(nodes, d, threshold))
+    kept = _sum_features(nodes.join(roots, "label"), ["root"], d)
+    subs = materialize(assign_row_ids(kept, ["root"], "label"), "subclusters")
+    known = named.select("region", "sub", F.col("first").alias("old")).join(
+        roots.select(F.col("label").alias("old"), "root"), "old"
     )
-    return members.select("cell", "label"), labelled.select("label", "n", "ls", "ss")
+    known = known.join(subs.select("root", "label"), "root")
+    members = grown.select("region", "sub", "cell").join(known, ["region", "sub"])
+    return members.select("cell", "label"), subs.select("label", "n", "ls", "ss")
 
 
 def ward_labels(points: np.ndarray, n_clusters: int) -> np.ndarray:
-    """Ward agglomeration of a bounded list of points by nearest-neighbour chains."""
+    """Ward agglomeration of a bounded list of points."""
     m = len(points)
-    if m <= n_clusters:
-        return np.arange(m)
-    d2 = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
-    np.fill_diagonal(d2, np.inf)
-    size, alive = np.ones(m), np.ones(m, dtype=bool)
-    merges, chain = [], []
-    for _ in range(m - 1):
-        while True:
-            if not chain:
-                chain.append(int(np.nonzero(alive)[0][0]))
-            a = chain[-1]
-            b = int(np.argmin(d2[a]))
-            if len(chain) > 1 and d2[a, chain[-2]] <= d2[a, b]:
-                b = chain[-2]
-                break
-            chain.append(b)
-        chain = chain[:-2]
-        merges.append((d2[a, b], a, b))
-        na, nb = size[a], size[b]
-        joined = ((na + size) * d2[a] + (nb + size) * d2[b] - size * d2[a, b]) / (na + nb + size)
-        joined[~alive] = np.inf
-        joined[a] = joined[b] = np.inf
-        d2[b], d2[:, b] = joined, joined
-        d2[a], d2[:, a] = np.inf, np.inf
-        size[b], alive[a] = na + nb, False
-    root = np.arange(m)
-
-    def find(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for _, a, b in sorted(merges)[: m - n_clusters]:
-        root[find(a)] = find(b)
-    return np.unique([find(i) for i in range(m)], return_inverse=True)[1]
+    links, _ = merge_in_memory(np.arange(m), np.ones(m), points, np.zeros(m), None)
+    up = np.arange(m)
+    for child, parent, _ in sorted(links, key=lambda e: (e[2], e[1], e[0]))[: max(0, m - n_clusters)]:
+        up[child] = parent
+    while (up != up[up]).any():
+        up = up[up]
+    return np.unique(up, return_inverse=True)[1]
 
 
 @dataclass
@@ -171,60 +140,39 @@ def birch_fit(
 ) -> BirchFit:
     """Cluster labels and centres; labels are subclusters unless ``n_clusters`` is set.
 
-    ``branching_factor`` shapes a search tree elsewhere; here regions take that
-    role, so it is accepted and has no effect on the result.
+    Every row gets its closest subcluster, ties the one with the smallest label. With
+    ``n_clusters`` the subcluster centres are joined by Ward's rule, each counting once.
+    The result does not depend on partitions but for the rounding of sums.
     """
     points = materialize(matrix.select("row_id", F.col("x").cast("array<double>").alias("x")), "matrix")
     d = width(points)
     if d == 0:
         raise ValueError("BIRCH needs at least one row")
-    side = threshold / d**0.5
-    features = materialize(cell_features(points, side, d), "features")
-    subs = _subclusters(features, threshold, d)[1]
+    features = materialize(cell_features(points, threshold / d**0.5, d), "features")
+    subs = _subclusters(features, threshold, d, branching_factor)[1]
     centres = subs.select("label", F.transform("ls", lambda s: s / F.col("n")).alias("centre"))
     count = subs.count()
-    # Every row goes to its closest centre; a long list of centres is gone through in blocks.
-    block = np.array([r["centre"] for r in centres.orderBy("label").collect()])
-    labelled = assign_centres(points, block).select("row_id", "x", "label")
+    labelled = closest_subcluster(points, centres, count, d)
     if n_clusters is None:
         return BirchFit(labelled, centres, count)
-    # Global step on a bounded number of subclusters; more of them are first
-    # condensed with a doubled threshold, as BIRCH does when memory runs out.
-    coarse, mapping, radius, left = subs, None, threshold, count
-    while left > GLOBAL_SUBCLUSTERS:
-        radius *= 2.0
-        step = radius / d**0.5
-        cells = coarse.select(
-            "label",
-            F.array(*[F.floor(F.col("ls")[j] / F.col("n") / step) for j in range(d)]).alias("cell"),
-            "n",
-            "ls",
-            "ss",
-        )
-        cells = materialize(cells, "condense")
-        grouped = cells.groupBy("cell").agg(
-            F.sum("n").alias("n"),
-            F.array(*[F.sum(F.col("ls")[j]) for j in range(d)]).alias("ls"),
-            F.sum("ss").alias("ss"),
-        )
-        member, coarser = _subclusters(grouped, radius, d)
-        hop = cells.select("label", "cell").join(member.withColumnRenamed("label", "up"), "cell").select("label", "up")
-        mapping = (
-            hop
-            if mapping is None
-            else mapping.join(hop.select(F.col("label").alias("up"), F.col("up").alias("next")), "up").select(
-                "label", F.col("next").alias("up")
-            )
-        )
-        coarse, left = coarser, coarser.count()
-    top = coarse.orderBy("label").collect()
-    groups = ward_labels(np.array([np.array(r["ls"]) / r["n"] for r in top]), n_clusters)
-    table = matrix.sparkSession.createDataFrame(
-        [(int(r["label"]), int(g)) for r, g in zip(top, groups)], "up bigint, cluster bigint"
-    )
-    link = table.withColumnRenamed("up", "label") if mapping is None else mapping.join(table, "up").drop("up")
-    labelled = labelled.join(link, "label").select("row_id", "x", F.col("cluster").alias("label"))
-    return BirchFit(labelled, cluster_means(labelled, d), int(groups.max()) + 1)
+    nodes = centres.select("label", F.lit(1.0).alias("n"), F.col("centre").alias("ls"), F.lit(0.0).alias("ss"))
+    links = merge_rounds(nodes, d, None)
+    roots = survivors(centres, cut_tree(links, n_clusters))
+    tops = assign_row_ids(roots.select("root").distinct(), ["root"], "cluster")
+    known = materialize(roots.join(tops, "root").select("label", "cluster"), "clusters")
+    labelled = join_groups(labelled, known, ["label"]).select("row_id", "x", F.col("cluster").alias("label"))
+    return BirchFit(labelled, cluster_means(labelled, d), min(count, max(1, n_clusters)))
+
+
+def closest_subcluster(points: DataFrame, centres: DataFrame, count: int, d: int) -> DataFrame:
+    """row_id, x, label: the closest centre of every row; labels are 0 to count - 1."""
+    if 8 * count * d <= LISTED_BYTES:
+        block = np.array([r["centre"] for r in centres.orderBy("label").collect()])
+        return assign_centres(points, block).select("row_id", "x", "label")
+    targets = centres.select(F.col("label").alias("id"), F.lit(1.0).alias("n"), F.col("centre").alias("x"))
+    items = points.select(F.col("row_id").alias("id"), F.lit(1.0).alias("n"), "x")
+    found = nearest_targets(items, targets, count)
+    return points.join(found.select(F.col("id").alias("row_id"), F.col("q").alias("label")), "row_id")
 
 
 def cluster_means(labelled: DataFrame, d: int) -> DataFrame:
@@ -240,11 +188,17 @@ def stratified_pick(labelled: DataFrame, centres: DataFrame, k_per_cluster: int
     spaced ranks are taken, the nearest and the farthest included.
     """
     if k_per_cluster <= 1:
-        used = centres.join(labelled.select("label").distinct(), "label").orderBy("label")
-        block = [r["centre"] for r in used.select("centre").collect()]
-        if not block:
+        used = materialize(centres.join(labelled.select("label").distinct(), "label"), "used")
+        count = used.count()
+        if not count:
             return labelled.select("row_id").limit(0)
-        return nearest_rows(labelled.select("row_id", "x"), np.array(block)).select("row_id").distinct()
+        rows = labelled.select("row_id", "x")
+        if 8 * count * width(rows) <= LISTED_BYTES:
+            block = [r["centre"] for r in used.orderBy("label").select("centre").collect()]
+            return nearest_rows(rows, np.array(block)).select("row_id").distinct()
+        items = used.select(F.col("label").alias("id"), F.lit(1.0).alias("n"), F.col("centre").alias("x"))
+        targets = materialize(rows.select(F.col("row_id").alias("id"), F.lit(1.0).alias("n"), "x"), "targets")
+        return nearest_targets(items, targets, targets.count()).select(F.col("q").alias("row_id")).distinct()
     scored = join_groups(labelled, centres, ["label"]).select(
         "label", "row_id", V.squared_distance("x", "centre").alias("d2")
     )

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from ..functions.hashing import HASH_BITS, hash_key
 from ..functions.vectors import squared_norm
 from ..operators import analysis as A
-from ..operators import auto, birch, cells, coverage, embedding, hdbscan, hierarchy, kmeans, lift, neighbors, reduction, sampling, soap
+from ..operators import agglomerate, auto, birch, cells, coverage, embedding, hdbscan, hierarchy, kmeans, lift, neighbors, reduction, sampling, soap
 from ..operators import export as EX
 from ..operators import provenance as P
 from ..operators import splits as S
 from ..operators import stats as ST
+from ..operators.ranking import join_groups
 from ..session import materialize
 from . import oracles as O
 from . import tables as T
@@ -1236,6 +1237,56 @@ def birch_features(spark, d):
     return rounded(rounded(out, 6, "s0", "s1"), 4, "ss")
 
 
+@query(
+    "birch_bounds",
+    "SELECT count(*)::DOUBLE AS n, round(sum(l_quantity), 4) AS s0, round(sum(l_extendedprice / 1024.0::DOUBLE), 4) AS s1, "
+    "round(sum(l_quantity * l_quantity + (l_extendedprice / 1024.0::DOUBLE) * (l_extendedprice / 1024.0::DOUBLE)), 2) AS ss, "
+    "CAST(0 AS BIGINT) AS beyond_radius FROM lineitem",
+)
+def birch_bounds(spark, d):
+    """What all subclusters add up to, and how many are wider than the threshold."""
+    rows = T.table(spark, d, "lineitem").select(F.array(F.col("l_quantity"), F.col("l_extendedprice") / 1024.0).alias("x"))
+    subs = birch._subclusters(birch.cell_features(rows, 5.0 / 2**0.5, 2), 5.0, 2)[1]
+    square = F.aggregate("ls", F.lit(0.0), lambda acc, v: acc + (v / F.col("n")) * (v / F.col("n")))
+    return subs.withColumn("wide", F.col("ss") / F.col("n") - square > 25.0 + 1e-6).agg(
+        F.sum("n").alias("n"),
+        F.round(F.sum(F.col("ls")[0]), 4).alias("s0"),
+        F.round(F.sum(F.col("ls")[1]), 4).alias("s1"),
+        F.round(F.sum("ss"), 2).alias("ss"),
+        F.count_if("wide").alias("beyond_radius"),
+    )
+
+
+WARD_PAIR = "(a.n * b.n / (a.n + b.n)) * ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))"
+
+
+@query(
+    "ward_suppliers",
+    f"""WITH RECURSIVE pts AS MATERIALIZED (SELECT l_suppkey AS id, avg(l_quantity) AS x, avg(l_extendedprice / 1024.0::DOUBLE) AS y FROM lineitem GROUP BY 1),
+g AS (
+  SELECT 0 AS step, id AS root, 1.0::DOUBLE AS n, x, y, [id] AS members FROM pts
+  UNION ALL
+  SELECT step + 1, min(root), sum(n), sum(n * x) / sum(n), sum(n * y) / sum(n), flatten(list(members))
+  FROM (
+    SELECT g.*, CASE WHEN root = w.hi THEN w.lo ELSE root END AS target
+    FROM g, (SELECT unnest(arg_min({{'lo': a.root, 'hi': b.root}}, {WARD_PAIR})) FROM g a JOIN g b ON a.root < b.root HAVING (SELECT count(*) FROM g) > 8) w
+  ) GROUP BY step, target
+)
+SELECT unnest(members) AS supplier, root AS cluster, CAST(n AS BIGINT) AS members FROM g WHERE step = (SELECT max(step) FROM g)""",
+)
+def ward_suppliers(spark, d):
+    """Suppliers in eight Ward clusters of their mean quantity and price."""
+    points = T.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("label")).agg(
+        F.array(F.avg("l_quantity"), F.avg(F.col("l_extendedprice") / 1024.0)).alias("ls")
+    )
+    nodes = points.select(F.col("label").cast("bigint").alias("label"), F.lit(1.0).alias("n"), "ls", F.lit(0.0).alias("ss"))
+    roots = agglomerate.survivors(nodes, agglomerate.cut_tree(agglomerate.merge_rounds(nodes, 2, None), 8))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
+    return join_groups(roots, sizes, ["root"]).select(
+        F.col("label").alias("supplier"), F.col("root").alias("cluster"), "members"
+    )
+
+
 @query("hdbscan")
 def hdbscan_sample(spark, d):
     return sampling.sample(T.embedding_matrix(spark, d), "hdbscan", 0, min_cluster_size=5)

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from atomsift.functions.hashing import hash_key, hash_uniform
-from atomsift.operators import birch, cells, embedding, greedy, hdbscan, hierarchy, kmeans, layout, nearest
+from atomsift.operators import agglomerate, birch, cells, cftree, embedding, greedy, hdbscan, hierarchy, kmeans, layout, nearest
 from atomsift.operators import sampling as SA
 
 
@@ -185,13 +185,91 @@ def test_birch_radius_holds(spark, matrix_of, monkeypatch):
 
 
 def test_birch_condenses_many_subclusters(spark, matrix_of, monkeypatch):
-    monkeypatch.setattr(birch, "GLOBAL_SUBCLUSTERS", 10)
+    monkeypatch.setattr(agglomerate, "FINISH_CLUSTERS", 30)
     x = blobs()
     fit = birch.birch_fit(matrix_of(x), n_clusters=3, threshold=0.1)
     labels = np.array([r["label"] for r in fit.labelled.orderBy("row_id").collect()])
     assert len(labels) == 120 and all(len(set(labels[a : a + 40])) == 1 for a in (0, 40, 80))
 
 
+def test_cf_tree():
+    x = np.random.default_rng(2).normal(size=(400, 3))
+    for width in (2, 5, 50):
+        tree = cftree.CFTree(0.4, width, 3)
+        sub = np.array([tree.insert(1.0, p, float(p @ p)) for p in x])
+        assert set(sub) == set(range(tree.count)) and 1 < tree.count < 400
+        for c in range(tree.count):
+            mine = x[sub == c]
+            assert ((mine - mine.mean(0)) ** 2).sum(1).mean() <= 0.16 + 1e-9
+        todo = [tree.root]
+        while todo:
+            node = todo.pop()
+            assert len(node.below) <= width
+            todo += [] if node.leaf else node.below
+    equal = cftree.CFTree(0.0, 2, 1)  # nothing but the same point fits
+    assert [equal.insert(1.0, np.array([v]), v * v) for v in (0.0, 1.0, 0.0, 2.0, 1.0)] == [0, 1, 0, 2, 1]
+    with pytest.raises(ValueError):
+        cftree.CFTree(1.0, 1, 2)
+
+
+def subclusters_of(m, threshold, branching_factor=50):
+    members, subs = birch._subclusters(birch.cell_features(m, threshold / 2**0.5, 2), threshold, 2, branching_factor)
+    cells_of = {tuple(r["cell"]): r["label"] for r in members.collect()}
+    return cells_of, {r["label"]: (r["n"], np.array(r["ls"]), r["ss"]) for r in subs.collect()}
+
+
+def test_birch_has_no_borders(spark, matrix_of, monkeypatch):
+    """One and eight partitions, rounds in Spark and in memory agree; no subcluster fits into its nearest one."""
+    x = np.random.default_rng(8).normal(size=(150, 2))
+    want, subs = subclusters_of(matrix_of(x).repartition(1), 0.3)
+    assert sum(n for n, _, _ in subs.values()) == 150 and sorted(subs) == list(range(len(subs)))
+    assert subclusters_of(matrix_of(x).repartition(8), 0.3)[0] == want
+    monkeypatch.setattr(agglomerate, "FINISH_CLUSTERS", 1)
+    monkeypatch.setattr(agglomerate, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(cells, "CELL_POINTS", 15)
+    assert subclusters_of(matrix_of(x).repartition(3), 0.3)[0] == want
+    monkeypatch.setattr(birch, "REGION_FEATURES", 1)  # every grid cell a region of its own
+    for cells_of, found in ((want, subs), subclusters_of(matrix_of(x), 0.3)):
+        assert set(cells_of) == set(want)
+        centre = {c: ls / n for c, (n, ls, _) in found.items()}
+        for c, (n, ls, ss) in found.items():
+            assert ss / n - centre[c] @ centre[c] <= 0.09 + 1e-9
+            near = min((((centre[c] - centre[o]) ** 2).sum(), o) for o in found if o != c)[1]
+            tn, tl, ts = n + found[near][0], ls + found[near][1], ss + found[near][2]
+            assert ts / tn - (tl / tn) @ (tl / tn) > 0.09 - 1e-9
+
+
+def test_ward_in_rounds(spark, matrix_of, monkeypatch):
+    x = np.random.default_rng(14).normal(size=(70, 2))
+    nodes = matrix_of(x).select(
+        F.col("row_id").alias("label"), F.lit(1.0).alias("n"), F.col("x").alias("ls"), F.lit(0.0).alias("ss")
+    )
+    monkeypatch.setattr(agglomerate, "FINISH_CLUSTERS", 8)
+    monkeypatch.setattr(cells, "CELL_POINTS", 10)
+    links = agglomerate.merge_rounds(nodes, 2, None)
+    assert links.count() == 69
+    for k in (1, 12, 70):
+        roots = agglomerate.survivors(nodes, agglomerate.cut_tree(links, k)).collect()
+        got = {frozenset(r["label"] for r in roots if r["root"] == c) for c in {r["root"] for r in roots}}
+        labels = birch.ward_labels(x, k)
+        assert got == {frozenset(np.nonzero(labels == c)[0].tolist()) for c in set(labels)}
+
+
+def test_long_lists_of_centres(spark, matrix_of, monkeypatch):
+    """Centres met in cells give the rows and labels that listed ones give."""
+    x = np.round(np.random.default_rng(21).normal(size=(300, 2)), 1)  # ties
+    m = matrix_of(x)
+    fit = birch.birch_fit(m, threshold=0.2)
+    want = {(r["row_id"], r["label"]) for r in fit.labelled.collect()}
+    picks_listed = {r["row_id"] for r in birch.stratified_pick(fit.labelled, fit.centres).collect()}
+    monkeypatch.setattr(birch, "LISTED_BYTES", 0)
+    monkeypatch.setattr(agglomerate, "BLOCK_ROWS", 25)
+    monkeypatch.setattr(cells, "CELL_POINTS", 12)
+    got = birch.closest_subcluster(m, fit.centres, fit.n_clusters, 2)
+    assert {(r["row_id"], r["label"]) for r in got.collect()} == want
+    assert {r["row_id"] for r in birch.stratified_pick(fit.labelled, fit.centres).collect()} == picks_listed
+
+
 def ward_model(x, k):
     groups = [[i] for i in range(len(x))]
     while len(groups) > k:
