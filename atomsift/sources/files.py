@@ -39,18 +39,18 @@ def absolute(path) -> str:
 def make_folder(path) -> str:
     """The absolute path of a folder, made if it is missing; local or remote."""
     path = absolute(path)
-    system, inner = _system(path)
+    system, inner = file_system(path)
     system.create_dir(inner, recursive=True)
     return path
 
 
-def _system(path: str) -> tuple[fs.FileSystem, str]:
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def write_text(path: str, text: str) -> str:
     path = absolute(path)
-    system, inner = _system(path)
+    system, inner = file_system(path)
     system.create_dir(posixpath.dirname(inner), recursive=True)
     with system.open_output_stream(inner) as out:
         out.write(text.encode())
@@ -64,7 +64,7 @@ def read_text(path: str) -> str:
 
 def matching(directory: str, patterns: Sequence[str]) -> list[fs.FileInfo]:
     """Entries of a directory that match a pattern, sorted by name; none if it is absent."""
-    system, inner = _system(directory)
+    system, inner = file_system(directory)
     if system.get_file_info(inner).type != fs.FileType.Directory:
         return []
     found = system.get_file_info(fs.FileSelector(inner))
@@ -91,7 +91,7 @@ def only_one(directory: str, *patterns: str) -> str:
 
 def clear_outputs(directory: str, patterns: Sequence[str]) -> list[str]:
     """Remove matching files and table folders; returns what was removed."""
-    system, _ = _system(directory)
+    system, _ = file_system(directory)
     removed = []
     for info in matching(directory, patterns):
         if info.type == fs.FileType.Directory:

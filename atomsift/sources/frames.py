@@ -27,7 +27,7 @@ def _ranges(files: DataFrame, split_bytes: int) -> DataFrame:
     return ranges.withColumn("end", F.least(F.col("start") + split_bytes, F.col("length")))
 
 
-def _open_frames(r: dict, want):
+def open_frames(r: dict, want):
     with open_binary(r["file_path"]) as f:
         yield from READERS[format_of(r["file_path"])](f, r["start"], r["end"], want)
 
@@ -36,7 +36,7 @@ def _count(batches):
     for batch in batches:
         rows = batch.to_pylist()
         for r in rows:
-            r["n"] = sum(1 for _ in _open_frames(r, lambda i: False))
+            r["n"] = sum(1 for _ in open_frames(r, lambda i: False))
         yield pa.RecordBatch.from_pylist(rows, schema=batch.schema.append(pa.field("n", pa.int64())))
 
 
@@ -46,6 +46,26 @@ def _spread_out(ranges: DataFrame) -> DataFrame:
     return ranges.repartitionByRange(max(1, min(count, 100_000)), "file_id", "start")
 
 
+INDEXED_FRAME = T.StructType(
+    [
+        T.StructField("file_id", T.IntegerType()),
+        T.StructField("file_path", T.StringType()),
+        T.StructField("source_struct_id", T.IntegerType()),
+        *FRAME.fields,
+    ]
+)
+
+
+def frame_ranges(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Byte ranges with the number ``first`` of their first frame and how many (``n``) start in them."""
+    ranges = _spread_out(_ranges(files, split_bytes))
+    counted = ranges.mapInArrow(
+        _count, T.StructType([*ranges.schema.fields, T.StructField("n", T.LongType())])
+    )
+    before = W.partitionBy("file_id").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    return counted.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("n > 0")
+
+
 def read_frames(
     files: DataFrame,
     frame_stride: int = 1,
@@ -60,12 +80,7 @@ def read_frames(
     """
     if frame_stride <= 0:
         raise ValueError("frame_stride must be >= 1.")
-    ranges = _spread_out(_ranges(files, split_bytes))
-    counted = ranges.mapInArrow(
-        _count, T.StructType([*ranges.schema.fields, T.StructField("n", T.LongType())])
-    )
-    before = W.partitionBy("file_id").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
-    placed = counted.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("n > 0")
+    placed = frame_ranges(files, split_bytes)
     if frames is not None:
         wanted = frames.select("file_id", F.col("source_struct_id").cast("bigint").alias("_w")).distinct()
         inside = (F.col("_w") >= F.col("first")) & (F.col("_w") < F.col("first") + F.col("n"))
@@ -73,14 +88,7 @@ def read_frames(
         placed = keyed.groupBy(*placed.columns).agg(F.collect_set("_w").alias("wanted"))
     else:
         placed = placed.withColumn("wanted", F.lit(None).cast("array<bigint>"))
-    schema = T.StructType(
-        [
-            T.StructField("file_id", T.IntegerType()),
-            T.StructField("file_path", T.StringType()),
-            T.StructField("source_struct_id", T.IntegerType()),
-            *FRAME.fields,
-        ]
-    )
+    schema = INDEXED_FRAME
     arrow_schema = to_arrow_schema(schema)
 
     def parse(batches):
@@ -92,7 +100,7 @@ def read_frames(
                     return (first + i) % frame_stride == 0 if keep is None else first + i in keep
 
                 out = []
-                for i, frame in enumerate(_open_frames(r, want)):
+                for i, frame in enumerate(open_frames(r, want)):
                     if frame is not None:
                         key = {"file_id": r["file_id"], "file_path": r["file_path"], "source_struct_id": r["first"] + i}
                         out.append({**key, **frame})

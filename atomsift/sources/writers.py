@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.export import describe
-from .files import _system
+from .files import file_system
 from .formats import SYMBOLS, ULM_MAGIC
 
 
@@ -162,7 +162,7 @@ def write_xdatcar_per_file(frames: DataFrame, path: str) -> dict[str, str]:
 
 
 def _write_ulm(path: str, frames: list[dict]) -> None:
-    system, inner = _system(path)
+    system, inner = file_system(path)
     body, offsets = bytearray(48), []
 
     def put(array: np.ndarray) -> dict:
@@ -207,7 +207,7 @@ TRAJ_PART_ATOMS = 500_000
 
 def write_traj(frames: DataFrame, path: str, order_by: Sequence[str] = ("file_path", "source_struct_id")) -> str:
     """Binary trajectory parts ``part-NNNNN-MMMM.traj`` in order; a retry rewrites its parts."""
-    system, inner = _system(path)
+    system, inner = file_system(path)
     system.create_dir(inner, recursive=True)
     for info in system.get_file_info(fs.FileSelector(inner)):
         if info.base_name.endswith(".traj"):

@@ -10,6 +10,7 @@ from atomsift.operators.provenance import number_files, provenance_table, select
 from atomsift.plans import pipelines
 from atomsift.sources import artefacts, writers
 from atomsift.sources.files import discover_structure_files, discover_vasprun_files, newest, only_one
+from atomsift.sources.frame_source import read_indexed, write_index
 from atomsift.sources.frames import load_structures, read_frames
 from structures import plain_xyz, vasprun, water_xyz, xdatcar
 
@@ -231,3 +232,36 @@ def test_relative_roots_and_source_trajectory(spark, workdir, monkeypatch):
         load_structures(spark, ["~/nowhere"])
     Path(workdir, "X_selected.traj").mkdir()
     assert pipelines.source_trajectory(workdir, "FPS").endswith("X_selected.traj")
+
+
+def test_indexed_frames_push_filters(spark, workdir):
+    """Filters on file and frame choose the byte ranges; frames are those of the plain reader."""
+    put(workdir, "a.xyz", water_xyz(9))
+    put(workdir, "b.xyz", water_xyz(5))
+    put(workdir, "XDATCAR", xdatcar(4))
+    files = number_files(discover_structure_files(spark, [workdir]))
+    want = by_frame(read_frames(files, split_bytes=300).drop("struct_id"))
+    index = write_index(files, f"{workdir}/index", split_bytes=300)
+    frames = read_indexed(spark, index)
+    assert by_frame(frames) == want and len(want) == 18
+    every = frames.rdd.getNumPartitions()
+    paths = {r["file_id"]: r["file_path"] for r in files.collect()}
+    for condition, keep in [
+        ("source_struct_id = 3", lambda f, i: i == 3),
+        ("source_struct_id IN (1, 8, 70)", lambda f, i: i in (1, 8)),
+        ("source_struct_id IN (1, 2, 3) AND source_struct_id > 1 AND source_struct_id <= 2", lambda f, i: i == 2),
+        ("source_struct_id >= 4 AND source_struct_id < 6", lambda f, i: 4 <= i < 6),
+        (f"file_path = '{paths[1]}' AND source_struct_id = 0", lambda f, i: f == 1 and i == 0),
+        ("file_id >= 1 AND file_id < 2", lambda f, i: f == 1),
+        ("source_struct_id = 2 AND size(atoms) > 0", lambda f, i: i == 2),
+        ("source_struct_id = 99", lambda f, i: False),
+        ("file_id IS NULL", lambda f, i: False),
+    ]:
+        found = frames.filter(condition)
+        assert by_frame(found) == {k: v for k, v in want.items() if keep(*k)}, condition
+        if "NULL" not in condition:
+            assert found.rdd.getNumPartitions() < every, condition
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "source_struct_id" not in plan.split("Filter ")[-1].split("\n")[0] or "Filter " not in plan
+    with pytest.raises(Exception, match="path of an index"):
+        spark.read.format("atomsift_frames").load().collect()
