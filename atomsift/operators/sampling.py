@@ -16,7 +16,7 @@ from .birch import direct_birch_sample
 from .greedy import farthest_points, kmeans_plus_plus
 from .hdbscan import hdbscan_medoids
 from .kmeans import adaptive_kmeans_medoids, kmeans_medoids
-from .ranking import hash_smallest
+from .ranking import assign_row_ids, hash_smallest
 
 # A lookup of at most this many histogram cells is broadcast.
 BROADCAST_CELLS = 1_000_000
@@ -57,14 +57,11 @@ def stratified_grid(
         .withColumn("_h", hash_key(seed, "row_id"))
     )
     within = W.partitionBy("_bx", "_by").orderBy("_h", "row_id")
-    strata = materialize(
-        cells.withColumn("_rn", F.row_number().over(within))
-        .filter(F.col("_rn") <= per_bin)
-        .orderBy("_bx", "_by", "_rn")
-        .limit(k)
-        .select(*matrix.columns),
-        "strata",
-    )
+    # Only keys are ranked and cut; vectors are fetched for the rows that won.
+    ranked = cells.select("row_id", "_bx", "_by", "_h").withColumn("_rn", F.row_number().over(within))
+    first = assign_row_ids(ranked.filter(F.col("_rn") <= per_bin), ["_bx", "_by", "_rn"], "_at", keep=["row_id"])
+    chosen = first.filter(F.col("_at") < k).select("row_id")
+    strata = materialize(matrix.join(chosen, "row_id", "left_semi"), "strata")
     missing = k - strata.count()
     if missing <= 0:
         return strata

@@ -7,8 +7,8 @@ overlap with r^l exp(-alpha r^2) Y_lm has the closed form
         * exp(-alpha eta / (alpha + eta) r^2) * R_lm(r)
 
 with the real solid harmonic R_lm. The expansion is a plain sum over pairs, so
-it is computed for batches of pairs, pre-aggregated there, and summed by a
-groupBy. Radial functions are orthonormalised by the inverse square root of
+it is computed for batches of pairs, pre-aggregated there, and summed per atom
+after one shuffle of the partial sums. Radial functions are orthonormalised by the inverse square root of
 their overlap (Bartok, Kondor, Csanyi 2013; Himanen et al. 2020).
 """
 
@@ -28,6 +28,8 @@ from .neighbors import neighbor_pairs
 
 # Decay that fixes the radial exponents and the margin around the cutoff.
 DECAY = 1e-3
+# Coefficients held at a time where partial sums meet.
+DENSE_VALUES = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -127,6 +129,12 @@ def power_spectrum(coefficients: np.ndarray, basis: SoapBasis, channels: int) ->
     return np.stack(out, axis=1) if out else np.zeros((len(coefficients), 0))
 
 
+def _pieces(batches, rows: int):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def soap_descriptors(
     atoms: DataFrame,
     frame: Sequence[str] = ("file_id", "struct_id"),
@@ -155,7 +163,8 @@ def soap_descriptors(
     own = data.select(*frame, "atom_id", "symbol", *[F.lit(0.0).alias(f"r{c}") for c in "xyz"])
     channel = F.lit(0)
     if per_species:
-        channel = F.array_position(F.array(*[F.lit(s) for s in channels]), F.col("symbol")).cast("int") - 1
+        known = F.array_position(F.array(*[F.lit(s) for s in channels]), F.col("symbol")).cast("int") - 1
+        channel = F.coalesce(known, F.lit(-1))
     terms = pairs.unionByName(own).withColumn("channel", channel).drop("symbol")
     keys = [*frame, "atom_id", "channel"]
     fields = {f.name: f.dataType.simpleString() for f in terms.schema}
@@ -178,22 +187,44 @@ def soap_descriptors(
             yield pa.RecordBatch.from_arrays([*columns, as_lists(sums)], names=[*keys, "c"])
 
     partial = terms.mapInArrow(expand, schema)
-    slot = F.col("channel") * basis.width + F.col("j")
-    summed = (
-        partial.select(*keys, F.posexplode("c").alias("j", "v"))
-        .groupBy(*frame, "atom_id", slot.alias("slot"))
-        .agg(F.sum("v").alias("v"))
-    )
     count = len(channels)
-    # One array per atom, basis.width entries per channel, zero where a channel is absent.
-    dense = summed.groupBy(*frame, "atom_id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "v"))).alias("m"))
-    size = count * basis.width
-    values = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda s: F.coalesce(F.col("m")[s], F.lit(0.0)))
-
-    @F.arrow_udf("array<double>")
-    def invariants(c: pa.Array) -> pa.Array:
-        if len(c) == 0:
-            return as_lists(np.zeros((0, 1)))
-        return as_lists(power_spectrum(as_matrix(c), basis, count))
-
-    return dense.select(*frame, "atom_id", invariants(values).alias("x"))
+    owner = [*frame, "atom_id"]
+    # Partial sums meet once, as arrays: an atom's rows follow each other and are added up in passing.
+    placed = partial.repartition(*owner).sortWithinPartitions(*owner)
+    out_schema = ", ".join(f"{k} {fields[k]}" for k in owner) + ", x array<double>"
+
+    def invariants(batches):
+        """One row per atom; the last atom of a batch waits for its other rows."""
+        open_key, open_sum = None, None
+        for batch in _pieces(batches, max(1, DENSE_VALUES // (count * basis.width))):
+            columns = [batch.column(k) for k in owner]
+            values, channel = as_matrix(batch.column("c")), batch.column("channel").to_numpy()
+            fresh = np.zeros(batch.num_rows, dtype=bool)
+            fresh[0] = True
+            for column in columns:
+                numbers = column.dictionary_encode().indices.fill_null(-1).to_numpy()
+                fresh[1:] |= numbers[1:] != numbers[:-1]
+            starts = np.nonzero(fresh)[0]
+            dense = np.zeros((len(starts), count, basis.width))
+            listed = channel >= 0  # a species that is not listed adds nothing
+            np.add.at(dense, ((np.cumsum(fresh) - 1)[listed], channel[listed]), values[listed])
+            dense = dense.reshape(len(starts), -1)
+            keys = pa.table([c.take(pa.array(starts)) for c in columns], names=owner)
+            first = tuple(c[0].as_py() for c in columns)
+            if open_key is not None:
+                if first == tuple(c[0].as_py() for c in open_key.columns):
+                    dense[0] += open_sum[0]
+                else:
+                    keys = pa.concat_tables([open_key, keys])
+                    dense = np.concatenate([open_sum, dense])
+            open_key, open_sum = keys.slice(len(keys) - 1), dense[-1:]
+            if len(keys) > 1:
+                yield finished(keys.slice(0, len(keys) - 1), dense[:-1])
+        if open_key is not None:
+            yield finished(open_key, open_sum)
+
+    def finished(keys, sums):
+        x = as_lists(power_spectrum(sums, basis, count))
+        return pa.RecordBatch.from_arrays([*[c.combine_chunks() for c in keys.columns], x], names=[*owner, "x"])
+
+    return placed.mapInArrow(invariants, out_schema)

@@ -89,6 +89,24 @@ def test_soap_invariances(spark, compression):
     assert np.abs(other - base).max() > 1e-3 * np.abs(base).max()
 
 
+def test_soap_sums_over_batches(spark, monkeypatch):
+    """Rows of an atom may come in several batches; a species that is not listed adds nothing."""
+    rng = np.random.default_rng(5)
+    frames = [(list("OHHO"), rng.uniform(0, 4, (4, 3)), None), (list("HOC"), rng.uniform(0, 4, (3, 3)), None)]
+    kw = dict(species=["O", "H"], basis=soap.SoapBasis(r_cut=3.0, n_max=2, l_max=2, sigma=0.5), compression="off")
+    want = descriptors(spark, frames, **kw)
+    assert [len(w) for w in want] == [4, 3]
+    listed = [frames[0], (list("HO"), frames[1][1][:2], None)]
+    np.testing.assert_allclose(descriptors(spark, listed, **kw)[1], want[1][:2], rtol=1e-9, atol=1e-12)
+    monkeypatch.setattr(soap, "DENSE_VALUES", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        for got, expected in zip(descriptors(spark, frames, **kw), want):
+            np.testing.assert_allclose(got, expected, rtol=1e-9, atol=1e-12)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_soap_expansion_by_quadrature():
     """Closed form against a numerical integral of density times basis."""
     basis = soap.SoapBasis(r_cut=3.0, n_max=2, l_max=2, sigma=0.6)
