@@ -357,6 +357,45 @@ def test_hdbscan_stages(spark, matrix_of, monkeypatch, cell):
     np.testing.assert_allclose(tree, weights)
 
 
+@pytest.mark.parametrize("cell", [10, 1000])
+def test_hdbscan_tree_of_blocks(spark, matrix_of, monkeypatch, cell):
+    """Blocks of several cells, and cells of several blocks; copies and rows a hair apart among them."""
+    monkeypatch.setattr(cells, "CELL_POINTS", cell)
+    monkeypatch.setattr(cells, "BLOCK_BYTES", 8 * 3 * 60)
+    monkeypatch.setattr(hdbscan, "TREE_POINTS", 20)
+    monkeypatch.setattr(hdbscan, "BLOCK_GROUP", 2)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (60, 3)), rng.normal(8, 0.5, (60, 3)), rng.uniform(-20, 20, (20, 3))])
+    x = np.concatenate([x, x[:10], x[20:30] + 1e-9])
+    pts = hdbscan.materialize(matrix_of(x).select(F.col("row_id").alias("pid"), "x", F.lit(1).cast("bigint").alias("mult")))
+    placed, stats = cells.place(pts, len(x), 0)
+    c = np.array(stats["centre"].tolist())
+    gaps = cells.distances(c, c)
+    table, blocks = cells.blocks_of(stats, 20)
+    assert len(blocks) > 5 and sorted(t[0] for t in table) == sorted(stats["cell"])
+    core, weights = tree_model(x, 5)
+    cores = hdbscan.core_distances(placed, stats, gaps, 5)
+    np.testing.assert_allclose([r["core"] for r in cores.orderBy("pid").collect()], core, atol=1e-12)
+    edges = hdbscan.materialize(hdbscan.tree_edges(hdbscan.materialize(placed.join(cores, "pid")), stats, gaps))
+    np.testing.assert_allclose(sorted(r["w"] for r in hierarchy.spanning_tree(edges).collect()), weights, atol=1e-12)
+
+
+def test_nearest_lists_in_blocks(spark, matrix_of, monkeypatch):
+    monkeypatch.setattr(cells, "CELL_POINTS", 10)
+    monkeypatch.setattr(cells, "BLOCK_BYTES", 8 * 3 * 80)
+    x = np.random.default_rng(6).normal(size=(300, 3))
+    x[200:240] = x[:40]
+    x[240:250] = x[40:50] + 1e-9
+    pts = cells.materialize(matrix_of(x).select(F.col("row_id").alias("pid"), "x", F.lit(1).cast("bigint").alias("mult")))
+    placed, stats = cells.place(pts, len(x), 0)
+    c = np.array(stats["centre"].tolist())
+    lists = cells.nearest_lists(placed, stats, cells.distances(c, c), 7).collect()
+    d = cells.distances(x, x)
+    want = {i: [(d[i, j], j) for j in np.lexsort((np.arange(300), d[i]))[:8]] for i in range(300)}
+    assert {r["pid"]: [(e["d"], e["q"]) for e in r["near"]] for r in lists} == want
+    assert len(cells.blocks_of(stats, 80)[1]) < len(stats) / 2
+
+
 def test_hdbscan_finds_blobs_and_noise(spark, matrix_of):
     x = np.concatenate([blobs(30), [[50.0, 50.0], [-40.0, 30.0]]])
     labels = [r["label"] for r in hdbscan.hdbscan_labels(matrix_of(x), 10).orderBy("row_id").collect()]
