@@ -16,6 +16,8 @@ from .blocks import as_matrix
 
 _VECTORS = [f"p{i}" for i in range(3)]
 _CELL = [f"a{i}{j}" for i in range(3) for j in range(3)]
+# Bins along an edge of the blocks in which atoms meet.
+BLOCK_BINS = 2
 _BINS = [f"{k}{i}" for k in "bnm" for i in range(3)]
 
 
@@ -82,8 +84,8 @@ def neighbor_pairs(
     """(..frame, i, j, ..keep_i, ..keep_j, rx, ry, rz, d2) of ordered pairs, images included.
 
     ``atoms`` has ..frame, atom_id, pos, cell (3x3) and pbc. Each atom visits the
-    bins around its own, and the join key is (frame, bin), so the work follows
-    the density of atoms and no frame is expanded to all pairs. The pair of an
+    blocks of bins around its own bin, and the join key is (frame, block), so the
+    work follows the density of atoms and no frame is expanded to all pairs. The pair of an
     atom with itself in the home cell is left out. ``species`` limits i and j to
     one symbol each before anything is repeated.
     """
@@ -97,18 +99,29 @@ def neighbor_pairs(
         *[F.col(c).alias(f"{c}_j") for c in keep],
         *[F.col(f"p{i}").alias(f"_q{i}") for i in range(3)],
         *[F.col(f"b{i}").alias(f"_at{i}") for i in range(3)],
+        *[F.floor(F.col(f"b{i}") / BLOCK_BINS).alias(f"_in{i}") for i in range(3)],
         *_CELL,
     )
-    # The side that is repeated per visited bin stays narrow; the cell comes with the other.
+    # The side that is repeated per visited block of bins stays narrow; the cell comes with the other.
     left = first.drop(*_CELL).withColumnRenamed("atom_id", "i").withColumnsRenamed({c: f"{c}_i" for c in keep})
     for i in range(3):
-        left = left.withColumn(f"_t{i}", F.explode(F.sequence(F.col(f"b{i}") - F.col(f"m{i}"), F.col(f"b{i}") + F.col(f"m{i}"))))
-    for i in range(3):
-        target, bins = F.col(f"_t{i}"), F.col(f"n{i}")
-        left = left.withColumn(f"_to{i}", F.when(bins > 0, F.pmod(target, bins)).otherwise(target))
-        left = left.withColumn(f"_s{i}", F.when(bins > 0, F.floor(target / bins)).otherwise(0).cast("double"))
-    on = [F.col(c) == F.col(f"_r_{c}") for c in frame] + [F.col(f"_to{i}") == F.col(f"_at{i}") for i in range(3)]
+        low, high, bins = F.col(f"b{i}") - F.col(f"m{i}"), F.col(f"b{i}") + F.col(f"m{i}"), F.col(f"n{i}")
+        visited = F.sequence(low, F.when(bins > 0, F.least(high, low + bins - 1)).otherwise(high))
+        inside = F.transform(visited, lambda t: F.when(bins > 0, F.pmod(t, bins)).otherwise(t))
+        blocks = F.array_distinct(F.transform(inside, lambda t: F.floor(t / BLOCK_BINS)))
+        left = left.withColumn(f"_to{i}", F.explode(blocks))
+    on = [F.col(c) == F.col(f"_r_{c}") for c in frame] + [F.col(f"_to{i}") == F.col(f"_in{i}") for i in range(3)]
     near = left.join(right, on)
+    # Images of the other atom's bin within reach; none where the block was visited for another bin.
+    for i in range(3):
+        low, high, bins = F.col(f"b{i}") - F.col(f"m{i}"), F.col(f"b{i}") + F.col(f"m{i}"), F.col(f"n{i}")
+        here = F.col(f"_at{i}")
+        near = near.withColumn(f"_from{i}", F.when(bins > 0, F.ceil((low - here) / bins)).otherwise(F.when(here < low, 1).otherwise(0)))
+        near = near.withColumn(f"_till{i}", F.when(bins > 0, F.floor((high - here) / bins)).otherwise(F.when(here > high, -1).otherwise(0)))
+    near = near.filter(" and ".join(f"_from{i} <= _till{i}" for i in range(3)))
+    for i in range(3):
+        images = F.sequence(F.col(f"_from{i}"), F.col(f"_till{i}")).cast("array<double>")
+        near = near.withColumn(f"_s{i}", F.explode(images))
     for j, name in enumerate("xyz"):
         move = sum((F.col(f"_s{i}") * F.col(f"a{i}{j}") for i in (1, 2)), F.col("_s0") * F.col(f"a0{j}"))
         near = near.withColumn(f"r{name}", F.col(f"_q{j}") + move - F.col(f"p{j}"))

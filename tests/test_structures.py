@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from atomsift.operators import soap
+from atomsift.operators import neighbors, soap
 from atomsift.operators.neighbors import neighbor_pairs, pair_rdf
 
 
@@ -128,3 +128,25 @@ def test_radial_functions_are_orthonormal():
         f = (r[:, None] ** l * np.exp(-np.outer(r**2, basis.exponents(l)))) @ basis.mixing(l).T
         gram = np.einsum("pi,pj,p->ij", f, f, r**2) * (r[1] - r[0])
         np.testing.assert_allclose(gram, np.eye(3), atol=1e-6)
+
+
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_pairs_meet_in_blocks_of_bins(spark, monkeypatch, width):
+    """One copy of an atom reaches several bins, in long, flat, small and open boxes alike."""
+    monkeypatch.setattr(neighbors, "BLOCK_BINS", width)
+    rng = np.random.default_rng(3)
+    got, want = [], []
+    for box, pbc in (([26.0, 7.0, 3.0], [True] * 3), ([26.0, 7.0, 3.0], [True, False, True]), ([0.9, 4.0, 9.0], [True] * 3)):
+        pos = rng.uniform(-1, 1, (12, 3)) * box
+        rows = [(0, i, "A", p.tolist(), np.diag(box).tolist(), pbc) for i, p in enumerate(pos)]
+        kind = "struct_id int, atom_id int, symbol string, pos array<double>, cell array<array<double>>, pbc array<boolean>"
+        pairs = neighbor_pairs(spark.createDataFrame(rows, kind), ["struct_id"], 2.0).collect()
+        got.append(sorted((r["i"], r["j"], round(r["d2"], 6)) for r in pairs))
+        images = [range(-40, 41) if p and b < 1 else range(-6, 7) if p else [0] for b, p in zip(box, pbc)]
+        shifts = np.array([[a, b, c] for a in images[0] for b in images[1] for c in images[2]]) * box
+        gaps = pos[None, :, None] + shifts[None, None] - pos[:, None, None]
+        d2 = (gaps**2).sum(-1)
+        own = (np.arange(12)[:, None] == np.arange(12))[:, :, None] & (np.abs(shifts).sum(1) == 0)
+        i, j, s = np.nonzero((d2 < 4.0) & ~own)
+        want.append(sorted((int(a), int(b), round(float(d2[a, b, c]), 6)) for a, b, c in zip(i, j, s)))
+    assert got == want and min(map(len, want)) > 0
