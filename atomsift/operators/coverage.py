@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import bin_index
-from .stats import exact_quantiles, long_form, moments
+from .stats import counted_quantiles, long_form, moments
 
 EPS = 1e-12
 
@@ -43,7 +43,7 @@ def auto_grid(
     m = moments(matrix)
     iqr = {}
     if mode == "fd":
-        table = exact_quantiles(long_form(matrix), "v", [0.25, 0.75], by=["pc"])
+        table = counted_quantiles(long_form(matrix), "v", [0.25, 0.75], by=["pc"])
         iqr = {r["pc"]: r["q"][1] - r["q"][0] for r in table.collect()}
     nb = []
     for j, (lo, hi) in enumerate(zip(m.lo, m.hi)):

@@ -392,3 +392,19 @@ def test_one_pass_scatter(spark, matrix_of):
     np.testing.assert_allclose(m.std, x.std(0), rtol=1e-9)
     assert (m.n, m.lo, m.hi) == (200, x.min(0).tolist(), x.max(0).tolist())
     assert stats.scatter(matrix_of([]))[0].n == 0
+
+
+def test_fd_grid_counts_instead_of_sorting(spark, matrix_of, monkeypatch):
+    """Half of a component has one value; a sort would put these rows into one task."""
+    from atomsift.operators import coverage, stats
+
+    def sort(*_, **__):
+        raise AssertionError("rows were sorted")
+
+    monkeypatch.setattr(stats, "rank_within", sort)
+    rng = np.random.default_rng(9)
+    x = np.column_stack([rng.normal(size=400), np.where(np.arange(400) % 2, 3.0, rng.integers(0, 5, 400))])
+    grid = coverage.auto_grid(matrix_of(x), "fd", 1.0, 2, 200)
+    iqr = np.quantile(x, 0.75, axis=0) - np.quantile(x, 0.25, axis=0)
+    step = 2.0 * np.maximum(iqr, 1e-12) * 400 ** (-1 / 3)
+    assert grid.nb == [min(max(int(np.ceil(w / s)), 2), 200) for w, s in zip(np.ptp(x, axis=0), step)]
