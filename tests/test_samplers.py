@@ -379,6 +379,49 @@ def test_hdbscan_tree_of_blocks(spark, matrix_of, monkeypatch, cell):
     edges = hdbscan.materialize(hdbscan.tree_edges(hdbscan.materialize(placed.join(cores, "pid")), stats, gaps))
     np.testing.assert_allclose(sorted(r["w"] for r in hierarchy.spanning_tree(edges).collect()), weights, atol=1e-12)
 
+@pytest.mark.parametrize("kind", ["blobs", "grid", "copies"])
+def test_hdbscan_tree_by_lists(spark, monkeypatch, kind):
+    """Lists prove most edges of the tree; where they do not lead out of a blob, or many edges are equal, a search does."""
+    monkeypatch.setattr(cells, "CELL_POINTS", 15)
+    monkeypatch.setattr(cells, "BLOCK_BYTES", 8 * 3 * 80)
+    monkeypatch.setattr(hdbscan, "TREE_POINTS", 40)
+    monkeypatch.setattr(hdbscan, "LISTED", 6)
+    rng = np.random.default_rng(3)
+    x = {
+        "blobs": np.concatenate([rng.normal(9 * i, 0.4, (40, 3)) for i in range(5)]),
+        "grid": np.stack(np.meshgrid(*[np.arange(6.0)] * 3), -1).reshape(-1, 3),
+        "copies": np.concatenate([rng.normal(size=(120, 3)), rng.normal(30, 1, (60, 3))]),
+    }[kind]
+    mult = np.where((kind == "copies") & (np.arange(len(x)) % 9 == 0), 12, 1)
+    rows = [(i, [float(v) for v in r], int(m)) for i, (r, m) in enumerate(zip(x, mult))]
+    pts = hdbscan.materialize(spark.createDataFrame(rows, "pid bigint, x array<double>, mult bigint"))
+    placed, stats = cells.place(pts, len(x), 0)
+    c = np.array(stats["centre"].tolist())
+    searched, leaving = [], hdbscan._leaving
+    monkeypatch.setattr(hdbscan, "_leaving", lambda asked, *a: searched.append(asked.count()) or leaving(asked, *a))
+    placed, lists = hdbscan.with_lists(placed, stats, cells.distances(c, c), 3)
+    edges = hdbscan.tree_edges(placed, stats, cells.distances(c, c), lists).collect()
+    weights = tree_model(np.repeat(x, mult, axis=0), 3)[1]
+    assert len(edges) == len(x) - 1
+    # Copies of a row are linked at their core distance, 0 here.
+    want = [0.0] * int((mult - 1).sum()) + sorted(e["w"] for e in edges)
+    np.testing.assert_allclose(sorted(want), weights, atol=1e-12)
+    if kind in ("blobs", "copies"):
+        assert searched and max(searched) < len(x)
+
+
+@pytest.mark.parametrize("scale", [1e-16, 1.0, 1e18])
+def test_closest_by_single_precision(scale):
+    """Candidates that single precision cannot tell apart are not lost."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 5))
+    x = np.concatenate([x, x[:80] + 1e-9, x[:80], np.full((40, 5), 3.0) + 1e-8 * rng.normal(size=(40, 5))]) * scale
+    ids, d = np.arange(len(x)), cells.distances(x, x)
+    rows, columns, found = cells._closest(x, x, ids, 6)
+    want = np.stack([np.lexsort((ids, d[i]))[:6] for i in ids])
+    assert (rows == np.repeat(ids, 6)).all() and (columns == want.ravel()).all()
+    assert (found == d[rows, columns]).all()
+
 
 def test_nearest_lists_in_blocks(spark, matrix_of, monkeypatch):
     monkeypatch.setattr(cells, "CELL_POINTS", 10)
