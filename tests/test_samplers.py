@@ -410,6 +410,18 @@ def test_hdbscan_tree_by_lists(spark, monkeypatch, kind):
         assert searched and max(searched) < len(x)
 
 
+def test_hdbscan_tree_of_rows_that_come_twice(spark, matrix_of, monkeypatch):
+    monkeypatch.setattr(hdbscan, "TREE_POINTS", 40)
+    x = np.random.default_rng(4).normal(size=(90, 3))
+    once = matrix_of(x).select(F.col("row_id").alias("pid"), "x", F.lit(1).cast("bigint").alias("mult"))
+    placed, stats = cells.place(hdbscan.materialize(once.unionByName(once)), 2 * len(x), 0)
+    c = np.array(stats["centre"].tolist())
+    gaps = cells.distances(c, c)
+    placed, lists = hdbscan.with_lists(placed, stats, gaps, 3)
+    edges = hdbscan.tree_edges(placed, stats, gaps, lists).collect()
+    assert len(edges) == len(x) - 1 and len({i for e in edges for i in (e["u"], e["v"])}) == len(x)
+
+
 @pytest.mark.parametrize("scale", [1e-16, 1.0, 1e18])
 def test_closest_by_single_precision(scale):
     """Candidates that single precision cannot tell apart are not lost."""
