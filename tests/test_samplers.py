@@ -255,6 +255,59 @@ def test_ward_in_rounds(spark, matrix_of, monkeypatch):
         assert got == {frozenset(np.nonzero(labels == c)[0].tolist()) for c in set(labels)}
 
 
+def test_merging_in_memory_like_full_searches():
+    """Rounds that search again only where something changed give the links of rounds that compare all pairs."""
+
+    def plain(ids, n, ls, ss, radius):
+        nodes, links = {i: (a, b, c) for i, a, b, c in zip(ids, n, ls, ss)}, []
+
+        def apart(i, j):
+            (n, a, _), (m, b, _) = nodes[i], nodes[j]
+            d2 = sum((p - q) ** 2 for p, q in zip(a / n, b / m))
+            return d2 * (1.0 if radius is not None else n * m / (n + m))
+
+        def fits(i, j):
+            n, a, s = (p + q for p, q in zip(nodes[i], nodes[j]))
+            return radius is None or s / n - ((a / n) ** 2).sum() <= radius**2
+
+        while len(nodes) > 1:
+            pairs = {tuple(sorted((i, min((apart(i, j), j) for j in nodes if j != i)[1]))) for i in nodes}
+            edges = sorted((apart(i, j), i, j) for i, j in pairs if fits(i, j))
+            best = {}
+            for e in edges:
+                best.setdefault(e[1], e), best.setdefault(e[2], e)
+            chosen = [e for e in edges if best[e[1]] == e == best[e[2]]]
+            if not chosen:
+                break
+            for d2, i, j in chosen:
+                nodes[i] = tuple(p + q for p, q in zip(nodes[i], nodes.pop(j)))
+                links.append((j, i, d2))
+        return links, sorted(nodes)
+
+    x = np.round(np.random.default_rng(4).normal(size=(90, 2)), 1)  # equal rows and ties
+    ids, n = np.arange(90) * 3 + 1, np.ones(90)
+    for radius in (None, 0.25, 0.6):
+        ss = (x * x).sum(axis=1)
+        links, left = agglomerate.merge_in_memory(ids, n, x, ss, radius)
+        assert (links, ids[left].tolist()) == plain(ids.tolist(), n, x, ss, radius)
+    assert agglomerate.merge_in_memory([7], [1.0], x[:1], [0.0], None) == ([], [0])
+
+
+def test_rounds_of_few_merges_end_in_memory(spark, matrix_of, monkeypatch):
+    """A chain that merges one pair a round, beside clusters that stay, is not searched anew in every round."""
+    x = np.concatenate([1.2 ** np.arange(15), 1000.0 * np.arange(1, 61)])[:, None]
+    nodes = matrix_of(x).select(
+        F.col("row_id").alias("label"), F.lit(1.0).alias("n"), F.col("x").alias("ls"), (F.col("x")[0] * F.col("x")[0]).alias("ss")
+    )
+    want = agglomerate.merge_in_memory(np.arange(75), np.ones(75), x, (x * x)[:, 0], 9.0)[0]
+    calls, search = [], agglomerate.nearest_targets
+    monkeypatch.setattr(agglomerate, "nearest_targets", lambda *a, **k: calls.append(1) or search(*a, **k))
+    monkeypatch.setattr(agglomerate, "FINISH_CLUSTERS", 40)
+    got = sorted(map(tuple, agglomerate.merge_rounds(nodes, 1, 9.0).collect()))
+    assert got == sorted(want) and len(want) == 14
+    assert len(calls) == 2
+
+
 def test_long_lists_of_centres(spark, matrix_of, monkeypatch):
     """Centres met in cells give the rows and labels that listed ones give."""
     x = np.round(np.random.default_rng(21).normal(size=(300, 2)), 1)  # ties
