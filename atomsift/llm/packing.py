@@ -155,21 +155,28 @@ def pack(docs: DataFrame, tokenizer: str, size: int = LENGTH) -> DataFrame:
             held = 0
             return out
 
+        def hold(texts):
+            nonlocal held
+            for coded in encode(texts):
+                ids.append(coded)
+                held += len(coded) // 4
+
+        # chunks go on over the ends of batches, so that their size does not show in the result
+        texts, taken = [], 0
         for batch in batches:
-            row = 0
-            while row < batch.num_rows:
+            doc_ids, column = batch.column(0), batch.column(1)
+            for row in range(batch.num_rows):
+                texts.append(column[row].as_py() or "")
+                names.append(doc_ids[row].as_py())
+                taken += len(texts[-1])
+                if taken < CHUNK_BYTES:
+                    continue
+                hold(texts)
                 texts, taken = [], 0
-                while row < batch.num_rows and taken < CHUNK_BYTES:
-                    texts.append(batch.column(1)[row].as_py() or "")
-                    names.append(batch.column(0)[row].as_py())
-                    taken += len(texts[-1])
-                    row += 1
-                for coded in encode(texts):
-                    ids.append(coded)
-                    held += len(coded) // 4
-                # documents that follow in the chunk already belong to the shard
+                # all documents of the chunk belong to the shard
                 if held >= SHARD * size:
                     yield flush()
+        hold(texts)
         if ids:
             yield flush()
 

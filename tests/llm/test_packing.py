@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from atomsift.llm import packing
@@ -70,3 +71,40 @@ def test_table(spark, docs_of):
         assert len(r["ids"]) == 4 * r["length"]
     assert max(fills.values()) <= 1024
     assert packing.pack(docs_of([]), PATH).count() == 0
+
+
+def test_layout_does_not_follow_batches(spark, docs_of):
+    docs = docs_of([(i, f"w{i} " * 150) for i in range(40)]).repartition(1).sortWithinPartitions("doc_id")
+    want = sorted(map(tuple, packing.pack(docs, PATH, 4).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(tuple, packing.pack(docs, PATH, 4).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_stages_bound_the_bytes_of_batches(spark):
+    import corpus_pipeline
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('plain word ', 400) AS text", "4400L AS n_chars").repartition(1)
+
+    def largest(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    def most(frame):
+        return frame.mapInArrow(largest, "size long").agg({"size": "max"}).first()[0]
+
+    kept = spark.conf.get(limit, None)
+    try:
+        for _, stage in (s for s in corpus_pipeline.STAGES if s[0] in ("personal data", "packing")):
+            spark.conf.unset(limit)
+            assert most(docs) > 12_000_000
+            stage(spark, docs, "")
+            assert most(docs) < 5_000_000
+        spark.conf.set(limit, "1m")
+        corpus_pipeline.redact(spark, docs, "")
+        assert spark.conf.get(limit) == "1m"  # a limit of one's own stays
+    finally:
+        spark.conf.set(limit, kept) if kept is not None else spark.conf.unset(limit)
