@@ -6,6 +6,8 @@ Tokens (word n-grams) are hashed into groups. Two uses of the groups:
   groups, some group has the same tokens in both. The content of a group is
   therefore a key that similar texts share, and one that takes several equal
   tokens, so a passage or line that many texts have in common rarely makes one.
+  With D tokens that may differ, the D + 1 groups of a text that come first in an
+  order by content do: the first group that both have in common is among them.
   Sets are banded by size, so that T fits; a set that may be similar to smaller
   ones of the band below is routed there, too. In each band texts are joined into
   clusters over equal keys (star edges from a range sort, so a key of any size is
@@ -37,7 +39,7 @@ BLOCK, BLOCK_TOKENS = 1024, 1 << 19
 FANOUT = 16
 SALTS = (0x1F3D, 0x2E5B)
 BROADCAST_ROWS = 1 << 19  # 48 bytes each at most
-SELECTIVE_FROM = 86  # from this percentage on few groups hold less than two tokens, so keys take two
+SELECTIVE_FROM = 86  # from this percentage on few groups hold less than two tokens
 
 
 def token_sets(texts, words: int):
@@ -69,9 +71,8 @@ class Plan:
     def __init__(self, percent: int):
         self.percent = percent
         selective = percent >= SELECTIVE_FROM
-        # size ratio of a band, tokens of a group that makes a key, share of groups beyond the least number:
-        # more of them than groups below that size are to be expected
-        self.ratio, self.held, self.spare = (1.4, 2, 1 / 32) if selective else (1.2, 1, 1 / 8)
+        # size ratio of a band, share of groups beyond the least number: more of them than empty ones are to be expected
+        self.ratio, self.spare = (1.4, 1 / 32) if selective else (2.0, 1 / 8)
         # sizes below this are similar to equal sets only
         self.least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
 
@@ -82,11 +83,14 @@ class Plan:
         """No set of the band has more tokens."""
         return np.ceil(self.least * self.ratio ** (band + 1.0)).astype(np.int64) + 1
 
-    def groups(self, band: np.ndarray):
-        """Number of groups for pairs whose smaller set is in the band, and how many surely agree beyond one."""
+    def groups(self, band: np.ndarray, n: np.ndarray):
+        """Number of groups for pairs whose smaller set is in the band, and how many a set of ``n`` may have for itself."""
         differ = self.top(band) * (100 - self.percent) // self.percent
         spare = 1 + np.floor(differ * self.spare).astype(np.int64)
-        return differ + 1 + spare, spare
+        # the largest similar set; sets from bands above meet the smaller ones of the band only
+        other = np.where(self.band(n) > band, np.minimum(self.top(band), n), 100 * n // self.percent)
+        own = (100 - self.percent) * (n + other) // (100 + self.percent)
+        return differ + 1 + spare, np.minimum(own, differ)
 
     def lowest(self, n: np.ndarray) -> np.ndarray:
         """The lowest band in which a set of this size may have a similar one."""
@@ -95,16 +99,18 @@ class Plan:
 
 
 def _keys(token, doc, n_docs, sizes, plan: Plan):
-    """Routing keys: text, band and key, for every group of enough tokens.
+    """Routing keys: text, band and key, for one group more than may differ.
 
-    A text with more small groups than surely agree also gets a key for each two of them.
+    Groups of many tokens come first, equal ones by their key. Groups that are the same in two texts have the
+    same place in this order, and at most those that differ come before the first of them. If that one may be
+    an empty group, each two empty groups make a key as well.
     """
     own, lowest = plan.band(sizes), plan.lowest(sizes)
     out = []
     for lower in range(int((own - lowest).max(initial=0)) + 1):
         band = own - lower
         use = (sizes >= plan.least) & (band >= lowest)
-        count, spare = plan.groups(np.maximum(band, 0))
+        count, differ = plan.groups(np.maximum(band, 0), sizes)
         count = np.where(use, count, 0)
         base = np.concatenate([[0], np.cumsum(count)])
         mine = use[doc]
@@ -120,11 +126,13 @@ def _keys(token, doc, n_docs, sizes, plan: Plan):
         number = np.arange(base[-1]) - base[owner]
         place = mix(band[owner].astype(np.uint64) * np.uint64(1 << 40) + number.astype(np.uint64))
         key = mix(place ^ mix(low + mix(high + held.astype(np.uint64))))
-        full = held >= plan.held
-        owners, keys = [owner[full]], [key[full]]
-        small = np.bincount(owner[~full], minlength=n_docs)
-        for text in np.flatnonzero(small > spare):
-            few = key[base[text] : base[text + 1]][~full[base[text] : base[text + 1]]]
+        order = np.lexsort((key, -held, owner))
+        first = order[(number <= differ[owner]) & (held[order] > 0)]  # numbers also count the rows of the sorted texts
+        owners, keys = [owner[first]], [key[first]]
+        empty = np.bincount(owner[held == 0], minlength=n_docs)
+        for text in np.flatnonzero(use & (empty >= count - differ)):
+            at = slice(base[text], base[text + 1])
+            few = key[at][held[at] == 0]
             i, j = np.triu_indices(len(few), 1)
             owners.append(np.full(len(i), text))
             keys.append(mix(few[i] * np.uint64(3) + few[j]))
@@ -135,12 +143,16 @@ def _keys(token, doc, n_docs, sizes, plan: Plan):
 
 
 def _count_vectors(token, doc, sizes) -> list[bytes]:
-    """Group counts of each text, about eight tokens a group; any coarser grouping is a sum of these."""
+    """Group counts of each text, about eight tokens a group; any coarser grouping is a sum of these.
+
+    A count takes a byte, or four if the text has larger ones.
+    """
     width = _widths(sizes)
     base = np.concatenate([[0], np.cumsum(width)])
     slot = base[doc] + ((mix(token) >> np.uint64(40)).astype(np.int64) & (width[doc] - 1))
     counts = np.minimum(np.bincount(slot, minlength=base[-1]), _MOST).astype("<u4")
-    return [counts[a:b].tobytes() for a, b in zip(base[:-1], base[1:], strict=True)]
+    parts = [counts[a:b] for a, b in zip(base[:-1], base[1:], strict=True)]
+    return [(c.astype("u1") if c.max() < 256 else c).tobytes() for c in parts]
 
 
 _MOST = (1 << 32) - 1
@@ -150,18 +162,18 @@ def _widths(sizes) -> np.ndarray:
     return (2 ** np.clip(np.ceil(np.log2(np.maximum(sizes, 1) / 8)), 4, 12)).astype(np.int64)
 
 
-def _fold(counts: list[bytes]) -> np.ndarray:
+def _fold(counts: list[bytes], sizes: np.ndarray) -> np.ndarray:
     """Points of one width from count vectors of several: groups are taken modulo the least width."""
-    rows = [np.frombuffer(c, "<u4") for c in counts]
+    rows = [np.frombuffer(c, f"<u{len(c) // w}") for c, w in zip(counts, _widths(sizes), strict=True)]
     width = min(map(len, rows))
-    return np.stack([r.reshape(-1, width).sum(0) for r in rows]).astype(np.int64)
+    return np.stack([r.reshape(-1, width).sum(0, dtype=np.int64) for r in rows])
 
 
 def screen_block(ids, side, sizes, counts, percent: int) -> list[tuple[int, int]]:
     """Edges that connect all texts of a block whose overlap may be large enough."""
     order = np.lexsort((ids, sizes))
     ids, side, sizes = ids[order], side[order], sizes[order]
-    tree = BoxTree(_fold([counts[i] for i in order]), sizes)
+    tree = BoxTree(_fold([counts[i] for i in order], sizes), sizes)
     across = len(np.unique(side)) > 1
     name = np.arange(len(ids))
     edges = []
@@ -459,7 +471,7 @@ def _pairs(texts: DataFrame, *columns: str) -> DataFrame:
 def _screened(places: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Edges that connect what the group counts leave possible in each cluster."""
     places = scratch.keep(places, "places")
-    blocks = _blocks(places, F.length("counts"), 8 * BLOCK_TOKENS)
+    blocks = _blocks(places, F.length("counts"), 2 * BLOCK_TOKENS)
     pairs = _pairs(join_groups(places, blocks, ["cluster"]), "n", "counts")
 
     def run(table: pa.Table) -> pa.Table:

@@ -92,6 +92,51 @@ def test_long_sets_have_few_keys():
             assert sum(len(key) for _, _, key in parts) < 0.8 * n
 
 
+def test_keys_follow_the_tokens_that_may_differ():
+    """A text has about as many keys as tokens may differ, also below the top of its band."""
+    rng = np.random.default_rng(6)
+    for percent, most in ((80, 0.42), (90, 0.19)):
+        plan = ngram_join.Plan(percent)
+        for n in rng.integers(150, 6000, 25):
+            token = np.unique(rng.integers(0, 1 << 52, n).astype(np.uint64))
+            parts = ngram_join._keys(token, np.zeros(len(token), np.int64), 1, np.array([len(token)]), plan)
+            own, more = len(parts[0][2]), sum(len(key) for _, _, key in parts[1:])
+            assert own <= n * (100 - percent) / percent + 1 and own + more < 2 * own
+        sizes = rng.integers(150, 6000, 200)
+        token = rng.integers(0, 1 << 52, sizes.sum()).astype(np.uint64)
+        parts = ngram_join._keys(token, np.repeat(np.arange(200), sizes), 200, sizes, plan)
+        assert sum(len(key) for _, _, key in parts) < most * sizes.sum()
+
+
+def test_routing_at_the_limit():
+    """Pairs that are just similar share a key, of sizes everywhere in a band and of one or two bands."""
+    rng = np.random.default_rng(9)
+    for percent in (80, 85, 86, 90):
+        plan = ngram_join.Plan(percent)
+        for n in [*range(4, 60), *rng.integers(60, 900, 60)]:
+            for longer in (0, n * (100 - percent) // percent, int(rng.integers(0, n // 4 + 1))):
+                m = n + longer
+                common = -(-percent * (n + m) // (100 + percent))
+                if common > n:
+                    continue
+                token = rng.integers(0, 1 << 52, m + n - common).astype(np.uint64)
+                both = np.concatenate([token[:n], token[:common], token[n:]])
+                doc, sizes = np.repeat([0, 1], [n, m]), np.array([n, m])
+                found = [(d, int(band), int(k)) for d, band, k in (
+                    (d, band[d], k) for d, band, k in _flat(ngram_join._keys(both, doc, 2, sizes, plan))
+                )]
+                assert n == m == common or {x[1:] for x in found if x[0] == 0} & {x[1:] for x in found if x[0] == 1}
+
+
+def test_count_vectors_of_one_and_four_bytes():
+    few, many = np.arange(300, dtype=np.uint64), np.full(300, 7, np.uint64)
+    sizes = np.array([300, 300])
+    made = ngram_join._count_vectors(np.concatenate([few, many]), np.repeat([0, 1], 300), sizes)
+    assert len(made[1]) == 4 * len(made[0]) == 4 * ngram_join._widths(sizes)[0]
+    points = ngram_join._fold(made, sizes)
+    assert points.sum(1).tolist() == [300, 300] and points[1].max() == 300
+
+
 def _flat(parts):
     for owner, band, key in parts:
         for d, k in zip(owner, key, strict=True):
