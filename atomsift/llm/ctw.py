@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bounded_batches
 from .scratch import Scratch
 from .text import chunks, mix
 
@@ -30,7 +31,8 @@ DEPTH = 5
 SHARE = 1 << 22
 START, END = 0xFE, 0xFF  # bytes that UTF-8 never holds
 END_WORD = np.uint64(1)
-HOLD = 1 << 21  # grams gathered before a task sums them up
+HOLD = 1 << 20  # keys gathered before a task sums them up, besides those of one chunk
+PIECE = 1 << 18  # grams weighted at a time, besides those of one pair of nearest bytes
 
 
 def grams_of(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +112,9 @@ def _count(batches):
             sums[1].add(keys, n)
             rest = np.unique(grams[~mine])
             sums[1].add(rest, np.zeros(len(rest), np.int64))
-        for kind in sums:
-            if sums[kind].held >= HOLD:
-                yield out(kind)
+            for kind in sums:
+                if sums[kind].held >= HOLD:
+                    yield out(kind)
     for kind in sums:
         yield out(kind)
 
@@ -197,28 +199,40 @@ def _weighted(tables, ups, bit):
     return out
 
 
-def _whole(batches):
-    """All rows of a task: its subtrees are complete, as rows are dealt by the two nearest context bytes."""
+def _pieces(batches):
+    """All rows of a task, about ``PIECE`` at a time.
+
+    Subtrees are complete, as rows are dealt to tasks and pieces by the two nearest context bytes.
+    """
     parts = [b for b in batches if b.num_rows]
     if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0)
+        return
     table = pa.Table.from_batches(parts)
-    return table["key"].to_numpy().view(np.uint64), table["n"].to_numpy().astype(float)
+    gram, n = table["key"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    del parts, table
+    near = ((gram >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.uint16)
+    order = np.argsort(near, kind="stable")
+    ends = np.unique(np.cumsum(np.bincount(near)))
+    ends = ends[ends > 0]
+    first = 0
+    while first < len(gram):
+        last = int(ends[min(np.searchsorted(ends, first + PIECE), len(ends) - 1)])
+        rows = order[first:last]
+        yield gram[rows], n[rows].astype(float)
+        first = last
 
 
 def _shallow_parts(batches):
     """For depth 1: counts, and sums of log P_w over the contexts of depth 2, per node of depth 1."""
-    gram, n = _whole(batches)
-    if not len(gram):
-        return
-    tables, ups = _depths(gram, n)
-    for bit in range(8):
-        first, _, zeros, ones, _, log_w = _weighted(tables, ups, bit)[-1]
-        key = tables[-1].key[first].astype(np.int64)
-        number = (key & 0xFF00) | (1 << bit) | ((key & 0xFF) >> (8 - bit))
-        name, node = np.unique(number, return_inverse=True)
-        sums = [np.bincount(node, v, len(name)) for v in (zeros, ones, log_w)]
-        yield pa.RecordBatch.from_arrays([pa.array(name), *map(pa.array, sums)], ["node", "zeros", "ones", "log_w"])
+    for gram, n in _pieces(batches):
+        tables, ups = _depths(gram, n)
+        for bit in range(8):
+            first, _, zeros, ones, _, log_w = _weighted(tables, ups, bit)[-1]
+            key = tables[-1].key[first].astype(np.int64)
+            number = (key & 0xFF00) | (1 << bit) | ((key & 0xFF) >> (8 - bit))
+            name, node = np.unique(number, return_inverse=True)
+            sums = [np.bincount(node, v, len(name)) for v in (zeros, ones, log_w)]
+            yield pa.RecordBatch.from_arrays([pa.array(name), *map(pa.array, sums)], ["node", "zeros", "ones", "log_w"])
 
 
 def _shallow_model(rows: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -246,32 +260,30 @@ def _blend(p, known, own, alpha, seen):
 
 def _gram_scores(shallow):
     def run(batches):
-        gram, n = _whole(batches)
-        if not len(gram):
-            return
         model = shallow.value
-        tables, ups = _depths(gram, n)
-        gram, n = tables[0].key, tables[0].n
-        symbol, near = (gram & np.uint64(0xFF)).astype(np.int64), (gram & np.uint64(0xFF00)).astype(np.int64)
-        total = np.zeros(len(gram))
-        for bit in range(8):
-            one = ((symbol >> (7 - bit)) & 1).astype(bool)
-            p, known = np.full(len(gram), 0.5), np.zeros(len(gram), bool)
-            row = np.arange(len(gram))
-            for i, (_, node, zeros, ones, kt, log_w) in enumerate(_weighted(tables, ups, bit)):
-                row = row if i == 0 else ups[i - 1][row]
-                at = node[row]
-                own = np.where(one, ones[at] + 0.5, zeros[at] + 0.5) / (zeros[at] + ones[at] + 1.0)
-                p, known = _blend(p, known, own, np.exp(kt + LOG_HALF - log_w)[at], (zeros + ones > 0)[at])
-            prefix = (1 << bit) | (symbol >> (8 - bit))
-            for at, depth in ((near | prefix, "1"), (prefix, "0")):
-                zeros, ones = model["zeros" + depth][at], model["ones" + depth][at]
-                own = np.where(one, ones + 0.5, zeros + 0.5) / (zeros + ones + 1.0)
-                p, known = _blend(p, known, own, model["alpha" + depth][at], zeros + ones > 0)
-            total += np.log10(p)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(total)], ["key", "n", "value"]
-        )
+        for gram, n in _pieces(batches):
+            tables, ups = _depths(gram, n)
+            gram, n = tables[0].key, tables[0].n
+            symbol, near = (gram & np.uint64(0xFF)).astype(np.int64), (gram & np.uint64(0xFF00)).astype(np.int64)
+            total = np.zeros(len(gram))
+            for bit in range(8):
+                one = ((symbol >> (7 - bit)) & 1).astype(bool)
+                p, known = np.full(len(gram), 0.5), np.zeros(len(gram), bool)
+                row = np.arange(len(gram))
+                for i, (_, node, zeros, ones, kt, log_w) in enumerate(_weighted(tables, ups, bit)):
+                    row = row if i == 0 else ups[i - 1][row]
+                    at = node[row]
+                    own = np.where(one, ones[at] + 0.5, zeros[at] + 0.5) / (zeros[at] + ones[at] + 1.0)
+                    p, known = _blend(p, known, own, np.exp(kt + LOG_HALF - log_w)[at], (zeros + ones > 0)[at])
+                prefix = (1 << bit) | (symbol >> (8 - bit))
+                for at, depth in ((near | prefix, "1"), (prefix, "0")):
+                    zeros, ones = model["zeros" + depth][at], model["ones" + depth][at]
+                    own = np.where(one, ones + 0.5, zeros + 0.5) / (zeros + ones + 1.0)
+                    p, known = _blend(p, known, own, model["alpha" + depth][at], zeros + ones > 0)
+                total += np.log10(p)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(total)], ["key", "n", "value"]
+            )
 
     return run
 
@@ -328,6 +340,7 @@ def score_texts(docs: DataFrame, train: str, scratch: Scratch) -> DataFrame:
     bit. An empty table gives an empty table; other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.expr(train), F.lit(False)).alias("train")
     )

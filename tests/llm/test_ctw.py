@@ -100,6 +100,35 @@ def test_rare_keys_by_shuffle_give_the_same(spark, docs_of, monkeypatch):
     assert [r["n_known"] for r in one] == [r["n_known"] for r in two]
 
 
+def test_counting_holds_no_more_than_a_chunk_beyond_its_limit(monkeypatch):
+    """One large batch is given on in parts, with the sums of the whole."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(97, 123, 20_000))) for _ in range(160)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 5 > 0 for i in range(160)])], ["text", "train"])
+    whole = pa.Table.from_batches(list(ctw._count([batch])))
+    monkeypatch.setattr(ctw, "HOLD", 1 << 10)
+    parts = list(ctw._count([batch]))
+    assert max(b.num_rows for b in parts) <= (1 << 20) + (1 << 10) < whole.num_rows
+    total = lambda t: sorted(map(tuple, (r.values() for r in t.group_by(["kind", "key"]).aggregate([("n", "sum")]).to_pylist())))
+    assert total(pa.Table.from_batches(parts)) == total(whole)
+
+
+def test_pieces_hold_whole_contexts(spark, docs_of, monkeypatch):
+    rng = np.random.default_rng(7)
+    key = rng.integers(0, 1 << 48, 5000) & ~0xF8F800
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(5000))], ["key", "n"])
+    monkeypatch.setattr(ctw, "PIECE", 300)
+    pieces = list(ctw._pieces([batch, batch.slice(0, 0)]))
+    near = [set(((gram >> np.uint64(8)) & np.uint64(0xFFFF)).tolist()) for gram, _ in pieces]
+    assert len(pieces) > 10 and sum(map(len, near)) == len(set.union(*near))
+    assert sorted(n for _, part in pieces for n in part) == list(range(5000))
+    assert list(ctw._pieces([])) == []
+    docs = docs_of(list(enumerate(TEXTS)))
+    few = sorted(ctw.score_texts(docs, "doc_id % 3 <> 0", Scratch(spark, "t")).collect())
+    monkeypatch.undo()
+    assert np.allclose([r["score"] for r in few], [r["score"] for r in sorted(ctw.score_texts(docs, "doc_id % 3 <> 0", Scratch(spark, "t")).collect())])
+
+
 def test_edges(spark, docs_of):
     assert ctw.score_texts(docs_of([]), "true", Scratch(spark, "t")).count() == 0
     got = ctw.score_texts(docs_of([(1, "ab")]), "false", Scratch(spark, "t")).first()
