@@ -678,3 +678,61 @@ def test_far_field_and_repulsion_add_up():
         np.testing.assert_allclose(pushed, push[:100], rtol=1e-3, atol=1e-4)
     splits = layout.median_splits(y, 64)
     assert np.bincount(splits.cell(y), minlength=64).max() <= 6
+
+
+def test_a_round_reads_a_row_per_point_and_posts_positions(spark, monkeypatch):
+    monkeypatch.setattr(layout, "BLOCK_POINTS", 2)
+    monkeypatch.setattr(layout, "COPY_EDGES", 20)
+    points = spark.createDataFrame([(i, i // 7) for i in range(50)], "i long, cell long")
+    pairs = [(i, j, 0.5 + i + j / 64) for i in range(50) for j in range(50) if i != j and (i == 0 or j == 0 or abs(i - j) < 3)]
+    whole = layout.cut(points, spark.createDataFrame(pairs, "i long, j long, p double"))
+    blocks = layout.pack(whole)
+    copies = {r["i"]: len(r["homes"]) for r in blocks.places.collect()}
+    assert blocks.copied and copies[0] == 2 and set(copies.values()) == {1, 2}
+    assert blocks.points.count() == sum(copies.values()) < len(pairs)  # no row of an edge is sorted or converted in a round
+    mass = {(r["block"], r["i"]): r["mass"] for r in whole.members.collect()}
+    shares = [(r["i"], r["j"], r["p"] * mass[r["block"], r["i"]]) for r in whole.edges.collect()]
+    whole.release()
+
+    def pulled(block, world, first, last, plan):
+        y = np.zeros((block.n, 2))
+        np.add.at(y, block.head, block.p[:, None] * block.y[block.tail])
+        return y, block.state + block.y[: block.n, :1]
+
+    y = np.random.default_rng(8).normal(size=(50, 2))
+    start = spark.createDataFrame([(i, [float(v) for v in y[i]], [0.0]) for i in range(50)], "i long, y array<double>, state array<double>")
+    position = layout.materialize(start.join(blocks.places, "i"))
+    plans, write = [], layout.materialize
+    monkeypatch.setattr(layout, "materialize", lambda df, *label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *label))
+    out = layout._rounds(position, blocks, pulled, lambda *_: None, layout.Plan(2), 1).orderBy("i").collect()
+    state = np.zeros(50)
+    for _ in range(2):
+        following, state = np.zeros_like(y), state + y[:, 0]
+        for i, j, p in shares:
+            following[i] += p * y[j]
+        y = following
+    np.testing.assert_allclose([r["y"] for r in out], y, rtol=1e-9)
+    np.testing.assert_allclose([r["state"] for r in out], state[:, None], rtol=1e-9)
+    assert len(plans) == 2 and not any("Join" in plan for plan in plans)
+    assert all("Bucketed: true" in plan for plan in plans)
+    blocks.release()
+
+
+def test_blocks_spread_evenly_over_buckets(spark):
+    keys = layout.even_keys(spark, 23, 5)
+    assert len(set(keys)) == 23
+    dealt = spark.createDataFrame([(k,) for k in keys], "k long").select(F.pmod(F.hash("k"), F.lit(5)).alias("b"))
+    assert sorted(r["n"] for r in dealt.groupBy("b").agg(F.count("*").alias("n")).collect()) == [4, 4, 5, 5, 5]
+
+
+def test_repulsion_weighs_pairs_from_both_ends():
+    rnd = np.random.default_rng(9)
+    for n, offset in ((1, 0.0), (150, 0.0), (150, 1e4)):
+        y, far, mass, far_mass = rnd.normal(size=(n, 2)) + offset, rnd.normal(size=(40, 2)) - 3, rnd.random(n), rnd.random(40) * 9
+        every, m = np.vstack([y, far]), np.append(mass, far_mass)
+        apart = y[:, None] - every[None]
+        b = 1 / (1 + (apart**2).sum(2))
+        b[np.arange(n), np.arange(n)] = 0
+        sums, push = layout.repulsion(y, mass, far, far_mass)
+        np.testing.assert_allclose(sums, b @ m, rtol=1e-4)
+        np.testing.assert_allclose(push, ((b * b * m)[:, :, None] * apart).sum(1), rtol=1e-3, atol=1e-4)
